@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pitspark.llm.common import stage
+from pitspark.llm.common import stage, table
+from pitspark.llm.decontamination import decontaminate
+from pitspark.llm.jaccard import keep_first
 from pitspark.llm.line_dedup import remove_boilerplate
 from pitspark.llm.packing import pack_documents, tokenizer_path
 from pitspark.llm.quality import quality_filter
@@ -17,7 +20,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand on many sites; n_chars follows the text."""
-    return remove_boilerplate(docs).select(*docs.columns)
+    return remove_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return keep_first(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +38,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("best_fit_packing", best_fit_packing)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("ngram_jaccard_join", ngram_jaccard_join), ("benchmark_decontamination", benchmark_decontamination), ("best_fit_packing", best_fit_packing)]
 #: Sketch quantiles, near-duplicate groups and token ids are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
