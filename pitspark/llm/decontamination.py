@@ -154,7 +154,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("values", F.arrays_zip("slots", "of_item")).withColumn("same", F.col("slots") == F.col("of_item"))
 
     def one_to_one(values):
-        sides = [F.array_distinct(F.transform(values, lambda v, k=k: v[k])) for k in ("slots", "of_item")]
+        sides = [F.array_distinct(F.transform(values, lambda v: v["slots"])), F.array_distinct(F.transform(values, lambda v: v["of_item"]))]
         return (F.size(F.array_distinct(values)) == F.size(sides[0])) & (F.size(sides[0]) == F.size(sides[1]))
 
     # windows that lie alike in document and item are one passage, whose values must agree throughout

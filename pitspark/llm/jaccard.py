@@ -175,7 +175,7 @@ def _level(rows: DataFrame) -> DataFrame:
 
 def nominated(classes: DataFrame, threshold: float = THRESHOLD, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links by estimate that connect every two classes at the threshold, with the target recall."""
-    start = classes.select("set_id", F.posexplode("roots").alias("place", "root")).select("set_id", F.xxhash64("place", "root").alias("bucket"), F.lit(2**62).alias("parent"))
+    start = classes.select("set_id", F.posexplode("roots").alias("place", "root")).select("set_id", F.xxhash64("place", "root").alias("bucket"), F.lit(2**50).alias("parent"))
     level, leaves, levels = _level(start), [], []
     for depth in range(DEPTH + 1):
         levels.append(level)
