@@ -112,7 +112,10 @@ def _chunks(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
 
 
 def stretches(docs: DataFrame) -> DataFrame:
-    """(anchor, content, doc_id, tie, start, n): a row for each stretch of each document of (doc_id, tie, data)."""
+    """(known, anchor, content, doc_id, tie, start, n): a row for each stretch of each document of (doc_id, tie, data).
+
+    known: an equal stretch that starts earlier was met in the same chunk, so this one needs no comparison.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
@@ -124,9 +127,16 @@ def stretches(docs: DataFrame) -> DataFrame:
                 of = owner[first]
                 row = np.array([r for r, _, _ in batch])[of]
                 start = first - (np.cumsum(sizes) - sizes)[of] + np.array([o for _, o, _ in batch])[of]
-                yield pd.DataFrame({"anchor": anchor, "content": content, "doc_id": ids[row], "tie": ties[row], "start": start, "n": (after - first + WINDOW - 1)})
+                order = np.lexsort((start, ties[row], ids[row], content, anchor))
+                out = pd.DataFrame({"anchor": anchor, "content": content, "doc_id": ids[row], "tie": ties[row], "start": start, "n": (after - first + WINDOW - 1)}).iloc[order]
+                new = np.r_[True, (out["anchor"].to_numpy()[1:] != out["anchor"].to_numpy()[:-1]) | (out["content"].to_numpy()[1:] != out["content"].to_numpy()[:-1])] if len(out) else np.zeros(0, bool)
+                head = np.maximum.accumulate(np.where(new, np.arange(len(out)), 0))
+                place = out[["doc_id", "tie", "start"]].to_numpy()
+                at_head = (place == place[head]).all(1)  # the head itself, or a repeated row of its document
+                out.insert(0, "known", ~at_head)
+                yield out[new | ~at_head]
 
-    return docs.mapInPandas(run, "anchor long, content long, doc_id long, tie int, start int, n int")
+    return docs.mapInPandas(run, "known boolean, anchor long, content long, doc_id long, tie int, start int, n int")
 
 
 def compare(found: DataFrame) -> DataFrame:
@@ -139,6 +149,10 @@ def compare(found: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = pending = None  # the row before; the anchor's first stretch, while it is the only kind
         for df in parts:
+            if df["known"].any():
+                yield df[df["known"]].assign(again=True)[names]
+                df = df[~df["known"]]
+            df = df.drop(columns="known")
             if not len(df):
                 continue
             rows = df if last is None else pd.concat([last, df], ignore_index=True)
@@ -162,7 +176,9 @@ def compare(found: DataFrame) -> DataFrame:
             yield pd.concat([again.assign(again=True), firsts.assign(again=False)])[names]
 
     order = ["anchor", "content", "doc_id", "tie", "start"]
-    return found.repartition("anchor").sortWithinPartitions(*order).mapInPandas(run, "again boolean, anchor long, doc_id long, tie int, start int, n int")
+    # what is known needs no company, so it is dealt out evenly
+    found = found.repartition("anchor", F.when(F.col("known"), F.xxhash64("doc_id", "start")).otherwise(F.lit(0)))
+    return found.sortWithinPartitions(*order).mapInPandas(run, "again boolean, anchor long, doc_id long, tie int, start int, n int")
 
 
 def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

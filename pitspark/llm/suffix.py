@@ -101,15 +101,18 @@ def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int) ->
     n = len(text)
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([text, np.zeros(most + 8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    padded = np.concatenate([text, np.zeros(most + 8, np.uint8)]).astype(np.uint64)
+    words = np.zeros(n + most, np.uint64)  # the eight bytes from each place on, the first one lowest
+    for k in range(8):
+        words |= padded[k : k + n + most] << np.uint64(8 * k)
     out = np.zeros(n, np.int64)
     at = np.flatnonzero(before >= 0)
     for skip in range(0, most, 8):
-        a, b = words[at + skip], words[before[at] + skip]
-        same = (a == b).cumprod(1).sum(1)
-        out[at] += same
-        at = at[same == 8]
+        differ = words[at + skip] ^ words[before[at] + skip]
+        lowest = differ & (~differ + np.uint64(1))
+        # the place of a lone bit, over 8: bytes that agree
+        out[at] += np.where(differ == 0, 8, (np.frexp(lowest.astype(np.float64))[1] - 1) // 8)
+        at = at[differ == 0]
         if not len(at):
             break
     # neither suffix goes beyond the text's end
