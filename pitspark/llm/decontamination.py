@@ -28,7 +28,6 @@ UNITS = frozenset("km kilometers kilometres kilometer kilometre m meters metres
 _NUMBER = regex.compile(r"[+\-]?[$€£]?\d[\d.,:/]*(%|st|nd|rd|th|\p{L}{1,3})?")
 _NAME = regex.compile(r"\p{Lu}\p{Ll}+(?:[-'’]\p{L}+)*")
 _EDGE = regex.compile(r"^[\p{P}\p{S}--[$€£+\-]]+|[\p{P}\p{S}--[%]]+$", regex.V1)
-_SPACE = regex.compile(r"[\x20\x09\x0B-\x0D]+")
 
 
 def canonical(word: str) -> tuple[str, str, bool]:
@@ -45,7 +44,7 @@ def canonical(word: str) -> tuple[str, str, bool]:
 
 
 class Reader:
-    """Template words of a text; remembers words, within bounds."""
+    """Template words of a text, without those that are punctuation only; remembers words, within bounds."""
 
     def __init__(self) -> None:
         self.known: dict[str, tuple] = {}
@@ -57,30 +56,37 @@ class Reader:
                 self.known.clear()
             inner, start, ends = canonical(word)
             code = lambda x: xxhash.xxh64_intdigest(x)
-            found = self.known[word] = (code(inner), code(start), ends, inner, start)
+            found = self.known[word] = (code(inner), code(start), ends, inner, start, not start)
         return found
 
-    def read(self, text: str) -> tuple[np.ndarray, list[str], list[int]]:
-        """Hashes of the template words, the words, and which stand at a sentence's (or line's) start. Words without letters, digits or symbols of their own are skipped."""
+    def read(self, text: str) -> np.ndarray:
+        """Hashes of the template words."""
         codes: list[int] = []
-        words: list[str] = []
-        starts: list[int] = []
-        look, empty = self.look, xxhash.xxh64_intdigest("")
+        add, known, look = codes.append, self.known, self.look
         for line in text.split("\n"):
             first = True
-            for w in _SPACE.split(line):
-                if not w:
+            for w in line.split():
+                x = known.get(w) or look(w)
+                if x[5]:
+                    first = first or x[2]
                     continue
-                x = look(w)
-                if x[1] == empty:  # punctuation only
+                add(x[1] if first else x[0])
+                first = x[2]
+        return np.array(codes, dtype=np.uint64)
+
+    def detail(self, text: str) -> list[tuple[str, str]]:
+        """(template word, word) of the same words."""
+        out = []
+        for line in text.split("\n"):
+            first = True
+            for w in line.split():
+                x = self.look(w)
+                if x[5]:
                     first = first or x[2]
                     continue
-                if first:
-                    starts.append(len(words))
-                codes.append(x[1] if first else x[0])
-                words.append(w)
+                out.append((x[4] if first else x[3], w))
                 first = x[2]
-        return np.array(codes, dtype=np.uint64), words, starts
+        return out
 
 
 _R, _R_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
@@ -103,10 +109,9 @@ FIELDS = "pos int, width int, hash long, template string, slots array<string>"
 
 def _windows(reader: Reader, text: str | None, widths: tuple[int, ...] | None, sift: np.ndarray | None) -> list[tuple]:
     """(pos, width, hash, template, slots) of the windows that can match; widths None: an item's own. Half of a window's words must be literal."""
-    codes, words, starts = reader.read(text or "")
-    out = []
-    at_start = None
-    for width in widths or ((min(WINDOW, len(words)),) if len(words) >= SHORTEST else ()):
+    codes = reader.read(text or "")
+    out, detail = [], None
+    for width in widths or ((min(WINDOW, len(codes)),) if len(codes) >= SHORTEST else ()):
         hashes = window_hashes(codes, width)
         if sift is not None:
             if not len(sift):
@@ -117,9 +122,9 @@ def _windows(reader: Reader, text: str | None, widths: tuple[int, ...] | None, s
         else:
             found = np.arange(len(hashes))
         for i in found:
-            at_start = at_start or frozenset(starts)
-            template = [reader.look(w)[4 if j in at_start else 3] for j, w in enumerate(words[i : i + width], int(i))]
-            slots = [f"{t}{_EDGE.sub('', w).lower()}" for t, w in zip(template, words[i : i + width], strict=True) if t[0] == "<"]
+            detail = detail or reader.detail(text)
+            template = [t for t, _ in detail[i : i + width]]
+            slots = [f"{t}{_EDGE.sub('', w).lower()}" for t, w in detail[i : i + width] if t[0] == "<"]
             if 2 * len(slots) <= width:
                 out.append((int(i), width, int(hashes[i].view(np.int64)), " ".join(template), slots))
     return out
