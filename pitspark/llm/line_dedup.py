@@ -46,7 +46,7 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str
     return stage(spread.filter(F.col("n_sites") >= min_sites + near).unionByName(exact.filter(F.col("n_sites") >= min_sites)), "boilerplate")
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE, site_col: str = "source", text_col: str = "text") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE, site_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with the boilerplate lines cut out of the text, and one column ``line_dedup`` (n_lines, n_removed, copy) more.
 
     Null texts stay null; a text without such lines stays as it is, byte for byte. copy: more than copy_share of the text's
@@ -54,7 +54,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, copy_share:
     line_dedup is replaced.
     """
     found = boilerplate_lines(docs, min_sites, site_col, text_col)
-    here = docs.select(F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(7), F.col(text_col)).alias("k2"), F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), _line))).alias("line")).filter("line != ''")
+    # by document, not by text alone: copies of one text spread over all tasks
+    here = docs.select(F.coalesce(F.xxhash64(id_col), F.lit(0)).alias("k1"), F.xxhash64(text_col).alias("k2"), F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), _line))).alias("line")).filter("line != ''")
     hits = here.select("k1", "k2", *_keys(F.col("line"))).join(found.select("h1", "h2"), ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("_hits"))
 
     lines = F.split(F.col(text_col), "\n", -1)
@@ -65,7 +66,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, copy_share:
     n_cut = F.size(lines) - F.size(keep)
     # removed characters, with the line feed of each removed line
     copy = hit & (F.length(text_col) - F.length(kept_text) > F.length(text_col) * copy_share)
-    out = docs.withColumn("_k1", F.xxhash64(text_col)).withColumn("_k2", F.xxhash64(F.lit(7), F.col(text_col)))
+    out = docs.withColumn("_k1", F.coalesce(F.xxhash64(id_col), F.lit(0))).withColumn("_k2", F.xxhash64(text_col))
     out = out.join(hits, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
     mark = F.struct(F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(hit & ~copy, n_cut).otherwise(0).cast("long").alias("n_removed"), F.coalesce(copy, F.lit(False)).alias("copy"))
     new_text = F.when(hit & ~copy, kept_text).otherwise(F.col(text_col))
