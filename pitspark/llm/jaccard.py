@@ -168,8 +168,8 @@ def _nominate(threshold: float) -> Callable[[pd.DataFrame], list]:
 
 
 def _level(rows: DataFrame) -> DataFrame:
-    """rows with the size of their bucket, without buckets of one."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    """rows with the size of their bucket, without buckets of one. Sizes are staged, so both sides of the join are plain shuffles whose hot buckets AQE can split."""
+    sizes = stage(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     return stage(rows.join(sizes, "bucket"), "buckets")
 
 
