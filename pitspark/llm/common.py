@@ -62,6 +62,11 @@ def _clean() -> None:
             return
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of texts that go to Python at once, so memory doesn't follow the length of texts; no result depends on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs of characters that are no ASCII white space; null text: empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")

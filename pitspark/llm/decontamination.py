@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import small_batches, stage, table
 
 #: Words of a window; shorter items are one window if they have at least SHORTEST words.
 WINDOW, SHORTEST = 13, 5
@@ -52,7 +52,7 @@ class Reader:
     def look(self, word: str) -> tuple:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > 60_000:
                 self.known.clear()
             inner, start, ends = canonical(word)
             code = lambda x: xxhash.xxh64_intdigest(x)
@@ -149,6 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of fewer than five words match nothing. Repeated rows count once. Empty tables give an empty result; other columns are
     not carried.
     """
+    small_batches(docs.sparkSession)
     items = stage(_table(benchmark, "item_id", None, None).distinct(), "items")
     n, widths = items.count(), tuple(r["width"] for r in items.select("width").distinct().collect())  # WINDOW widths at most
     sift = None

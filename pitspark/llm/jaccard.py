@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table, unstage, word_hashes
+from .common import small_batches, stage, table, unstage, word_hashes
 from .graph import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -91,6 +91,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 out.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), t[: RUNS * PER_RUN].view(np.int64).tolist(), (t & np.uint64(255)).astype(np.uint8).tobytes()))
             yield pd.concat([df, pd.DataFrame(out, columns=["set_id", "n_shingles", "roots", "sig"], index=df.index)], axis=1)
 
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), word_hashes(F.col("text")).alias("words"))
     return rows.mapInPandas(run, "doc_id long, text_key long, set_id binary, n_shingles int, roots array<long>, sig binary")
 
