@@ -138,10 +138,16 @@ def judge(stats: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that pass, columns unchanged. Statistics are computed once for the sketches and once for the verdict; no text is shuffled."""
-    stats = with_stats(docs)
-    limits = thresholds(sketches(with_stats(docs.select("text", "lang", "source"))))
-    return judge(stats, limits).filter("_kept").select(*docs.columns)
+    """The documents that pass, columns unchanged. Null, empty, repeated and extra columns' rows: see op3_quality_rules.
+
+    Statistics are computed once and written beside the rows; the sketches read that column only. The limits are written too,
+    so the planner knows their true size: it broadcasts them below its threshold, and no text is shuffled.
+    """
+    from .common import small_batches, stage
+
+    small_batches(docs.sparkSession)
+    stats = stage(with_stats(docs), "stats")
+    return judge(stats, stage(thresholds(sketches(stats)), "limits")).filter("_kept").select(*docs.columns)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
