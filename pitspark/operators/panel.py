@@ -95,6 +95,12 @@ def rank(bars: DataFrame, facts: DataFrame, members: DataFrame, asof: str, lates
     return composite(rows.filter(F.coalesce(*[F.col(c) for c in FACTORS]).isNotNull()))
 
 
+def factor_profile(bars: DataFrame, facts: DataFrame, asof: str) -> DataFrame:
+    """(ticker, px, four ratios, mom) as known on a date, for the tickers of bars; without facts the ratios are null."""
+    day = F.lit(asof).cast("date")
+    return factors(facts, last_price(bars, day), day).join(momentum_calendar(month_end(bars), day), "ticker", "left").select("ticker", "px", "ey", "bp", "roe", "gm", "mom")
+
+
 def backtest(panel: DataFrame, members: DataFrame, score: DataFrame | None = None, top: float = 0.2, cost_bps: float = 10.0, least: int = 5) -> DataFrame:
     """(month, i, n_elig, k, gross, bench, turnover, net) for all months at once. score: (ticker, month, score), else momentum."""
     rows = momentum_positional(panel).join(members, "ticker").filter(members_at(members, F.col("month"))).drop("added_date", "removed_date")

@@ -140,6 +140,30 @@ def anomalies(ranked: DataFrame) -> DataFrame:
     return mom.unionByName(value).unionByName(quality).unionByName(crowd)
 
 
+# fixed values: the strategy proposed for each anomaly, and the score above which it counts
+PROPOSAL_SCHEMA = "name string, least double, strategy string, universe string, ranking string, sizing string, max_positions int, rebalance string"
+PROPOSALS = [
+    ("momentum_dispersion", 0.5, "Momentum Factor Strategy", "sp500", "momentum", "score_weighted", 20, "monthly"),
+    ("value_spread", 0.4, "Deep Value Screen", "sp500", "value", "score_weighted", 15, "quarterly"),
+    ("sector_rotation", 0.4, "Dynamic Sector Rotation", "all", "sector_momentum", "equal_weight", 10, "monthly"),
+    ("quality_premium", 0.5, "Quality Reversion Strategy", "sp500", "quality", "equal_weight", 20, "monthly"),
+    ("factor_crowding", 0.5, "Contrarian Anti-Crowding", "sp500", "inverse_composite", "equal_weight", 20, "monthly"),
+]
+
+
+def sector_rotation(ranked: DataFrame, sectors: DataFrame) -> DataFrame:
+    """(name, score): how far the sectors' mean momenta lie apart; 0 below three sectors. sectors: (ticker, sector), others are "other"."""
+    means = ranked.filter("mom is not null").join(sectors, "ticker", "left").groupBy(F.coalesce("sector", F.lit("other")).alias("sector")).agg(F.avg("mom").alias("m"))
+    score = F.when(F.count("*") < 3, 0.0).otherwise(F.least(F.lit(1.0), F.stddev_samp("m") / 0.3))
+    return means.agg(score.alias("score")).select(F.lit("sector_rotation").alias("name"), "score")
+
+
+def proposals(scores: DataFrame) -> DataFrame:
+    """A strategy for each anomaly whose score is above its threshold, with the severity."""
+    known = scores.sparkSession.createDataFrame(PROPOSALS, PROPOSAL_SCHEMA)
+    return scores.join(F.broadcast(known), "name").filter("score > least").select("name", F.round("score", 3).alias("severity"), "strategy", "universe", "ranking", "sizing", "max_positions", "rebalance")
+
+
 def strategy_score(ranked: DataFrame) -> DataFrame:
     """A score from the share of the top 20 that have four factors or more."""
     q = ranked.orderBy(F.desc("composite"), "ticker").limit(20).agg(F.coalesce(F.count_if(F.col("n_factors") >= 4) / F.greatest(F.count("*"), F.lit(1)), F.lit(0.0)).alias("q"))

@@ -369,7 +369,10 @@ def brinson_sector(s, d):
 _SL = "sl{0} AS (SELECT {0} AS v, row_number() OVER (ORDER BY {0}, ticker) AS rn, count(*) OVER () AS n FROM ranked WHERE {0} IS NOT NULL)"
 
 
-@query(w("bars", "facts", "members", more=f"{RANK}, {_SL.format('ey')}, {_SL.format('roe')}, sp AS (SELECT max(n) AS n, sum(v) FILTER (rn > n - ceil(n / 5.0)) / greatest(max(n) // 5, 1) - sum(v) FILTER (rn <= n // 5) / greatest(max(n) // 5, 1) AS sp FROM slroe), cr AS (SELECT abs(composite) AS a, row_number() OVER (ORDER BY composite DESC, ticker) AS rn FROM ranked)") + "SELECT 'momentum_dispersion' AS name, round(CASE WHEN count(mom) < 10 THEN 0.0 ELSE least(1.0, stddev_samp(mom) / 0.5) END, 5) AS score FROM ranked UNION ALL SELECT 'value_spread', round(CASE WHEN max(n) < 20 THEN 0.0 ELSE least(1.0, abs(sum(v) FILTER (rn > n - ceil(n / 10.0)) - sum(v) FILTER (rn <= n // 10)) / greatest(max(n) // 10, 1) * 100) END, 5) FROM sley UNION ALL SELECT 'quality_premium', round(CASE WHEN n < 20 OR sp <= 0 THEN 0.0 ELSE least(1.0, 1 - sp / 0.5) END, 5) FROM sp UNION ALL SELECT 'factor_crowding', round(CASE WHEN count(*) < 20 OR sum(a) <= 0 THEN 0.0 ELSE least(1.0, sum(a) FILTER (rn <= 10) / sum(a) * 2) END, 5) FROM cr")
+_ANOMALIES = w("bars", "facts", "members", more=f"{RANK}, {_SL.format('ey')}, {_SL.format('roe')}, sp AS (SELECT max(n) AS n, sum(v) FILTER (rn > n - ceil(n / 5.0)) / greatest(max(n) // 5, 1) - sum(v) FILTER (rn <= n // 5) / greatest(max(n) // 5, 1) AS sp FROM slroe), cr AS (SELECT abs(composite) AS a, row_number() OVER (ORDER BY composite DESC, ticker) AS rn FROM ranked)") + "SELECT 'momentum_dispersion' AS name, round(CASE WHEN count(mom) < 10 THEN 0.0 ELSE least(1.0, stddev_samp(mom) / 0.5) END, 5) AS score FROM ranked UNION ALL SELECT 'value_spread', round(CASE WHEN max(n) < 20 THEN 0.0 ELSE least(1.0, abs(sum(v) FILTER (rn > n - ceil(n / 10.0)) - sum(v) FILTER (rn <= n // 10)) / greatest(max(n) // 10, 1) * 100) END, 5) FROM sley UNION ALL SELECT 'quality_premium', round(CASE WHEN n < 20 OR sp <= 0 THEN 0.0 ELSE least(1.0, 1 - sp / 0.5) END, 5) FROM sp UNION ALL SELECT 'factor_crowding', round(CASE WHEN count(*) < 20 OR sum(a) <= 0 THEN 0.0 ELSE least(1.0, sum(a) FILTER (rn <= 10) / sum(a) * 2) END, 5) FROM cr"
+
+
+@query(_ANOMALIES)
 def anomalies(s, d):
     return r(por.anomalies(ranked(s, d)), "score", digits=5)
 
@@ -379,6 +382,26 @@ def strategy_score(s, d):
     return por.strategy_score(ranked(s, d))
 
 
+_ROTATION = "SELECT 'sector_rotation' AS name, round(CASE WHEN count(*) < 3 THEN 0.0 ELSE least(1.0, stddev_samp(m) / 0.3) END, 5) AS score FROM (SELECT coalesce('N' || s_nationkey % 5, 'other') AS sector, avg(mom) AS m FROM ranked LEFT JOIN supplier ON ticker = 'S' || s_suppkey WHERE mom IS NOT NULL GROUP BY 1)"
+
+
+@query(w("bars", "facts", "members", more=RANK) + _ROTATION)
+def anomaly_sector_rotation(s, d):
+    sectors = v.read(s, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), F.concat(F.lit("N"), (F.col("s_nationkey") % 5).cast("string")).alias("sector"))
+    return r(por.sector_rotation(ranked(s, d), sectors), "score", digits=5)
+
+
+@query(f"WITH an AS ({_ANOMALIES}), pr(name, least_score, strategy, universe, ranking, sizing, max_positions, rebalance) AS (VALUES {', '.join(map(str, por.PROPOSALS))}) SELECT name, round(score, 3) AS severity, strategy, universe, ranking, sizing, max_positions, rebalance FROM an JOIN pr USING (name) WHERE score > least_score")
+def strategy_proposals(s, d):
+    return por.proposals(anomalies(s, d))
+
+
+@query(w("bars", "facts", more=f"{LIVE}, {LATEST}, {PRICE}, {FACT}, {PANEL}, {MOMC}") + "SELECT ticker, px, round(ey, 6) AS ey, round(bp, 6) AS bp, round(roe, 6) AS roe, round(gm, 6) AS gm, round(mom, 6) AS mom FROM fa LEFT JOIN mc USING (ticker) WHERE ticker = 'S1'")
+def factor_profile(s, d):
+    bars, facts = v.bars(s, d).filter("ticker = 'S1'"), live_facts(s, d).filter("cik = 1")
+    return r(pan.factor_profile(bars, facts, D), "ey", "bp", "roe", "gm", "mom")
+
+
 # names, landing, ticks
 _NORM = "array_to_string(list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x <> '' AND NOT list_contains([" + ", ".join(f"'{x}'" for x in nam.FORMS) + "], x)), ' ')"
 _NAME = "'The ' || p_name || ', Inc.'"
