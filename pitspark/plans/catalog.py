@@ -10,6 +10,7 @@ from ..operators import names as nam
 from ..operators import panel as pan
 from ..operators import pit
 from ..operators import portfolio as por
+from ..operators import strategies as stg
 from ..sources import html_tables, landing
 from ..sources import views as v
 from ..streaming import ticks as tk
@@ -478,3 +479,87 @@ def stream_latest_tick(s, d):
 @query()
 def page_tables(s, d):
     return html_tables.tables(v.read(s, d, "pages"))
+
+# strategies
+_SEEN = "knowledge_date <= {0} AND event_date >= CAST({0} - INTERVAL 36 MONTH AS DATE)"
+_NOW, _YEAR_AGO = f"DATE '{D}'", f"CAST(DATE '{D}' - INTERVAL 12 MONTH AS DATE)"
+
+
+def snapsql(*tags: str) -> str:
+    order = "arg_max(val, row(knowledge_date, event_date, accn))"
+    return "sn AS (SELECT cik, " + ", ".join(f"{order} FILTER (tag = '{t}' AND {_SEEN.format(at)}) AS {t}{end}" for t in tags for at, end in ((_NOW, ""), (_YEAR_AGO, "_0"))) + f" FROM ls WHERE tag IN ({', '.join(repr(t) for t in tags)}) AND knowledge_date <= {_NOW} AND event_date >= CAST({_NOW} - INTERVAL 48 MONTH AS DATE) GROUP BY cik)"
+
+
+def strategy_sql(tags: tuple[str, ...], more: str = "", views: tuple[str, ...] = ()) -> str:
+    return w("statements", *views, more="ls AS (SELECT * FROM statements WHERE knowledge_date >= event_date), " + snapsql(*tags) + more)
+
+
+def ratio_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 0 THEN {a} / ({b}) END"
+
+
+statements = lambda s, d: pit.live(pit.gate(v.statements(s, d)))
+_GROWTH = f""", qs AS (SELECT cik, CAST(year(event_date) * 4 + quarter(event_date) AS INTEGER) AS q, arg_max(val, row(knowledge_date, event_date, accn)) AS val FROM ls WHERE tag = '{stg.REV}' AND knowledge_date <= {_NOW} GROUP BY 1, 2),
+ q4 AS (SELECT a.*, l.val AS before1, {ratio_sql('(a.val - b.val)', 'b.val')} AS growth FROM qs a LEFT JOIN qs b ON a.cik = b.cik AND b.q = a.q - 4 LEFT JOIN qs l ON a.cik = l.cik AND l.q = a.q - 1),
+ q1 AS (SELECT a.*, CAST(coalesce(a.val > a.before1, false) AS INTEGER) AS up, CAST(coalesce(a.growth > b.growth, false) AS INTEGER) AS faster, CAST(coalesce(a.growth < b.growth, false) AS INTEGER) AS slower FROM q4 a LEFT JOIN q4 b ON a.cik = b.cik AND b.q = a.q - 1),
+ gr AS (SELECT cik, q, growth, sum(up) OVER z = 3 AS rises, sum(faster) OVER z = 3 AS speeds_up, sum(slower) OVER y = 2 AS slows_down FROM q1 WINDOW z AS (PARTITION BY cik ORDER BY q RANGE BETWEEN 2 PRECEDING AND CURRENT ROW), y AS (PARTITION BY cik ORDER BY q RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) QUALIFY row_number() OVER (PARTITION BY cik ORDER BY q DESC) = 1)"""
+
+
+def _tests_sql() -> str:
+    def pair(a: str, b: str) -> list[str]:
+        return [ratio_sql(a + e, b + e) for e in ("", "_0")]
+
+    roa, debt, current, margin, turnover = pair(stg.NI, stg.ASSETS), pair(stg.DEBT, stg.ASSETS), pair(stg.CUR_ASSETS, stg.CUR_LIAB), pair(stg.GP, stg.REV), pair(stg.REV, stg.ASSETS)
+    tests = [f"{roa[0]} > 0", f"{stg.OCF} > 0", f"{roa[0]} > {roa[1]}", f"{stg.OCF} > {stg.NI}", f"{debt[0]} < {debt[1]}", f"{current[0]} > {current[1]}", f"{stg.SHARES} <= {stg.SHARES}_0", f"{margin[0]} > {margin[1]}", f"{turnover[0]} > {turnover[1]}"]
+    return " + ".join(f"CAST(coalesce({t}, false) AS INTEGER)" for t in tests)
+
+
+@query(strategy_sql((stg.NI, stg.OCF, stg.ASSETS, stg.DEBT, stg.CUR_ASSETS, stg.CUR_LIAB, stg.SHARES, stg.GP, stg.REV), f", fs AS (SELECT cik, {_tests_sql()} AS f_score FROM sn)") + "SELECT *, f_score >= 7 AS enters, f_score < 5 AS leaves FROM fs")
+def strategy_piotroski(s, d):
+    return stg.piotroski(statements(s, d), day())
+
+
+def cik_prices(s, d):
+    return pan.last_price(v.bars(s, d), day()).select(F.substring("ticker", 2, 20).cast("long").alias("cik"), "px")
+
+
+@query(strategy_sql((stg.CUR_ASSETS, stg.LIAB, stg.SHARES), f", {PRICE}, rt AS (SELECT cik, {ratio_sql(f'({stg.CUR_ASSETS} - {stg.LIAB})', f'px * {stg.SHARES}')} AS ratio FROM sn JOIN lp ON ticker = 'S' || cik), en AS (SELECT *, ratio > 1e-4 AS enters, ratio < 0.8e-4 AS leaves FROM rt WHERE ratio IS NOT NULL)", ("bars",)) + "SELECT cik, round(ratio, 9) AS ratio, enters, leaves, round(CASE WHEN enters AND (SELECT count(*) FROM en WHERE enters) >= 3 THEN least(0.15, 1.0 / (SELECT count(*) FROM en WHERE enters)) ELSE 0 END, 6)::DOUBLE AS weight FROM en")
+def strategy_net_net(s, d):
+    return r(r(stg.net_net(statements(s, d), cik_prices(s, d), day(), 1e-4, 0.8e-4), "ratio", digits=9), "weight")
+
+
+@query(strategy_sql((stg.NI, stg.OCF, stg.ASSETS), f", ac AS (SELECT cik, {ratio_sql(f'({stg.NI} - {stg.OCF})', stg.ASSETS)} AS accruals FROM sn)") + "SELECT cik, round(accruals, 6) AS accruals, CAST(ntile(3) OVER (ORDER BY accruals, cik) AS INTEGER) AS part FROM ac WHERE accruals IS NOT NULL")
+def strategy_earnings_quality(s, d):
+    return r(stg.earnings_quality(statements(s, d), day()), "accruals")
+
+
+@query(strategy_sql((stg.SHARES, stg.OCF, stg.CAPEX), f", bb AS (SELECT cik, {ratio_sql(f'({stg.SHARES}_0 - {stg.SHARES})', stg.SHARES + '_0')} AS buyback FROM sn WHERE {stg.OCF} > {stg.CAPEX})") + "SELECT cik, round(buyback, 6) AS buyback, CAST(ntile(5) OVER (ORDER BY buyback DESC, cik) AS INTEGER) AS part FROM bb WHERE buyback IS NOT NULL")
+def strategy_buyback_yield(s, d):
+    return r(stg.buyback_yield(statements(s, d), day()), "buyback")
+
+
+@query(strategy_sql((stg.NI, stg.EQUITY, stg.DEBT), _GROWTH + f", qm AS (SELECT cik, {ratio_sql(stg.NI, stg.EQUITY)} AS roe, {ratio_sql(stg.DEBT, stg.EQUITY)} AS debt, coalesce(growth > 0, false) AND coalesce(rises, false) AS rising FROM sn LEFT JOIN gr USING (cik))") + "SELECT cik, round(roe, 6) AS roe, round(debt, 6) AS debt, rising, coalesce(roe > 0.15, false) AND coalesce(debt < 0.5, false) AND rising AS enters FROM qm")
+def strategy_quality_momentum(s, d):
+    return r(stg.quality_momentum(statements(s, d), day()), "roe", "debt")
+
+
+@query(strategy_sql((stg.REV,), _GROWTH) + "SELECT cik, round(growth, 6) AS growth, speeds_up AS enters, slows_down AS leaves FROM gr")
+def strategy_earnings_revision(s, d):
+    return r(stg.earnings_revision(statements(s, d), day()), "growth")
+
+
+_DIVIDENDS = f"dv AS (SELECT ticker, sum(CAST(action_value AS DOUBLE)) AS dividends FROM actions WHERE type = 'dividend' AND event_date <= {_NOW} AND event_date > {_YEAR_AGO} GROUP BY 1)"
+
+
+@query(w("bars", "actions", more=f"{PRICE}, {_DIVIDENDS}") + f"SELECT ticker, round(dividends, 6) AS dividends, px, round({ratio_sql('dividends', 'px')}, 6) AS dividend_yield FROM dv JOIN lp USING (ticker) ORDER BY dividends / px DESC, ticker LIMIT 10")
+def strategy_dividend_leaders(s, d):
+    return r(stg.dividend_leaders(v.actions(s, d), pan.last_price(v.bars(s, d), day()), day()), "dividends", "dividend_yield")
+
+
+_DUE = f"kind = 'catalyst' AND event_date >= {_NOW} AND event_date <= CAST({_NOW} + INTERVAL 3 MONTH AS DATE)"
+_BAD = f"kind IN ('rejection', 'hold') AND event_date <= {_NOW} AND event_date > {_YEAR_AGO}"
+
+
+@query(strategy_sql((stg.CASH, stg.RND, stg.SGA), f", nr AS (SELECT cik, min(event_date) FILTER ({_DUE}) AS next_event, count(*) FILTER ({_BAD}) AS n_bad FROM decisions GROUP BY cik), ru AS (SELECT cik, {ratio_sql(stg.CASH, f'((coalesce({stg.RND}, 0) + coalesce({stg.SGA}, 0)) / 3)')} AS runway, next_event, coalesce(n_bad > 0, false) AS halted FROM sn LEFT JOIN nr USING (cik))", ("decisions",)) + "SELECT cik, round(runway, 6) AS runway, next_event, halted, next_event IS NOT NULL AND coalesce(runway > 1.8, false) AND NOT halted AS enters, halted OR (next_event IS NULL AND coalesce(runway < 1.2, false)) AS avoids FROM ru")
+def strategy_catalysts(s, d):
+    return r(stg.catalysts(statements(s, d), v.decisions(s, d), day(), runway=1.8, short=1.2), "runway")

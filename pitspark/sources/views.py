@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.strategies import TAGS as STATEMENT_TAGS
+
 # fixed values: which fact each order priority stands for
 TAGS = {"1-URGENT": "NetIncomeLoss", "2-HIGH": "StockholdersEquity", "3-MEDIUM": "Revenues", "4-NOT SPECIFIED": "GrossProfit", "5-LOW": "CommonStockSharesOutstanding"}
 
@@ -50,6 +52,27 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), "ts", "event_id", F.col("value").alias("price"))
 
 
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the full set of statement tags: cik, tag, event_date, knowledge_date, val, accn."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    tag = F.element_at(F.array(*[F.lit(t) for t in STATEMENT_TAGS]), (F.col("l_partkey") % len(STATEMENT_TAGS) + 1).cast("int"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(F.col("l_suppkey").alias("cik"), tag.alias("tag"), F.col("o_orderdate").cast("date").alias("event_date"), F.col("l_shipdate").cast("date").alias("knowledge_date"), F.col("l_extendedprice").alias("val"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("accn"))
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corporate actions: ticker, event_date, type, action_value (text)."""
+    kind = F.when(F.col("l_linenumber") == 1, "split").otherwise("dividend")
+    return read(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), F.col("l_shipdate").cast("date").alias("event_date"), kind.alias("type"), F.col("l_tax").cast("string").alias("action_value"))
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regulatory events: cik, event_date, kind (catalyst, rejection, hold)."""
+    kind = F.when(F.col("l_linenumber") < 6, "catalyst").when(F.col("l_linenumber") == 6, "rejection").otherwise("hold")
+    return read(spark, sf_dir, "lineitem").filter("l_partkey % 50 = 0").select(F.col("l_suppkey").alias("cik"), F.col("l_shipdate").cast("date").alias("event_date"), kind.alias("kind"))
+
+
 # The same tables for DuckDB.
 SQL = {
     "bars": """SELECT 'S' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS event_date,
@@ -68,5 +91,10 @@ SQL = {
   CASE WHEN s_suppkey % 3 = 0 THEN DATE '1999-01-01' + CAST(s_suppkey * 53 % 900 AS INTEGER) END AS removed_date FROM supplier""",
     "macro": """SELECT event_type AS series_id, CAST(ts AS DATE) AS event_date, arg_max(value, row(ts, event_id)) AS val,
   CAST(ts AS DATE) + CAST(length(event_type) % 4 AS INTEGER) AS knowledge_date FROM events GROUP BY event_type, CAST(ts AS DATE)""",
+    "statements": f"""SELECT l_suppkey AS cik, [{', '.join(repr(t) for t in STATEMENT_TAGS)}][CAST(l_partkey % {len(STATEMENT_TAGS)} + 1 AS INTEGER)] AS tag,
+  CAST(o_orderdate AS DATE) AS event_date, CAST(l_shipdate AS DATE) AS knowledge_date, l_extendedprice AS val,
+  concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS accn FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "actions": "SELECT 'S' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS event_date, CASE WHEN l_linenumber = 1 THEN 'split' ELSE 'dividend' END AS type, CAST(l_tax AS VARCHAR) AS action_value FROM lineitem",
+    "decisions": "SELECT l_suppkey AS cik, CAST(l_shipdate AS DATE) AS event_date, CASE WHEN l_linenumber < 6 THEN 'catalyst' WHEN l_linenumber = 6 THEN 'rejection' ELSE 'hold' END AS kind FROM lineitem WHERE l_partkey % 50 = 0",
     "ticks": "SELECT 'U' || user_id AS ticker, ts, event_id, value AS price FROM events",
 }
