@@ -51,9 +51,10 @@ def ratios(wide: DataFrame, min_equity: float) -> DataFrame:
 TAGS = ["NetIncomeLoss", "StockholdersEquity", "Revenues", "GrossProfit", "CommonStockSharesOutstanding"]
 
 
-def factors(facts: DataFrame, prices: DataFrame, asof: Column, min_equity: float = 1000.0) -> DataFrame:
-    """(ticker, px, ey, bp, roe, gm) on a date: one pivoted aggregation for all tags, then one join."""
-    wide = latest_per_tag(facts, asof).groupBy(F.concat(F.lit("S"), F.col("cik").cast("string")).alias("ticker")).pivot("tag", TAGS).agg(F.first("val"))
+def factors(facts: DataFrame, prices: DataFrame, asof: Column, min_equity: float = 1000.0, tickers: DataFrame | None = None) -> DataFrame:
+    """(ticker, px, ey, bp, roe, gm) on a date: one pivoted aggregation for all tags, then one join. tickers: (cik, ticker), else S and the cik."""
+    wide = latest_per_tag(facts, asof).groupBy("cik").pivot("tag", TAGS).agg(F.first("val"))
+    wide = (wide.withColumn("ticker", F.concat(F.lit("S"), F.col("cik").cast("string"))) if tickers is None else wide.join(tickers, "cik")).drop("cik")
     return ratios(prices.join(wide, "ticker", "left"), min_equity).select("ticker", "px", "ey", "bp", "roe", "gm")
 
 
@@ -86,19 +87,19 @@ def composite(rows: DataFrame, by: str | None = None) -> DataFrame:
     return out.withColumn("composite", sum((F.col(f"z_{c}") for c in FACTORS), F.lit(0.0))).withColumn("n_factors", n)
 
 
-def rank(bars: DataFrame, facts: DataFrame, members: DataFrame, asof: str, latest_price: bool = False, min_equity: float = 1000.0) -> DataFrame:
+def rank(bars: DataFrame, facts: DataFrame, members: DataFrame, asof: str, latest_price: bool = False, min_equity: float = 1000.0, tickers: DataFrame | None = None) -> DataFrame:
     """Members on the date by the sum of five z-scores: value, quality and momentum. latest_price uses prices after the date too."""
     day = F.lit(asof).cast("date")
     prices = last_price(bars, F.lit("9999-12-31").cast("date") if latest_price else day)
     here = prices.join(members.filter(members_at(members, day)).select("ticker"), "ticker", "left_semi")
-    rows = factors(facts, here, day, min_equity).join(momentum_calendar(month_end(bars), day), "ticker", "left")
+    rows = factors(facts, here, day, min_equity, tickers).join(momentum_calendar(month_end(bars), day), "ticker", "left")
     return composite(rows.filter(F.coalesce(*[F.col(c) for c in FACTORS]).isNotNull()))
 
 
-def factor_profile(bars: DataFrame, facts: DataFrame, asof: str) -> DataFrame:
+def factor_profile(bars: DataFrame, facts: DataFrame, asof: str, tickers: DataFrame | None = None) -> DataFrame:
     """(ticker, px, four ratios, mom) as known on a date, for the tickers of bars; without facts the ratios are null."""
     day = F.lit(asof).cast("date")
-    return factors(facts, last_price(bars, day), day).join(momentum_calendar(month_end(bars), day), "ticker", "left").select("ticker", "px", "ey", "bp", "roe", "gm", "mom")
+    return factors(facts, last_price(bars, day), day, tickers=tickers).join(momentum_calendar(month_end(bars), day), "ticker", "left").select("ticker", "px", "ey", "bp", "roe", "gm", "mom")
 
 
 def backtest(panel: DataFrame, members: DataFrame, score: DataFrame | None = None, top: float = 0.2, cost_bps: float = 10.0, least: int = 5) -> DataFrame:
@@ -117,10 +118,11 @@ def backtest(panel: DataFrame, members: DataFrame, score: DataFrame | None = Non
     return out.select("month", "i", "n_elig", "k", "gross", "bench", "turnover", (F.col("gross") - F.col("turnover") * cost_bps / 10000).alias("net"))
 
 
-def multifactor_scores(bars: DataFrame, facts: DataFrame, members: DataFrame, min_equity: float = 1000.0) -> DataFrame:
+def multifactor_scores(bars: DataFrame, facts: DataFrame, members: DataFrame, min_equity: float = 1000.0, tickers: DataFrame | None = None) -> DataFrame:
     """(ticker, month, score) for all months: set-based point-in-time factors on the first day of each month."""
     rows = momentum_positional(month_end(bars)).join(members, "ticker").filter(members_at(members, F.col("month"))).select("ticker", "month", "px", "mom")
-    wide = latest_by_month(facts, rows.select("month").distinct()).groupBy(F.concat(F.lit("S"), F.col("cik").cast("string")).alias("ticker"), "month").pivot("tag", TAGS).agg(F.first("val"))
+    wide = latest_by_month(facts, rows.select("month").distinct()).groupBy("cik", "month").pivot("tag", TAGS).agg(F.first("val"))
+    wide = (wide.withColumn("ticker", F.concat(F.lit("S"), F.col("cik").cast("string"))) if tickers is None else wide.join(tickers, "cik")).drop("cik")
     scored = composite(ratios(rows.join(wide, ["ticker", "month"], "left"), min_equity), "month")
     return scored.select("ticker", "month", F.col("composite").alias("score"))
 

@@ -9,15 +9,26 @@ from pyspark.sql import functions as F
 LATEST = ("knowledge_date", "event_date", "accn")
 
 
+def _finite(x: str) -> Column:
+    return ~F.isnan(x) & (F.abs(F.col(x)) != float("inf"))
+
+
 def gate(facts: DataFrame) -> DataFrame:
     """facts with reject_reason (null: accepted); reasons in order of precedence."""
-    return facts.withColumn("reject_reason", F.when(F.col("knowledge_date").isNull(), "null_knowledge_date").when(F.col("event_date").isNull(), "null_event_date").when(F.col("knowledge_date") < F.col("event_date"), "lookahead"))
+    c = F.col
+    return facts.withColumn("reject_reason", F.when(c("knowledge_date").isNull(), "null_knowledge_date").when(c("event_date").isNull(), "null_event_date").when(c("knowledge_date") < c("event_date"), "lookahead").when(c("val").isNull(), "null_value").when(~_finite("val"), "non_finite_value"))
+
+
+def gate_macro(macro: DataFrame) -> DataFrame:
+    """macro with reject_reason; a series may be known ahead of its day."""
+    c = F.col
+    return macro.withColumn("reject_reason", F.when(c("knowledge_date").isNull(), "null_knowledge_date").when(c("event_date").isNull(), "null_event_date").when(c("val").isNull(), "null_value").when(~_finite("val"), "non_finite_value"))
 
 
 def gate_prices(bars: DataFrame) -> DataFrame:
     """bars with reject_reason."""
-    bad = F.col("high") < F.col("low")
-    return bars.withColumn("reject_reason", F.when(F.col("event_date").isNull(), "null_event_date").when(F.coalesce(F.col("close") <= 0, F.lit(True)), "nonpositive_close").when(bad, "corrupt_ohlc").when(F.col("volume") < 0, "negative_volume"))
+    c = F.col
+    return bars.withColumn("reject_reason", F.when(c("event_date").isNull(), "null_event_date").when(c("close").isNull(), "null_close").when(~_finite("close"), "non_finite_close").when(c("close") <= 0, "nonpositive_close").when(c("volume") < 0, "negative_volume").when(c("high") < c("low"), "corrupt_ohlc"))
 
 
 def live(gated: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def gate_facts_reasons(s, d):
     return pit.gate(v.facts(s, d)).groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
-@query(w("bars", more="b AS (SELECT * REPLACE (CASE WHEN dayofmonth(event_date) = 7 THEN -close ELSE close END AS close, CASE WHEN dayofmonth(event_date) = 9 THEN low - 1 ELSE high END AS high, CASE WHEN dayofmonth(event_date) = 11 THEN -volume ELSE volume END AS volume) FROM bars)") + "SELECT CASE WHEN close <= 0 THEN 'nonpositive_close' WHEN high < low THEN 'corrupt_ohlc' WHEN volume < 0 THEN 'negative_volume' END AS reject_reason, count(*) AS n FROM b GROUP BY 1")
+@query(w("bars", more="b AS (SELECT * REPLACE (CASE WHEN dayofmonth(event_date) = 7 THEN -close ELSE close END AS close, CASE WHEN dayofmonth(event_date) = 9 THEN low - 1 ELSE high END AS high, CASE WHEN dayofmonth(event_date) = 11 THEN -volume ELSE volume END AS volume) FROM bars)") + "SELECT CASE WHEN close <= 0 THEN 'nonpositive_close' WHEN volume < 0 THEN 'negative_volume' WHEN high < low THEN 'corrupt_ohlc' END AS reject_reason, count(*) AS n FROM b GROUP BY 1")
 def gate_prices_reasons(s, d):
     dom = F.dayofmonth("event_date")
     b = v.bars(s, d).withColumns({"close": F.when(dom == 7, -F.col("close")).otherwise(F.col("close")), "high": F.when(dom == 9, F.col("low") - 1).otherwise(F.col("high")), "volume": F.when(dom == 11, -F.col("volume")).otherwise(F.col("volume"))})
