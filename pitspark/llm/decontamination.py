@@ -25,6 +25,7 @@ WINDOW, SHORTEST = 13, 5
 SIFT = 2_000_000
 # fixed values: words for units
 UNITS = frozenset("km kilometers kilometres kilometer kilometre m meters metres meter metre cm centimeters centimetres mm millimeters miles mile feet foot ft inches inch yards yard kg kilograms kilogram g grams gram mg tons tonnes ton lb lbs pounds pound oz ounces ounce l liters litres liter litre ml gallons gallon hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents cent percent degrees degree celsius fahrenheit mph kmh kph watts watt kw volts volt".split())
+PLAIN_ENDS = frozenset(".,;:!?")
 _NUMBER = regex.compile(r"[+\-]?[$€£]?\d[\d.,:/]*(%|st|nd|rd|th|\p{L}{1,3})?")
 _NAME = regex.compile(r"\p{Lu}\p{Ll}+(?:[-'’]\p{L}+)*")
 _EDGE = regex.compile(r"^[\p{P}\p{S}--[$€£+\-]]+|[\p{P}\p{S}--[%]]+$", regex.V1)
@@ -32,6 +33,12 @@ _EDGE = regex.compile(r"^[\p{P}\p{S}--[$€£+\-]]+|[\p{P}\p{S}--[%]]+$", regex.
 
 def canonical(word: str) -> tuple[str, str, bool]:
     """(template word inside a sentence, at its start, whether the sentence ends after it). A slot's word begins with <."""
+    plain = word[:-1] if word[-1:] in PLAIN_ENDS else word
+    if plain.isascii() and plain.isalpha() and (plain.islower() or len(plain) > 1 and plain[0].isupper() and plain[1:].islower()):  # what the patterns below say of such words
+        low, ends = plain.lower(), word[-1] in ".!?:"
+        if low in UNITS:
+            return "<unit>", "<unit>", ends
+        return (low if low == plain else "<name>"), low, ends
     ends = word[-1:] in ".!?:" or word[-2:-1] in (".", "!", "?") and word[-1:] in "\"')”’"
     bare = _EDGE.sub("", word)
     if _NUMBER.fullmatch(bare):
@@ -56,7 +63,8 @@ class Reader:
                 self.known.clear()
             inner, start, ends = canonical(word)
             code = lambda x: xxhash.xxh64_intdigest(x)
-            found = self.known[word] = (code(inner), code(start), ends, inner, start, not start)
+            of_start = code(start)
+            found = self.known[word] = (of_start if inner == start else code(inner), of_start, ends, inner, start, not start)
         return found
 
     def read(self, text: str) -> np.ndarray:
