@@ -2,8 +2,9 @@
 
 Bounded-space online best-fit: a fixed number of sequences is open; a bitset has bit f set where an open one has f tokens
 free, so the best fit for a piece of n tokens is the lowest set bit from n on. If none fits, a new sequence opens, and
-where too many are open the fullest closes first. Parts of a fixed number of pieces pack alone, longest pieces first, so a part leaves
-at most a few sequences unfilled among the thousands that it makes.
+where too many are open the fullest closes first. Parts of a fixed number of pieces pack alone, longest pieces first. No two
+pieces over half length share a sequence, so a part keeps at least as many sequences open as it has of those: none of them
+closes before the short pieces that fill it have come.
 """
 
 from __future__ import annotations
@@ -106,8 +107,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int = LENGTH, with_i
 
 
 def _pack(part: int, lengths: np.ndarray, size: int, most_open: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence (unique among parts) and offset of each length, placed longest first."""
-    bins = BestFit(size, most_open)
+    """Sequence (unique among parts) and offset of each length, placed longest first; all over half length stay open at once."""
+    bins = BestFit(size, max(most_open, int((2 * lengths > size).sum())))
     seq, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for i in np.argsort(-lengths, kind="stable"):
         seq[i], offset[i] = bins.place(int(lengths[i]))

@@ -130,6 +130,15 @@ def test_best_fit_takes_the_fullest_that_fits_and_closes_the_fullest():
     assert bins.place(5) == (2, 5)
 
 
+def test_a_part_packs_into_few_sequences():
+    rng = random.Random(2)
+    lengths = np.array([rng.randint(550, 800) if k % 2 else rng.randint(20, 450) for k in range(10_000)])
+    seq, _ = packing._pack(0, lengths, packing.LENGTH, packing.OPEN)
+    least = max(-(-int(lengths.sum()) // packing.LENGTH), int((2 * lengths > packing.LENGTH).sum()))
+    assert len(set(seq.tolist())) <= 1.01 * least
+    assert max(np.bincount(seq, lengths)) <= packing.LENGTH
+
+
 def test_line_dedup(spark):
     line = "All rights reserved."
     texts = [f"{prose(20, k)}\n {line}\n{prose(9, 50 + k)}" for k in range(12)] + [A + "\n" + B] * 12 + [None, "", "\n"]
