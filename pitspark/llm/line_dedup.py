@@ -2,8 +2,8 @@
 
 Sketches of the site are built for each line hash and merge by aggregation. An estimate that clears the threshold by the
 sketch's error decides at once; lines near it get an exact distinct count. Lines at or over the threshold are removed,
-except from documents that consist mostly of such lines: these are copies of one another, not pages with boilerplate, and
-stay whole for the near-duplicate stage.
+except from documents that consist mostly of such lines and recur in other documents: these are copies of one another, not
+pages with boilerplate, and stay whole for the near-duplicate stage.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ from .common import stage, table
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 10
-#: A document whose repeated lines hold more than this share of its characters is a copy.
+#: A document whose repeated lines hold more than this share of its characters is a copy, if it recurs in other documents.
 COPY_SHARE = 0.5
+#: A document recurs if another has the same lines, or the same lines of LONG characters or more where there are LONG_LINES of them.
+LONG, LONG_LINES = 100, 3
+#: Parts into which the documents of one text are dealt.
+_SALTS = 16
 _LG_K = 10
 
 
@@ -46,17 +50,31 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str
     return stage(spread.filter(F.col("n_sites") >= min_sites + near).unionByName(exact.filter(F.col("n_sites") >= min_sites)), "boilerplate")
 
 
+def _recurring(docs: DataFrame, text_col: str, k1: Column, k2: Column) -> DataFrame:
+    """(k1, k2) of the documents that recur under another k1."""
+    lines = F.filter(F.transform(F.split(F.col(text_col), "\n"), _line), lambda x: x != "")
+    long_ = F.filter("lines", lambda x: F.length(x) >= LONG)
+    keys = F.array(F.when(F.size("lines") > 0, F.xxhash64(F.lit(1), "lines")), F.when(F.size(long_) >= LONG_LINES, F.xxhash64(F.lit(2), long_)))
+    keyed = docs.select(k1, k2, lines.alias("lines")).select("k1", "k2", F.explode(F.array_compact(keys)).alias("key"))
+    again = keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).filter("a < b")
+    dealt = again.select("key", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    return keyed.withColumn("salt", F.pmod("k1", F.lit(_SALTS)).cast("int")).join(dealt, ["key", "salt"], "left_semi").select("k1", "k2")
+
+
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE, site_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with the boilerplate lines cut out of the text, and one column ``line_dedup`` (n_lines, n_removed, copy) more.
 
     Null texts stay null; a text without such lines stays as it is, byte for byte. copy: more than copy_share of the text's
-    characters are on such lines, and it is left whole. Repeated rows are treated alike; an empty table stays empty. An input column named
+    characters are on such lines and it recurs in other documents, and it is left whole. Repeated rows are treated alike; an empty table stays empty. An input column named
     line_dedup is replaced.
     """
     found = boilerplate_lines(docs, min_sites, site_col, text_col)
     # by document, not by text alone: copies of one text spread over all tasks
-    here = docs.select(F.coalesce(F.xxhash64(id_col), F.lit(0)).alias("k1"), F.xxhash64(text_col).alias("k2"), F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), _line))).alias("line")).filter("line != ''")
-    hits = here.select("k1", "k2", *_keys(F.col("line"))).join(found.select("h1", "h2"), ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("_hits"))
+    k1, k2 = F.coalesce(F.xxhash64(id_col), F.lit(0)).alias("k1"), F.xxhash64(text_col).alias("k2")
+    here = docs.select(k1, k2, F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), _line))).alias("line")).filter("line != ''")
+    marks = here.select("k1", "k2", *_keys(F.col("line"))).join(found.select("h1", "h2"), ["h1", "h2"]).select("k1", "k2", F.struct("h1", "h2").alias("x"))
+    marks = marks.unionByName(_recurring(docs, text_col, k1, k2), allowMissingColumns=True)
+    hits = marks.groupBy("k1", "k2").agg(F.collect_set("x").alias("_hits"), F.bool_or(F.isnull("x")).alias("_recurs")).filter(F.size("_hits") > 0)
 
     lines = F.split(F.col(text_col), "\n", -1)
     bad = lambda x: (_line(x) != "") & F.array_contains(F.col("_hits"), F.struct(*_keys(_line(x))))
@@ -65,7 +83,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, copy_share:
     hit = F.col("_hits").isNotNull()
     n_cut = F.size(lines) - F.size(keep)
     # removed characters, with the line feed of each removed line
-    copy = hit & (F.length(text_col) - F.length(kept_text) > F.length(text_col) * copy_share)
+    copy = hit & F.col("_recurs") & (F.length(text_col) - F.length(kept_text) > F.length(text_col) * copy_share)
     out = docs.withColumn("_k1", F.coalesce(F.xxhash64(id_col), F.lit(0))).withColumn("_k2", F.xxhash64(text_col))
     out = out.join(hits, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
     mark = F.struct(F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(hit & ~copy, n_cut).otherwise(0).cast("long").alias("n_removed"), F.coalesce(copy, F.lit(False)).alias("copy"))

@@ -149,6 +149,19 @@ def test_line_dedup(spark):
     assert line_dedup.remove_boilerplate(df.limit(0)).count() == 0
 
 
+def test_line_dedup_leaves_only_real_copies_whole(spark):
+    line = "All rights reserved. " + prose(20, 3)
+    pages = [f"{line}\n{prose(5, 50 + k)}" for k in range(12)]  # mostly boilerplate, but each is a page of its own
+    article = "\n".join(prose(40, 70 + k) for k in range(4))
+    copies = [article] * 6 + [f"By writer {k}\n{article}" for k in range(12)]
+    texts = pages + copies + [f"{line}\nthe same row twice"]
+    rows = [(k, t, f"s{k % 14}") for k, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string, source string")
+    got = sorted((r["doc_id"], r["text"], r["line_dedup"]["copy"]) for r in line_dedup.remove_boilerplate(df).collect())
+    want = [(k, t.split("\n")[1], False) if k < 12 else (k, t, True) for k, t in enumerate(pages + copies)]
+    assert got == [*want, *[(30, "the same row twice", False)] * 2]
+
+
 def exact_classes(rows, least=0.8):
     sets = []
     for _, t in rows:
