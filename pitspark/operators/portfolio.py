@@ -12,7 +12,7 @@ def daily_returns(bars: DataFrame) -> DataFrame:
     return bars.filter("close > 0").select("ticker", "event_date", "close", before.alias("p")).filter("p > 0").select("ticker", "event_date", "close", (F.col("close") / F.col("p") - 1).alias("ret"))
 
 
-def covariance(bars: DataFrame, symbols: int = 20, lookback: int = 252, least: int = 20) -> DataFrame:
+def covariance(bars: DataFrame, symbols: int = 200, lookback: int = 252, least: int = 20) -> DataFrame:
     """(sym_a, sym_b, cov) over the last closes of the first symbols by name; series are aligned by position from the oldest."""
     chosen = bars.select("ticker").distinct().orderBy("ticker").limit(symbols)
     w = Window.partitionBy("ticker")

@@ -1,8 +1,10 @@
-from datetime import date
+import random
+from datetime import date, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from pitspark.operators import names, panel, pit
+from pitspark.operators import names, panel, pit, portfolio
 from pitspark.sources import html_tables, landing
 from pitspark.streaming import ticks
 
@@ -33,6 +35,16 @@ def test_resolver_rules(spark):
     assert {x["sponsor"]: x["cik"] for x in names.resolve(s, c).collect()} == {"AbbVie": 1, "ModernaTX": 2, "Vertex": 3}
 
 
+def test_covariance_takes_the_first_200_symbols(spark):
+    rng = random.Random(1)
+    bars = [(f"T{k:03}", date(2020, 1, 1) + timedelta(days=j), 10 + rng.random()) for k in range(205) for j in range(25)]
+    got = {(x["sym_a"], x["sym_b"]): x["cov"] for x in portfolio.covariance(spark.createDataFrame(bars, "ticker string, event_date date, close double")).collect()}
+    assert len(got) == 200 * 200 and max(got)[0] == "T199"
+    price = np.array([p for *_, p in bars]).reshape(205, 25)
+    want = np.cov(price[[30, 150], 1:] / price[[30, 150], :-1] - 1)
+    assert abs(got["T030", "T150"] - want[0, 1]) < 1e-7 and abs(got["T150", "T150"] - want[1, 1]) < 1e-7
+
+
 def test_merge_last_wins(spark):
     a = spark.createDataFrame([(1, "x", 1), (2, "y", 2)], "k long, v string, seq long")
     b = spark.createDataFrame([(2, "z", 1), (3, "q", 1), (3, "r", 2)], "k long, v string, seq long")
