@@ -15,22 +15,30 @@ def normalize(name: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*FORMS)), " ")
 
 
+def _stems(name: Column) -> Column:
+    """What a shorter name must equal to match loosely: the prefixes of four letters or more at a word's end, and the name without its last one to three letters if five are left."""
+    words = F.split(name, " ")
+    at_word = F.filter(F.transform(words, lambda w, i: F.array_join(F.slice(words, F.lit(1), i + 1), " ")), lambda x: (F.length(x) >= 4) & (F.length(x) < F.length(name)))
+    glued = F.filter(F.transform(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda k: F.substring(name, F.lit(1), F.length(name) - k)), lambda x: F.length(x) >= 5)
+    return F.array_union(at_word, glued)
+
+
 def resolve(sponsors: DataFrame, companies: DataFrame) -> DataFrame:
     """(sponsor, cik): exact normal form, else a shared prefix at a word's end, else one that only lacks up to three letters; the longest company name wins.
 
-    Both loose rules share four letters, so those are an equi-join key and no pair outside of a block is made.
+    A loose match is an equality of the shorter name with a stem of the longer. Of the companies that share a stem only the
+    best is joined, so rows grow with the names, not with their pairs.
     """
     s = sponsors.select("sponsor", normalize(F.col("sponsor")).alias("s")).filter("s <> ''").distinct()
     c = companies.groupBy(normalize(F.col("name")).alias("c")).agg(F.min("cik").alias("cik")).filter("c <> ''")
-    exact = s.join(c, F.col("s") == F.col("c")).select("sponsor", "s", "c", "cik")
+    exact = s.join(c, F.col("s") == F.col("c")).select("sponsor", "cik")
     rest = s.join(exact.select("sponsor"), "sponsor", "left_anti")
-    pairs = rest.join(c, F.substring("s", 1, 4) == F.substring("c", 1, 4))
-    short, long_ = F.when(F.length("s") <= F.length("c"), F.col("s")).otherwise(F.col("c")), F.when(F.length("s") <= F.length("c"), F.col("c")).otherwise(F.col("s"))
-    word = (F.length(short) >= 4) & F.startswith(long_, F.concat(short, F.lit(" ")))
-    glued = (F.length(short) >= 5) & F.startswith(long_, short) & (F.length(long_) - F.length(short) <= 3)
-    best = F.row_number().over(Window.partitionBy("sponsor").orderBy(F.desc(F.length("c")), "c"))
-    loose = pairs.filter(word | glued).withColumn("rn", best).filter("rn = 1").select("sponsor", "s", "c", "cik")
-    return exact.unionByName(loose).select("sponsor", "cik")
+    first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length("c")), "c"))
+    of_longer = c.select(F.explode(_stems(F.col("c"))).alias("stem"), "c", "cik").withColumn("rn", first("stem")).filter("rn = 1").drop("rn")
+    longer = rest.join(of_longer, F.col("s") == F.col("stem")).select("sponsor", "c", "cik")
+    shorter = rest.select("sponsor", F.explode(_stems(F.col("s"))).alias("stem")).join(c, F.col("stem") == F.col("c")).select("sponsor", "c", "cik")
+    loose = longer.unionByName(shorter).withColumn("rn", first("sponsor")).filter("rn = 1").select("sponsor", "cik")
+    return exact.unionByName(loose)
 
 
 def norm_ticker(raw: Column) -> Column:

@@ -1,3 +1,4 @@
+import itertools
 import random
 from datetime import date, timedelta
 
@@ -35,6 +36,36 @@ def test_resolver_rules(spark):
     assert {x["sponsor"]: x["cik"] for x in names.resolve(s, c).collect()} == {"AbbVie": 1, "ModernaTX": 2, "Vertex": 3}
 
 
+def test_resolver_equals_brute_force(spark):
+    words = ["blue", "blues", "bluest", "sky", "a", "skyline", "bio", "biotech"]
+    made = [" ".join(x) for n in (1, 2, 3) for x in itertools.product(words[: 9 - n], repeat=n)]
+    sponsors, companies = made[::2] + [m + "us" for m in made[::3]], made[1::2] + made[::7]
+    c = {}
+    for k, m in enumerate(companies):
+        c.setdefault(m, k)
+
+    def loose(a, b):
+        a, b = sorted((a, b), key=len)
+        return len(a) >= 4 and b.startswith(a + " ") or len(a) >= 5 and b.startswith(a) and len(b) - len(a) <= 3
+
+    want = {}
+    for s in set(sponsors):
+        found = [s] if s in c else sorted((x for x in c if loose(s, x)), key=lambda x: (-len(x), x))
+        if found:
+            want[s] = c[found[0]]
+    got = names.resolve(spark.createDataFrame([(s,) for s in sponsors], "sponsor string"), spark.createDataFrame(list(zip(companies, range(len(companies)), strict=True)), "name string, cik long"))
+    assert sorted((x["sponsor"], x["cik"]) for x in got.collect()) == sorted(want.items())
+
+
+def test_every_part_is_resolved(spark, tmp_path):
+    from pitspark.plans import catalog
+
+    parts = [(k, f"{'forest' if k % 2 else 'azure'} item{k // 3 * 3}") for k in range(399, 600)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {x["sponsor"] for x in catalog.name_resolve_fuzzy(spark, str(tmp_path)).collect()}
+    assert any(s.startswith(("forest item597", "azure item597")) for s in got)
+
+
 def test_covariance_takes_the_first_200_symbols(spark):
     rng = random.Random(1)
     bars = [(f"T{k:03}", date(2020, 1, 1) + timedelta(days=j), 10 + rng.random()) for k in range(205) for j in range(25)]
