@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so a question whose values were changed keeps its template. Windows of
 template words of the benchmark are hash-joined with those of the documents; a window counts if its literal words suffice and
 the values map one to one: the same value of the question always stands for the same value of the document, and the other
-way around. A document is contaminated by an item with which it shares such a window.
+way around. Windows whose words are equal are joined as well, whatever share of them are values and wherever a sentence
+starts. A document is contaminated by an item with which it shares a window of either kind.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stage, table
 
-#: Words of a window; shorter items are one window if they have at least SHORTEST words.
+#: Words of a window; shorter items are one window, whose template counts if it has at least SHORTEST words.
 WINDOW, SHORTEST = 13, 5
 #: Windows of the benchmark (8 bytes each) up to which their hashes go to the executors to sift the documents' windows before the join.
 SIFT = 2_000_000
@@ -50,6 +51,12 @@ def canonical(word: str) -> tuple[str, str, bool]:
     return ("<name>" if _NAME.fullmatch(bare) else low), low, ends
 
 
+def literal(word: str) -> str:
+    """The word without punctuation at its edges, in lower case."""
+    plain = word[:-1] if word[-1:] in PLAIN_ENDS else word
+    return (plain if plain.isascii() and plain.isalpha() else _EDGE.sub("", word)).lower()
+
+
 class Reader:
     """Template words of a text, without those that are punctuation only; remembers words, within bounds."""
 
@@ -64,13 +71,15 @@ class Reader:
             inner, start, ends = canonical(word)
             code = lambda x: xxhash.xxh64_intdigest(x)
             of_start = code(start)
-            found = self.known[word] = (of_start if inner == start else code(inner), of_start, ends, inner, start, not start)
+            of_word = code(literal(word)) if start[:1] == "<" else of_start  # others stand for themselves
+            found = self.known[word] = (of_start if inner == start else code(inner), of_start, ends, inner, start, not start, of_word)
         return found
 
     def read(self, text: str) -> np.ndarray:
-        """Hashes of the template words."""
+        """Hashes of the template words, and in a second row of the words themselves."""
         codes: list[int] = []
-        add, known, look = codes.append, self.known, self.look
+        own: list[int] = []
+        add, add_own, known, look = codes.append, own.append, self.known, self.look
         for line in text.split("\n"):
             first = True
             for w in line.split():
@@ -79,8 +88,11 @@ class Reader:
                     first = first or x[2]
                     continue
                 add(x[1] if first else x[0])
+                add_own(x[6])
                 first = x[2]
-        return np.array(codes, dtype=np.uint64)
+        out = np.array([codes, own], dtype=np.uint64)
+        out[1] ^= np.uint64(_OWN)
+        return out
 
     def detail(self, text: str) -> list[tuple[str, str]]:
         """(template word, word) of the same words."""
@@ -97,18 +109,19 @@ class Reader:
         return out
 
 
+_OWN = 0xD6E8FEB86659FD93  # keeps the rows' hashes apart
 _R, _R_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """A hash for each run of width template words."""
-    n = len(codes) - width + 1
+    """A hash for each run of width words, in each row."""
+    n = codes.shape[1] - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+        return np.zeros((len(codes), 0), np.uint64)
+    out = np.zeros((len(codes), n), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(width):
-            out = (out ^ (out >> np.uint64(31))) * np.uint64(_R) + codes[j : j + n]
+            out = (out ^ (out >> np.uint64(31))) * np.uint64(_R) + codes[:, j : j + n]
         return out ^ (out >> np.uint64(29))
 
 
@@ -116,25 +129,34 @@ FIELDS = "pos int, width int, hash long, template string, slots array<string>"
 
 
 def _windows(reader: Reader, text: str | None, widths: tuple[int, ...] | None, sift: np.ndarray | None) -> list[tuple]:
-    """(pos, width, hash, template, slots) of the windows that can match; widths None: an item's own. Half of a window's words must be literal."""
+    """(pos, width, hash, template, slots) of the windows that can match; widths None: an item's own.
+
+    Half of a template window's words must be literal. A window of the words themselves has "=" before them and no slots.
+    """
     codes = reader.read(text or "")
+    n = codes.shape[1]
     out, detail = [], None
-    for width in widths or ((min(WINDOW, len(codes)),) if len(codes) >= SHORTEST else ()):
+    for width in widths or ((min(WINDOW, n),) if n else ()):
         hashes = window_hashes(codes, width)
         if sift is not None:
             if not len(sift):
                 continue
             near = np.searchsorted(sift, hashes)
             near[near == len(sift)] = 0
-            found = np.flatnonzero(sift[near] == hashes)
+            found = np.argwhere(sift[near] == hashes)
         else:
-            found = np.arange(len(hashes))
-        for i in found:
+            found = np.argwhere(np.ones(hashes.shape, bool))
+        for row, i in found.tolist():
             detail = detail or reader.detail(text)
-            template = [t for t, _ in detail[i : i + width]]
-            slots = [f"{t}{_EDGE.sub('', w).lower()}" for t, w in detail[i : i + width] if t[0] == "<"]
-            if 2 * len(slots) <= width:
-                out.append((int(i), width, int(hashes[i].view(np.int64)), " ".join(template), slots))
+            here = detail[i : i + width]
+            if row:
+                template, slots = " ".join(["=", *(literal(w) for _, w in here)]), []
+            else:
+                template = " ".join(t for t, _ in here)
+                slots = [f"{t}{_EDGE.sub('', w).lower()}" for t, w in here if t[0] == "<"]
+                if width < SHORTEST or 2 * len(slots) > width:
+                    continue
+            out.append((i, width, int(hashes[row, i].view(np.int64)), template, slots))
     return out
 
 
@@ -153,8 +175,8 @@ def _table(rows: DataFrame, key: str, widths: tuple[int, ...] | None, sift: np.n
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, verbatim, first_pos): a row for each document and item that share consistent windows.
 
-    n_windows: places of the document's windows; verbatim: some window has equal values as well. Null and empty texts and items
-    of fewer than five words match nothing. Repeated rows count once. Empty tables give an empty result; other columns are
+    n_windows: places of the document's windows; verbatim: some window has equal values as well. Null and empty texts
+    match nothing; items of fewer than five words match as they stand only. Repeated rows count once. Empty tables give an empty result; other columns are
     not carried.
     """
     small_batches(docs.sparkSession)

@@ -223,6 +223,14 @@ def test_decontamination(spark):
     assert decontamination.contaminated(make(spark, []), bench).count() == 0
 
 
+def test_decontamination_by_words_alone(spark):
+    items = ["Tom scored 12, 15, 9, 30, 22, 8 and 4 points in 7 games.", "Which river flows through the old town of Marl?", "red green blue", "  "]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"{B} {items[0]} {B}", f"{B} {items[1]} {B}", f"{B} red, green\nblue {B}", items[0].replace("12", "13"), "Which river flows through the new town of Marl?", "red green", None]
+    got = decontamination.contaminated(make(spark, texts), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["verbatim"]) for r in got) == [(0, 0, True), (1, 1, True), (2, 2, True)]
+
+
 def test_decontamination_without_the_sift(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "SIFT", -1)
     test_decontamination(spark)
