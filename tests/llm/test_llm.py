@@ -301,6 +301,16 @@ def test_html(spark):
     assert got == [(1, text, len(text)), (2, "", 0), (3, "", 0), (4, "a b c", 5), (4, "a b c", 5), (5, "deep", 4)]
 
 
+def test_html_compares_whole_attribute_names():
+    text = "A paragraph that is long enough to count as the text of a page, with quite a few words."
+    for attr in ('data-id="nav"', 'title="hidden gems"', 'data-x="role=menu"', "data-hidden", "data-url=/p?id=ad"):
+        assert html_extraction.extract(f"<html><body><div {attr}><p>{text}</p></div></body></html>") == text, attr
+    linked = html_extraction.extract(f"<body><p>{text} See <a href='/the-hidden-cost'>the cost</a> and <a href=/p?id=ad>more</a>.</p></body>")
+    assert linked == f"{text} See the cost and more."
+    for attr in ("hidden", 'ID = "nav"', "id=nav", "class='x ad'", 'aria-hidden="true"', "title='a b'hidden"):
+        assert "Gone" not in html_extraction.extract(f"<body><div {attr}><p>Gone. {text}</p></div><p>{text}</p></body>"), attr
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
