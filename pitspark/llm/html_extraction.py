@@ -2,233 +2,289 @@
 
 Each node of the page's tree gets its characters per tag, lowered by the share that stands in links. A node's density sum
 adds its children's densities; the node with the largest sum holds the article. The lowest density on the path from it to
-the body is the threshold: elsewhere, subtrees at or over it are kept too if they hold the largest sum of their branch.
-Elements that are never article text (menus, forms, scripts and so on) leave the tree before the densities are computed,
-and a chosen node widens to the article element around it.
+the body is the threshold: elsewhere, subtrees at or over it are kept too, where the largest sum of their branch lies.
+
+Elements whose very name says that they hold no article text (menus, forms, scripts and so on) leave the tree before the
+densities are computed. Words in a class or id are a weak prior only: they lower a node's density, unless the node holds
+much of the page's text; what then stays under the threshold goes. Every step is linear in the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from math import e, log
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 # fixed values: element names of HTML
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "script", "small", "span", "strike", "strong", "style", "sub", "sup", "template", "time", "tt", "u", "var", "wbr"}
 DROPPED = {"head", "script", "style", "noscript", "template", "title", "nav", "aside", "footer", "form", "button", "select", "option", "textarea", "input", "iframe", "object", "embed", "svg", "canvas", "audio", "video", "map", "menu", "dialog", "xmp", "noembed", "noframes"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "alert", "dialog", "form"}
-#: Words in a class or id that mark what surrounds an article.
-BOILERPLATE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promoted", "banner", "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "masthead", "topbar", "cookie", "cookies", "consent", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "widget", "pagination", "pager", "toolbar", "disclaimer"}
+#: Names of what surrounds an article, as the first or last part of a class or id: the prior.
+BOILERPLATE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promoted", "banner", "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "footer", "masthead", "topbar", "cookie", "cookies", "consent", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "commentlist", "disqus", "respond", "replies", "widget", "pagination", "pager", "toolbar", "disclaimer"}
+#: First parts of a class that says something about a page instead of naming a part of it.
+STATES = {"no", "not", "with", "without", "has", "is", "show", "hide", "hides", "shows", "can", "js"}
+#: How much the prior lowers a density, and the share of the page's text from which on it says nothing, unless an article stands elsewhere.
+PRIOR, MOST = 0.25, 0.5
 #: An element of the first kind ends an open one of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
-SCOPES = {"ul", "ol", "dl", "table", "html", "body", "td", "th", "article", "section", "div", "main", "aside", "nav"}
+SCOPES = ("ul", "ol", "dl", "table", "html", "body", "td", "th", "article", "section", "div", "main", "aside", "nav")
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STEP = re.compile(r"""[^>"'=]*""")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-class Node:
-    __slots__ = ("name", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked")
+@dataclass
+class Page:
+    """The tree of a page; nodes are numbered in page order, the root is 0. pieces: (node, text), or (node, None) where a block begins or ends."""
 
-    def __init__(self, name: str, parent: Node | None, dropped: bool = False):
-        self.name, self.parent, self.dropped = name, parent, dropped
-        self.children: list = []
-        self.marked = False
+    names: list[str] = field(default_factory=lambda: ["html"])
+    parent: list[int] = field(default_factory=lambda: [0])
+    dropped: list[bool] = field(default_factory=lambda: [False])
+    prior: list[bool] = field(default_factory=lambda: [False])
+    pieces: list[tuple[int, str | None]] = field(default_factory=list)
 
 
-def _unwanted(name: str, attrs: str, in_article: bool) -> bool:
-    if name in DROPPED or name == "header" and not in_article:
-        return True
-    for m in _ATTR.finditer(attrs) if attrs and not attrs.isspace() else ():
+def _judge(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is out by its name or state, and whether its class or id names boilerplate."""
+    out, prior = name in DROPPED or name == "header" and not in_article, False
+    for m in _ATTR.finditer(attrs) if attrs and not out and not attrs.isspace() else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value) or key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and not BOILERPLATE.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            out = True
+        if key in ("class", "id") and name not in ("html", "body"):
+            for token in value.split():
+                parts = [p for p in re.split(r"[^a-z]+", token) if p]
+                prior = prior or bool(parts) and parts[0] not in STATES and (parts[0] in BOILERPLATE or parts[-1] in BOILERPLATE)
+    return out, prior
+
+
+def _tag_end(page: str, at: int) -> int:
+    """The place of the > that ends a tag, or -1: quotes around a value hide it."""
+    after_equals = False
+    while True:
+        at = _STEP.match(page, at).end()
+        if at >= len(page):
+            return -1
+        c = page[at]
+        if c == ">":
+            return at
+        if c == "=":
+            after_equals = True
+            at += 1
+            while at < len(page) and page[at].isspace():
+                at += 1
+            if at < len(page) and page[at] in "\"'":
+                at = page.find(page[at], at + 1)
+                if at < 0:
+                    return -1
+                at += 1
+            continue
+        at += 1  # a quote that opens no value
 
 
-def parse(page: str) -> Node:
+def parse(page: str) -> Page:
     """The page's tree, as browsers read loose markup: unclosed paragraphs, list items and cells end where the next begins."""
-    root = node = Node("html", None)
-    at, article = 0, 0
-    find = _TOKEN.search
-    while m := find(page, at):
-        if m.start() > at:
-            node.children.append(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+    out = Page()
+    stack, blocks = [0], [0]  # open nodes, and the depths of the open blocks
+    open_at: dict[str, list[int]] = defaultdict(list)  # depths of the open nodes, by name
+    loose = False  # a tag without end was met: quotes no longer count
+    at, n = 0, len(page)
+    raw_end: dict[str, re.Pattern] = {}
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            node = stack.pop()
+            open_at[out.names[node]].pop()
+            if blocks[-1] == len(stack):
+                blocks.pop()
+                out.pieces.append((out.parent[node], None))
+
+    def text(a: int, b: int) -> None:
+        if b > a:
+            out.pieces.append((stack[-1], html.unescape(page[a:b])))
+
+    start = 0  # of the text not yet taken
+    while (at := page.find("<", at)) >= 0:
+        m = _NAME.match(page, at + 1)
+        if m is None:
+            if page[at + 1 : at + 2] not in ("!", "?", "/"):
+                at += 1
+                continue
+            text(start, at)
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = start = end + 3 if end >= 0 else n
+            else:
+                end = page.find(">", at)
+                at = start = end + 1 if end >= 0 else n
             continue
-        name, closing, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if closing:
-            up = node
-            while up is not None and up.name != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                while node is not up:
-                    article -= node.name == "article"
-                    node = node.parent
-                article -= up.name == "article"
-                node = up.parent
+        end = page.find(">", at) if loose else _tag_end(page, m.end())
+        if end < 0 and not loose:
+            loose = True
+            end = page.find(">", at)
+        if end < 0:
+            break  # no tag ends from here on
+        text(start, at)
+        name, attrs = m[0].lower(), page[m.end() : end]
+        at = start = end + 1
+        if name[0] == "/":
+            if open_at[name[1:]]:
+                close(open_at[name[1:]][-1])
             continue
         if name == "html":
             continue
-        if name not in INLINE and name not in VOID:
-            up = node  # a block ends an open paragraph, whatever inline elements stand open in it
-            while up.parent is not None and up.name in INLINE:
-                up = up.parent
-            if up.name == "p":
-                node = up.parent
+        block = name not in INLINE
+        if block and name not in VOID:
+            if out.names[stack[blocks[-1]]] == "p":  # a block ends an open paragraph, whatever inline elements stand open in it
+                close(blocks[-1])
             if name in CLOSES:
-                up = node
-                while up.parent is not None and up.name not in SCOPES and up.name not in CLOSES[name]:
-                    up = up.parent
-                if up.name in CLOSES[name] and up.parent is not None:
-                    node = up.parent
-        child = Node(name, node, node.dropped or _unwanted(name, attrs, article > 0))
-        node.children.append(child)
-        if name in VOID or attrs.endswith("/") and name not in RAW and name not in INLINE and name != "p" and name != "div":
+                scope = max((open_at[s][-1] for s in SCOPES if s not in CLOSES[name] and open_at[s]), default=0)
+                # the outermost open one within the scope: a row ends its cells as well
+                found = [d[bisect_right(d, scope)] for d in (open_at[s] for s in CLOSES[name]) if d and d[-1] > scope]
+                if found:
+                    close(min(found))
+        up = stack[-1]
+        node = len(out.names)
+        gone, prior = (True, False) if out.dropped[up] else _judge(name, attrs, bool(open_at["article"]))
+        out.names.append(name)
+        out.parent.append(up)
+        out.dropped.append(gone)
+        out.prior.append(prior)
+        if block:
+            out.pieces.append((up, None))
+        if name in VOID or attrs.endswith("/") and name not in RAW and name not in INLINE and name not in ("p", "div"):
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if name not in raw_end:
+                raw_end[name] = re.compile(rf"</{name}\b[^>]*>", re.I)
+            found = raw_end[name].search(page, at)
+            at = start = found.end() if found else n
             continue
-        article += name == "article"
-        node = child
-    if at < len(page):
-        node.children.append(page[at:])
-    return root
-
-
-def _in_order(root: Node) -> list[Node]:
-    out, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        out.append(node)
-        todo += [c for c in node.children if isinstance(c, Node) and not c.dropped]
+        if block:
+            blocks.append(len(stack))
+        open_at[name].append(len(stack))
+        stack.append(node)
+    text(start, n)
     return out
 
 
-def measure(root: Node) -> list[Node]:
-    """Counts, densities and density sums of all nodes that are not dropped; parents come before their children in the list."""
-    nodes = _in_order(root)
-    for node in reversed(nodes):
-        node.chars = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        inner = [c for c in node.children if isinstance(c, Node) and not c.dropped]
-        node.chars += sum(c.chars for c in inner)
-        node.tags = sum(c.tags + 1 for c in inner)
-        link = node.name == "a"
-        node.link_chars = node.chars if link else sum(c.link_chars for c in inner)
-        node.link_tags = node.tags if link else sum(c.link_tags + (c.name == "a") for c in inner)
-    body = next((n for n in nodes if n.name == "body"), root)
-    lean = body.link_chars / max(1, body.chars)
-    for node in reversed(nodes):
-        c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-        if c:
-            plain = max(1, c - node.link_chars)
-            base = log(c / plain * node.link_chars + lean * c + e)
-            node.density = c / t * max(0.0, log(max(1.0, c / lc * t / lt))) / base if base > 0 else 0.0
-        else:
-            node.density = 0.0
-        node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.dropped)
-    return nodes
-
-
-def _best(nodes: list[Node]) -> Node:
-    return max(nodes, key=lambda n: n.total)  # the first in page order wins a tie
-
-
-def _widen(node: Node) -> Node:
-    """The article or main element around the node, if there is one."""
-    found, up = node, node
-    while up is not None:
-        if up.name in ("article", "main"):
-            found = up
-        up = up.parent
-    return found
-
-
-def choose(root: Node) -> None:
-    """Mark the subtrees to keep."""
-    nodes = measure(root)
-    top = _best(nodes)
-    if top.total <= 0:  # bare text without elements
-        top = next((n for n in nodes if n.name == "body"), root)
-    path, up = [], top
-    while up is not None:
-        path.append(up.density)
-        if up.name == "body":
-            break
-        up = up.parent
-    threshold = min(path)
-    _widen(top).marked = True
-    todo = [next((n for n in nodes if n.name == "body"), root)]
-    while todo:
-        node = todo.pop()
-        if node.marked:
-            continue
-        inner = [c for c in node.children if isinstance(c, Node) and not c.dropped]
-        if node.density >= threshold and node.density > 0:
-            best = _best(_in_order(node))
-            if best.total <= 0 and node.name not in INLINE:
-                best = node
-            _widen(best).marked = True
-        todo += inner
-
-
-def _collect(node: Node, marked: bool, blocks: list[list[str]]) -> None:
-    stack = [(node, marked, None)]
-    while stack:
-        item, keep, text = stack.pop()
+def densities(page: Page) -> tuple[list[float], list[float]]:
+    """Density and density sum of each node; dropped nodes have none. Inline elements are text of their block and add to no sum."""
+    n = len(page.names)
+    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+    for node, text in page.pieces:
         if text is not None:
-            if keep:
-                blocks[-1].append(text)
-        elif isinstance(item, str):  # a block's end
-            blocks.append([])
-        else:
-            keep = keep or item.marked
-            block = item.name not in INLINE
-            if block:
-                blocks.append([])
-                stack.append(("", keep, None))
-            for c in reversed(item.children):
-                if isinstance(c, str):
-                    stack.append((None, keep, c))
-                elif not c.dropped:
-                    stack.append((c, keep, None))
+            chars[node] += len(text.strip())
+    for i in range(n - 1, 0, -1):  # children before their parents
+        if page.dropped[i]:
+            chars[i] = 0
+            continue
+        if page.names[i] == "a":
+            link_chars[i], link_tags[i] = chars[i], tags[i]
+        up = page.parent[i]
+        chars[up] += chars[i]
+        tags[up] += tags[i] + 1
+        link_chars[up] += link_chars[i]
+        link_tags[up] += link_tags[i] + (page.names[i] == "a")
+    articles = [int(page.names[i] in ("article", "main") and chars[i] > 0) for i in range(n)]
+    n_articles, around = sum(articles), articles[:]
+    for i in range(1, n):
+        around[i] += around[page.parent[i]]
+    for i in range(n - 1, 0, -1):
+        articles[page.parent[i]] += articles[i]
+    body = _body(page)
+    lean = link_chars[body] / max(1, chars[body])
+    density, total = [0.0] * n, [0.0] * n
+    for i in range(n - 1, -1, -1):
+        c = chars[i]
+        if page.dropped[i] or not c:
+            continue
+        t, lc, lt = max(1, tags[i]), max(1, link_chars[i]), max(1, link_tags[i])
+        base = log(c / max(1, c - link_chars[i]) * link_chars[i] + lean * c + e)
+        density[i] = c / t * max(0.0, log(max(1.0, c / lc * t / lt))) / base
+        own = page.names[i] in ("article", "main")  # in both counts
+        if page.prior[i] and (c < MOST * chars[body] or n_articles > articles[i] + around[i] - own):
+            density[i] *= PRIOR
+        if i and page.names[i] not in INLINE:
+            total[page.parent[i]] += density[i]
+    return density, total
+
+
+def _body(page: Page) -> int:
+    return page.names.index("body") if "body" in page.names else 0
+
+
+def choose(page: Page) -> list[bool]:
+    """Which nodes' texts are kept."""
+    n = len(page.names)
+    density, total = densities(page)
+    best = list(range(n))  # of each subtree: the node with the largest sum, the first in page order if they tie
+    for i in range(n - 1, 0, -1):
+        up = page.parent[i]
+        if not page.dropped[i] and total[best[i]] >= total[best[up]] and (total[best[i]] > total[best[up]] or best[i] < best[up]):
+            best[up] = best[i]
+    body = _body(page)
+    top = best[0] if total[best[0]] > 0 else body  # bare text without elements
+    threshold, up = density[top], top
+    while up not in (body, 0):
+        up = page.parent[up]
+        threshold = min(threshold, density[up])
+    chosen = [False] * n
+    chosen[top] = True
+    for i in range(body, n):
+        if not page.dropped[i] and density[i] >= threshold and density[i] > 0:
+            chosen[best[i] if total[best[i]] > 0 else i] = True
+    kept = [False] * n
+    for i in range(n):
+        inside = kept[page.parent[i]] if i else False
+        low = page.prior[i] and density[i] < threshold and i != top
+        kept[i] = not page.dropped[i] and not (inside and low) and (inside or chosen[i])
+    return kept
 
 
 def extract(page: str | None) -> str:
     """The page's main text: blocks in page order, joined by one space; empty for null, empty or textless pages."""
     if not page:
         return ""
-    root = parse(page)
-    choose(root)
+    tree = parse(page)
+    kept = choose(tree)
     blocks: list[list[str]] = [[]]
-    _collect(root, False, blocks)
-    found = (" ".join(html.unescape("".join(b)).split()) for b in blocks if b)
+    for node, text in tree.pieces:
+        if text is None:
+            blocks.append([])
+        elif kept[node]:
+            blocks[-1].append(text)
+    found = (" ".join("".join(b).split()) for b in blocks if b)
     return " ".join(b for b in found if b)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each row; repeated rows give repeated results, other columns are not carried."""
+    """page_id, url, text, n_chars for each row; repeated rows give repeated results, other columns are not carried.
+
+    Null and empty pages give an empty text. Of nodes with equal sums the first in page order is chosen. An empty table
+    gives an empty result.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
             text = [extract(h) for h in df["html"]]
             yield pd.DataFrame({"page_id": df["page_id"], "url": df["url"], "text": text, "n_chars": [len(t) for t in text]})
 
+    small_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 
