@@ -2,8 +2,9 @@
 
 Each document gets base statistics and a few ratios in parts per ten thousand. The ratios' distribution in each (language,
 source) is kept as a mergeable quantile sketch: counts in logarithmic buckets of fixed relative error, which add up exactly
-in any order. A ratio may exceed its group's upper quartile by SPREAD quartile distances and a slack; a group with few documents
-takes the merged sketch of its language, or of all documents. Verdicts come from joining the thresholds to the documents.
+in any order. A ratio may exceed its group's upper quartile by SPREAD times the quartile's distance from the median, both
+read from the sketch; there is no fixed cutoff. Limits of a group are drawn towards those of its language, and these towards
+those of all documents, the more the fewer documents it has. Verdicts come from joining the limits to the documents.
 """
 
 from __future__ import annotations
@@ -13,21 +14,24 @@ from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, word_hashes, words
+from .common import small_batches, stage, table, unused, word_hashes, words
 
 #: Relative error of the sketch's quantiles.
 ALPHA = 0.02
-SPREAD = 4.0
-#: Documents that a group needs for thresholds of its own.
-MIN_GROUP = 200
+GAMMA = (1 + ALPHA) / (1 - ALPHA)
+SPREAD = 15.0
+#: Documents as many as which the wider group's limit weighs.
+WEIGHT = 200
 WINDOW = 5
-#: Ratios, in parts per ten thousand, that must not be unusually high, with the slack that even a uniform group gets: a
-#: short clean document may hold a license's name, a phone number or a table.
-RATIOS = {"symbols": 1000, "shouting": 2500, "marks": 800, "bars": 500, "digits": 3000}
+#: Ratios that must not be unusually high: signs that are neither letters nor digits, capitals, words equal to the one before.
+RATIOS = ("signs", "capitals", "stutter")
+#: Added to what a ratio is of, so that a few characters of a short text don't decide.
+SMOOTH = {"signs": 50, "capitals": 50, "stutter": 10}
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def repeated_words(hashes: np.ndarray, window: int = WINDOW) -> int:
@@ -55,109 +59,104 @@ def repeated_words(hashes: np.ndarray, window: int = WINDOW) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
-@F.pandas_udf(T.LongType())
-def _repeated_words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for hashes in parts:
-        yield hashes.map(lambda x: repeated_words(np.asarray(x, dtype=np.int64)))
+@F.pandas_udf(T.StructType([T.StructField("repeated", T.LongType()), T.StructField("stutter", T.LongType())]))
+def _word_counts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in parts:
+        hashes = [np.asarray(x, dtype=np.int64) for x in texts]
+        yield pd.DataFrame({"repeated": [repeated_words(h) for h in hashes], "stutter": [int((h[1:] == h[:-1]).sum()) for h in hashes]})
 
 
-def base_columns(text: Column) -> dict[str, Column]:
-    """The base statistics of whole texts; null counts as empty."""
-    text = F.coalesce(text, F.lit(""))
+def with_stats(docs: DataFrame, name: str, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """docs with a struct column of the given name: base statistics, base_failed, ratios and the group. Null text counts as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return {
+    but = lambda what: F.length(F.regexp_replace(text, what, "")).cast("long")
+    counts = {
         "n_words": F.size(words(text)).cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
+        "word_chars": but(r"[\x20\x09-\x0D]+"),
+        "n_symbols": but(r"[^#*$%&|<>]+"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": _repeated_words(word_hashes(text)),
+        "in_windows": _word_counts(word_hashes(text)),
+        "signs": but(r"[\p{L}\p{M}\p{N}\p{Z}\s]+"),
+        "upper": but(r"[^\p{Lu}]+"),
+        "letters": but(r"[^\p{L}]+"),
     }
-
-
-def with_stats(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """docs with a struct column ``_q``: base statistics, ratios and the group."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    count = lambda what: F.length(F.regexp_replace(text, what, "")).cast("long")
-    raw = {"upper": count(r"[^\p{Lu}]+"), "letters": count(r"[^\p{L}]+"), "n_marks": count(r"[^!?]+"), "n_bars": count(r"[^|]+"), "n_digits": count(r"[^0-9]+")}
-    out = docs.withColumn("_b", F.struct(*[c.alias(n) for n, c in (base_columns(F.col(text_col)) | raw).items()]))
-    b = lambda n: F.col(f"_b.{n}")
-    part = lambda x, of: F.when(of > 0, F.floor(x * 10000 / of)).otherwise(0).cast("long")
-    ratios = {"symbols": part(b("n_symbols"), b("word_chars")), "shouting": part(b("upper"), b("letters")), "marks": part(b("n_marks"), b("word_chars")), "bars": part(b("n_bars"), b("word_chars")), "digits": part(b("n_digits"), b("word_chars"))}
-    failed = (b("n_words") < 10) | (100 * b("n_repeat_words") > 20 * b("n_words"))
-    base = [b(n).alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    group = [F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("g_lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("g_source")]
-    return out.withColumn("_q", F.struct(*base, failed.alias("base_failed"), F.struct(*[c.alias(n) for n, c in ratios.items()]).alias("ratios"), *group)).drop("_b")
+    out = docs.withColumn(name, F.struct(*[c.alias(n) for n, c in counts.items()]))
+    b = lambda n: F.col(name)[n]
+    part = lambda r, x, of: F.floor(x * 10000 / (of + SMOOTH[r])).cast("long").alias(r)
+    repeated, stutter = b("in_windows")["repeated"], b("in_windows")["stutter"]
+    ratios = F.struct(part("signs", b("signs"), b("word_chars")), part("capitals", b("upper"), b("letters")), part("stutter", stutter, b("n_words")))
+    failed = (b("n_words") < 10) | (100 * repeated > 20 * b("n_words"))
+    group = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in (("lang", lang_col), ("source", source_col))]
+    return out.withColumn(name, F.struct(*[b(n) for n in BASE[:-1]], repeated.alias("n_repeat_words"), failed.alias("base_failed"), ratios.alias("ratios"), *group))
 
 
 def _bucket(value: Column) -> Column:
     """0 for 0, else 1 and up: bucket b holds the integers from GAMMA ** (b - 2) (not included) to GAMMA ** (b - 1)."""
-    return F.when(value <= 0, 0).otherwise(1 + F.ceil(F.log(value.cast("double")) / log((1 + ALPHA) / (1 - ALPHA)))).cast("int")
+    return F.when(value <= 0, 0).otherwise(1 + F.ceil(F.log(value.cast("double")) / log(GAMMA))).cast("int")
 
 
-def sketches(stats: DataFrame) -> DataFrame:
-    """A row for each group, ratio and bucket in use: the group's sketch. Sketches merge by adding n."""
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), _bucket(F.col(f"_q.ratios.{r}")).alias("bucket")) for r in RATIOS])).alias("x")
-    sound = stats.filter(~F.col("_q.base_failed"))
-    return sound.select("_q.g_lang", "_q.g_source", each).groupBy("g_lang", "g_source", "x.ratio", "x.bucket").agg(F.count("*").alias("n"))
+def sketches(stats: DataFrame, name: str) -> DataFrame:
+    """(lang, source, ratio, bucket, n): a row for each bucket in use. Sketches merge by adding n. Documents that fail the base rule don't count."""
+    q = F.col(name)
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), _bucket(q["ratios"][r]).alias("bucket")) for r in RATIOS])).alias("x")
+    sound = stats.filter(~q["base_failed"])
+    return sound.select(q["lang"].alias("lang"), q["source"].alias("source"), each).groupBy("lang", "source", "x.ratio", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, by: list[str], tag: str) -> DataFrame:
-    """(by..., ratio, <tag>_rows, <tag>_limit) from merged sketches; some hundred buckets a group at most."""
-    from pyspark.sql import Window
-
+def _limits(sketch: DataFrame, by: list[str], tag: str) -> DataFrame:
+    """(by..., ratio, <tag>_rows, <tag>_limit) from merged sketches, some hundred buckets a group at most."""
     merged = sketch.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "ratio")
     run = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("rows", F.sum("n").over(w))
-    gamma = (1 + ALPHA) / (1 - ALPHA)
-    value = F.when(F.col("bucket") == 0, 0.0).otherwise(2 * F.pow(F.lit(gamma), F.col("bucket") - 1) / (gamma + 1))
+    value = F.when(F.col("bucket") == 0, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket") - 1) / (GAMMA + 1))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("rows") * q), value))
-    q = run.groupBy(*by, "ratio").agg(F.max("rows").alias(f"{tag}_rows"), at(0.25).alias("q1"), at(0.75).alias("q3"))
-    slack = F.element_at(F.create_map(*[F.lit(x) for r in RATIOS.items() for x in r]), F.col("ratio"))
-    limit = F.floor(F.col("q3") + SPREAD * (F.col("q3") - F.col("q1")) + slack).cast("long")
+    q = run.groupBy(*by, "ratio").agg(F.max("rows").alias(f"{tag}_rows"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    # one bucket is the least distance that the sketch can tell
+    limit = F.col("q3") + SPREAD * F.greatest(F.col("q3") - F.col("q2"), F.col("q3") * (GAMMA - 1))
     return q.select(*by, "ratio", f"{tag}_rows", limit.alias(f"{tag}_limit"))
 
 
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """(g_lang, g_source, limits): the highest accepted value of each ratio, by group; groups with few rows borrow from their language, then from all."""
-    own = _quartiles(sketch, ["g_lang", "g_source"], "own")
-    lang = _quartiles(sketch, ["g_lang"], "lang")
-    whole = _quartiles(sketch, [], "all")
-    joined = own.join(lang, ["g_lang", "ratio"]).join(whole, "ratio")
-    limit = F.when(F.col("own_rows") >= min_group, F.col("own_limit")).when(F.col("lang_rows") >= min_group, F.col("lang_limit")).otherwise(F.col("all_limit"))
-    return joined.groupBy("g_lang", "g_source").agg(F.map_from_entries(F.collect_list(F.struct("ratio", limit))).alias("limits"))
+def thresholds(sketch: DataFrame, weight: int = WEIGHT) -> DataFrame:
+    """(lang, source, limits): the highest accepted value of each ratio, by group, drawn towards those of its language and of all documents."""
+    own, lang, whole = _limits(sketch, ["lang", "source"], "own"), _limits(sketch, ["lang"], "lang"), _limits(sketch, [], "all")
+    joined = own.join(lang, ["lang", "ratio"]).join(whole, "ratio")
+    wide = (F.col("lang_rows") * F.col("lang_limit") + weight * F.col("all_limit")) / (F.col("lang_rows") + weight)
+    limit = F.floor((F.col("own_rows") * F.col("own_limit") + weight * wide) / (F.col("own_rows") + weight)).cast("long")
+    return joined.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("ratio", limit))).alias("limits"))
 
 
-def judge(stats: DataFrame, limits: DataFrame) -> DataFrame:
-    """stats with a boolean column ``_kept``. The join's small side has a row a group; AQE broadcasts it while it is small and splits hot groups beyond."""
-    l = limits.select(F.col("g_lang").alias("_gl"), F.col("g_source").alias("_gs"), "limits")
-    out = stats.join(l, (F.col("_q.g_lang") == F.col("_gl")) & (F.col("_q.g_source") == F.col("_gs")), "left")
-    fine = F.lit(True)
+def judge(stats: DataFrame, name: str, limits: DataFrame, verdict: str) -> DataFrame:
+    """stats with a boolean column verdict. The join's small side has a row a group; AQE broadcasts it while it is small and splits hot groups beyond."""
+    lang, source, most = unused(stats, "_lang", "_source", "_limits")
+    small = limits.select(F.col("lang").alias(lang), F.col("source").alias(source), F.col("limits").alias(most))
+    q = F.col(name)
+    out = stats.join(small, (q["lang"] == F.col(lang)) & (q["source"] == F.col(source)), "left")
+    fine = ~q["base_failed"]
     for r in RATIOS:
-        fine = fine & (F.col(f"_q.ratios.{r}") <= F.coalesce(F.element_at("limits", F.lit(r)), F.lit(10**9)))
-    return out.withColumn("_kept", ~F.col("_q.base_failed") & fine).drop("_gl", "_gs", "limits")
+        fine = fine & F.coalesce(q["ratios"][r] <= F.element_at(most, F.lit(r)), F.lit(True))  # a group without limits has no sound documents
+    return out.withColumn(verdict, fine).drop(lang, source, most)
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that pass, columns unchanged. Null, empty, repeated and extra columns' rows: see op3_quality_rules.
+    """The documents that pass, columns unchanged, whatever names other columns have. Nulls, empty and repeated rows: see op3_quality_rules.
 
     Statistics are computed once and written beside the rows; the sketches read that column only. The limits are written too,
     so the planner knows their true size: it broadcasts them below its threshold, and no text is shuffled.
     """
-    from .common import small_batches, stage
-
     small_batches(docs.sparkSession)
-    stats = stage(with_stats(docs), "stats")
-    return judge(stats, stage(thresholds(sketches(stats)), "limits")).filter("_kept").select(*docs.columns)
+    name, verdict = unused(docs, "_stats", "_kept")
+    stats = stage(with_stats(docs, name), "stats")
+    return judge(stats, name, stage(thresholds(sketches(stats, name)), "limits"), verdict).filter(F.col(verdict)).select(*docs.columns)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Base statistics and verdict of all documents.
 
     Null and empty texts have no words and fail the base rule; null language or source is a group of its own; repeated rows
-    count as often as they occur; an empty table gives an empty result.
+    count as often as they occur; a ratio equal to its limit passes; an empty table gives an empty result.
     """
-    from .common import stage
-
-    stats = stage(with_stats(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", "_q"), "stats")
-    out = judge(stats, thresholds(sketches(stats)))
-    return out.select("doc_id", *[f"_q.{n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], F.col("_kept").alias("kept"))
+    small_batches(spark)
+    stats = stage(with_stats(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "stats").select("doc_id", "stats"), "stats")
+    out = judge(stats, "stats", stage(thresholds(sketches(stats, "stats")), "limits"), "kept")
+    return out.select("doc_id", *[f"stats.{n}" for n in BASE], "stats.base_failed", "kept")
