@@ -2,25 +2,28 @@
 
 Bounded-space online best-fit: a fixed number of sequences is open; a bitset has bit f set where an open one has f tokens
 free, so the best fit for a piece of n tokens is the lowest set bit from n on. If none fits, a new sequence opens, and
-where too many are open the fullest closes first. Parts of a fixed number of pieces pack alone, longest pieces first. No two
-pieces over half length share a sequence, so a part keeps at least as many sequences open as it has of those: none of them
-closes before the short pieces that fill it have come.
+where too many are open the fullest closes first. Pieces come in hash order, in parts that pack alone; of each WINDOW that
+arrives the longest go first, so that short ones fill what long ones leave. Nothing but the window and the open sequences
+is held, however many pieces a part has. No two pieces over half length share a sequence; there are more sequences open
+than a window has pieces, so none closes before short pieces have had a chance to fill it.
 """
 
 from __future__ import annotations
 
 import base64
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, table
 
-LENGTH, OPEN, END_ID = 1024, 512, 2
+LENGTH, OPEN, WINDOW, END_ID = 1024, 8192, 4096, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -61,26 +64,29 @@ _encoders: dict = {}
 
 
 def encoder(json_path: str):
-    """The byte-level BPE in json_path as a tiktoken encoder, which gives the same ids about five times as fast.
+    """What the tokenizer in json_path gives with add_special_tokens=False, as a function from text to ids.
 
-    Strings of special tokens in a text are ordinary text. Where the ranks don't stand beside the file, its own library is used.
+    A tiktoken encoder of the same byte-level ranks gives the same ids about five times as fast; it reads all texts but those
+    that hold the string of a special token, which the tokenizer's own library reads, as it reads all where no ranks stand
+    beside the file.
     """
     if json_path not in _encoders:
         import os
 
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(json_path)
+        special = [t.content for t in own.get_added_tokens_decoder().values()]
+        slow = lambda text: own.encode(text, add_special_tokens=False).ids
         ranks = json_path.removesuffix(".json") + ".tiktoken"
+        _encoders[json_path] = slow
         if os.path.exists(ranks):
             import public_tokenizers
             import tiktoken
 
             table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
-            _encoders[json_path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={}).encode_ordinary
-        else:
-            from tokenizers import Tokenizer
-
-            own = Tokenizer.from_file(json_path)
-            own.encode_special_tokens = True
-            _encoders[json_path] = lambda text: own.encode(text, add_special_tokens=False).ids
+            fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={}).encode_ordinary
+            _encoders[json_path] = lambda text: slow(text) if any(x in text for x in special) else fast(text)
     return _encoders[json_path]
 
 
@@ -92,7 +98,10 @@ def cut(ids: np.ndarray, size: int = LENGTH) -> list[tuple[int, int]]:
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    """A row for each piece of each document; null text counts as empty, which leaves the end id alone."""
+    """A row for each piece of each document; null text counts as empty, which leaves the end id alone.
+
+    Repeated rows are documents of their own; columns other than doc_id and text are not carried.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
@@ -106,36 +115,54 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int = LENGTH, with_i
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def _pack(part: int, lengths: np.ndarray, size: int, most_open: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence (unique among parts) and offset of each length, placed longest first; all over half length stay open at once."""
-    bins = BestFit(size, max(most_open, int((2 * lengths > size).sum())))
-    seq, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for i in np.argsort(-lengths, kind="stable"):
-        seq[i], offset[i] = bins.place(int(lengths[i]))
-    return seq + (part << 32), offset
-
-
-def pack_pieces(pieces: DataFrame, size: int = LENGTH, most_open: int = OPEN, part_rows: int = 10_000) -> DataFrame:
+def place_all(lengths: Iterator[np.ndarray], size: int = LENGTH, most_open: int = OPEN, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sequence, offset) of the lengths of each array; arrays have at most window lengths, and the longest of each go first."""
+    bins = BestFit(size, most_open)
+    for part in lengths:
+        seq, offset = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        for i in np.argsort(-part, kind="stable").tolist():
+            seq[i], offset[i] = bins.place(int(part[i]))
+        yield seq, offset
+
+
+def _windows(parts: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The rows of parts in frames of size rows, the last one shorter."""
+    held, n = [], 0
+    for df in parts:
+        while len(df):
+            held.append(df.iloc[: size - n])
+            df = df.iloc[size - n :]
+            n += len(held[-1])
+            if n == size:
+                yield pd.concat(held, ignore_index=True)
+                held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def pack_pieces(pieces: DataFrame, size: int = LENGTH, most_open: int = OPEN, part_rows: int = 100_000) -> DataFrame:
     """pieces with sequence_id and offset.
 
-    Full pieces are sequences of their own and need no packing. The others are dealt into parts of about part_rows by hash;
-    each part packs in memory bounded by its rows. Pieces longer than size raise. Repeated rows are packed each.
+    Full pieces are sequences of their own and need no packing. The others are dealt evenly, whatever their values, into
+    parts of about part_rows. Pieces longer than size raise. Repeated rows are packed each. An empty table gives an empty
+    result.
     """
     small = pieces.filter(F.col("length") < size)
     n_parts = max(1, -(-small.count() // part_rows))
-    keyed = small.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_parts)).cast("int"))
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        seq, offset = _pack(int(df["part"].iloc[0]), df["length"].to_numpy(), size, most_open)
-        return df.assign(sequence_id=seq, offset=offset)[names]
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        windows, again = itertools.tee(_windows(parts, WINDOW))
+        placed = place_all((w["length"].to_numpy() for w in windows), size, most_open)
+        for df, (seq, offset) in zip(again, placed, strict=True):
+            yield df.assign(sequence_id=seq + (part << 32), offset=offset)
 
-    names = [*pieces.columns, "sequence_id", "offset"]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    packed = keyed.groupBy("part").applyInPandas(run, f"{fields}, sequence_id long, offset long")
-    big = pieces.filter(F.col("length") == size)
+    dealt = small.repartition(n_parts).sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id")
+    packed = dealt.mapInPandas(run, f"{fields}, sequence_id long, offset long")
+    big = pieces.filter(F.col("length") >= size)
     # negative numbers: no part of the others has them
-    alone = big.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    alone = big.withColumn("sequence_id", F.when(F.col("length") == size, -1 - F.monotonically_increasing_id()).otherwise(F.raise_error(F.lit("a piece is longer than a sequence")))).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(alone)
 
 
@@ -151,5 +178,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = LENGTH) -> DataF
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of at most 1024 tokens."""
+    """All documents packed into sequences of at most 1024 tokens. Null and empty texts are the end id alone; repeated rows are packed each."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
