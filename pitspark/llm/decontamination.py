@@ -3,8 +3,11 @@
 Numbers, names and units become typed placeholders, so a question whose values were changed keeps its template. Windows of
 template words of the benchmark are hash-joined with those of the documents; a window counts if its literal words suffice and
 the values map one to one: the same value of the question always stands for the same value of the document, and the other
-way around. Windows whose words are equal are joined as well, whatever share of them are values and wherever a sentence
-starts. A document is contaminated by an item with which it shares a window of either kind.
+way around. Windows whose words are equal are joined as well, whatever share of them are values. A document is contaminated
+by an item with which it shares a window of either kind.
+
+A Bloom filter of the benchmark's window hashes, of bounded size whatever the benchmark's, tells which windows of a document
+can match at all; only those leave the scan. The join then compares templates, so a false alarm costs a row and no more.
 """
 
 from __future__ import annotations
@@ -18,12 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, table
+from .common import small_batches, stage, table, unused
 
-#: Words of a window; shorter items are one window, whose template counts if it has at least SHORTEST words.
-WINDOW, SHORTEST = 13, 5
-#: Windows of the benchmark (8 bytes each) up to which their hashes go to the executors to sift the documents' windows before the join.
-SIFT = 2_000_000
+#: Words of a window; a shorter item is one window of all its words.
+WINDOW = 13
+#: Literal words that a window of placeholders needs: two, and a quarter of its words.
+LITERALS, LITERAL_SHARE = 2, 4
+#: The filter's bits a hash, its size (a power of two) at most, 32 MB, and the bits looked up for a hash.
+BITS, MOST_BITS, PROBES = 64, 28, 4
 # fixed values: words for units
 UNITS = frozenset("km kilometers kilometres kilometer kilometre m meters metres meter metre cm centimeters centimetres mm millimeters miles mile feet foot ft inches inch yards yard kg kilograms kilogram g grams gram mg tons tonnes ton lb lbs pounds pound oz ounces ounce l liters litres liter litre ml gallons gallon hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents cent percent degrees degree celsius fahrenheit mph kmh kph watts watt kw volts volt".split())
 PLAIN_ENDS = frozenset(".,;:!?")
@@ -57,136 +62,208 @@ def literal(word: str) -> str:
     return (plain if plain.isascii() and plain.isalpha() else _EDGE.sub("", word)).lower()
 
 
-class Reader:
-    """Template words of a text, without those that are punctuation only; remembers words, within bounds."""
+class _Numbers(dict):
+    """Words by number, in the order they are met; new has those not looked at yet."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple] = {}
-
-    def look(self, word: str) -> tuple:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 60_000:
-                self.known.clear()
-            inner, start, ends = canonical(word)
-            code = lambda x: xxhash.xxh64_intdigest(x)
-            of_start = code(start)
-            of_word = code(literal(word)) if start[:1] == "<" else of_start  # others stand for themselves
-            found = self.known[word] = (of_start if inner == start else code(inner), of_start, ends, inner, start, not start, of_word)
-        return found
-
-    def read(self, text: str) -> np.ndarray:
-        """Hashes of the template words, and in a second row of the words themselves."""
-        codes: list[int] = []
-        own: list[int] = []
-        add, add_own, known, look = codes.append, own.append, self.known, self.look
-        for line in text.split("\n"):
-            first = True
-            for w in line.split():
-                x = known.get(w) or look(w)
-                if x[5]:
-                    first = first or x[2]
-                    continue
-                add(x[1] if first else x[0])
-                add_own(x[6])
-                first = x[2]
-        out = np.array([codes, own], dtype=np.uint64)
-        out[1] ^= np.uint64(_OWN)
-        return out
-
-    def detail(self, text: str) -> list[tuple[str, str]]:
-        """(template word, word) of the same words."""
-        out = []
-        for line in text.split("\n"):
-            first = True
-            for w in line.split():
-                x = self.look(w)
-                if x[5]:
-                    first = first or x[2]
-                    continue
-                out.append((x[4] if first else x[3], w))
-                first = x[2]
-        return out
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+class Reader:
+    """Template words of texts as hashes; remembers words, within bounds."""
+
+    def __init__(self, most: int = 200_000) -> None:
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = _Numbers()
+        self.codes = np.zeros((3, 1024), np.uint64)  # inside a sentence, at its start, the word itself
+        self.flags = np.zeros((2, 1024), bool)  # whether the sentence ends after it, whether there is anything but punctuation
+
+    def learn(self) -> None:
+        """Look at the new words."""
+        inner, start, own, ends = [], [], [], []
+        code = xxhash.xxh64_intdigest
+        new, self.known.new = self.known.new, []
+        for word in new:
+            a, b, end = canonical(word)
+            start.append(of_start := code(b))
+            inner.append(of_start if a == b else code(a))
+            own.append(code(literal(word)) if b[:1] == "<" else of_start)  # others stand for themselves
+            ends.append((end, b != ""))
+        m, n = len(self.known), len(self.known) - len(new)
+        if m > self.codes.shape[1]:
+            more = max(m, 2 * self.codes.shape[1]) - self.codes.shape[1]
+            self.codes = np.pad(self.codes, ((0, 0), (0, more)))
+            self.flags = np.pad(self.flags, ((0, 0), (0, more)))
+        self.codes[:, n:m] = np.array([inner, start, own], dtype=np.uint64)
+        self.codes[2, n:m] ^= np.uint64(_OWN)
+        self.flags[:, n:m] = np.array(ends).T
+
+    def read(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts the words that are not punctuation only, whose text each is, whether it begins a sentence, and its hashes: as a template word, as one at a start, and as a word."""
+        if len(self.known) > self.most:
+            self.forget()
+        words: list[str] = []
+        lines, after = [], []
+        for text in texts:
+            for line in text.split("\n"):
+                words += line.split()
+                lines.append(len(words))
+            after.append(len(words))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self.learn()
+        ends, full = self.flags[:, at]
+        kept = np.flatnonzero(full)
+        # a sentence begins if one ended, or a line did, since the last word that is kept
+        before = np.r_[0, np.cumsum(ends)]
+        line = np.searchsorted(lines, kept, "right")
+        first = np.ones(len(kept), bool)
+        first[1:] = (before[kept[1:]] > before[kept[:-1]]) | (line[1:] != line[:-1])
+        codes = self.codes[:, at[kept]]
+        codes[0, first] = codes[1, first]
+        return [words[i] for i in kept.tolist()] if len(kept) < len(words) else words, np.searchsorted(after, kept, "right"), first, codes
 
 
 _OWN = 0xD6E8FEB86659FD93  # keeps the rows' hashes apart
 _R, _R_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base ** 2, ... modulo 2 ** 64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """A hash for each run of width words, in each row."""
-    n = codes.shape[1] - width + 1
-    if n <= 0:
-        return np.zeros((len(codes), 0), np.uint64)
-    out = np.zeros((len(codes), n), np.uint64)
+    """Two hashes for each run of width words: of the template words, the first of which counts as a sentence's first, and of the words themselves.
+
+    Polynomial hashes, as differences of running sums.
+    """
+    n = codes.shape[1]
+    if n < width:
+        return np.zeros((2, 0), np.uint64)
+    with np.errstate(over="ignore"):
+        sums = np.zeros((2, n + 1), np.uint64)
+        np.cumsum(codes[::2] * _powers(_R, n), axis=1, out=sums[:, 1:])
+        out = (sums[:, width:] - sums[:, :-width]) * _powers(_R_INVERSE, n - width + 1)
+        out[0] += codes[1, : n - width + 1] - codes[0, : n - width + 1]
+        return (out ^ (out >> np.uint64(29))) * np.uint64(_R)
+
+
+def _places(hashes: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """The bit of each hash that a probe looks up, in a filter of 2 ** bits bits."""
     with np.errstate(over="ignore"):
-        for j in range(width):
-            out = (out ^ (out >> np.uint64(31))) * np.uint64(_R) + codes[:, j : j + n]
-        return out ^ (out >> np.uint64(29))
+        return (hashes * np.uint64(2 * probe * 0x632BE59BD9B4E019 + 1 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - bits)
+
+
+def bloom(hashes: DataFrame, n: int) -> np.ndarray:
+    """A filter of the n hashes of a column hash: its words of 64 bits, at most 2 ** MOST_BITS bits."""
+    bits = min(MOST_BITS, max(12, (BITS * n).bit_length()))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            h = df["hash"].to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate([_places(h, k, bits) for k in range(PROBES)]))
+            yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
+
+    words = hashes.select("hash").mapInPandas(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def sifted(hashes: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    """Indices of the hashes that the filter doesn't rule out."""
+    bits = (len(sieve) << 6).bit_length() - 1
+    near = np.arange(len(hashes))
+    for k in range(PROBES):
+        at = _places(hashes[near], k, bits)
+        near = near[(sieve[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    return near
 
 
 FIELDS = "pos int, width int, hash long, template string, slots array<string>"
 
 
-def _windows(reader: Reader, text: str | None, widths: tuple[int, ...] | None, sift: np.ndarray | None) -> list[tuple]:
-    """(pos, width, hash, template, slots) of the windows that can match; widths None: an item's own.
+def _windows(reader: Reader, texts: list[str], widths: tuple[int, ...] | None, sieve: np.ndarray | None) -> list[tuple]:
+    """(index of the text, pos, width, hash, template, slots) of the windows that can match; widths None: an item's own.
 
-    Half of a template window's words must be literal. A window of the words themselves has "=" before them and no slots.
+    A window of the words themselves has "=" before them and no slots. Of template words, LITERALS and a share must be literal.
     """
-    codes = reader.read(text or "")
-    n = codes.shape[1]
-    out, detail = [], None
-    for width in widths or ((min(WINDOW, n),) if n else ()):
-        hashes = window_hashes(codes, width)
-        if sift is not None:
-            if not len(sift):
-                continue
-            near = np.searchsorted(sift, hashes)
-            near[near == len(sift)] = 0
-            found = np.argwhere(sift[near] == hashes)
-        else:
-            found = np.argwhere(np.ones(hashes.shape, bool))
-        for row, i in found.tolist():
-            detail = detail or reader.detail(text)
-            here = detail[i : i + width]
-            if row:
-                template, slots = " ".join(["=", *(literal(w) for _, w in here)]), []
-            else:
-                template = " ".join(t for t, _ in here)
-                slots = [f"{t}{_EDGE.sub('', w).lower()}" for t, w in here if t[0] == "<"]
-                if width < SHORTEST or 2 * len(slots) > width:
-                    continue
-            out.append((i, width, int(hashes[row, i].view(np.int64)), template, slots))
+    words, owner, first, codes = reader.read(texts)
+    begin = np.searchsorted(owner, np.arange(len(texts)))
+    sizes = np.bincount(owner, minlength=len(texts))
+    out = []
+    for width in widths or np.unique(np.minimum(sizes[sizes > 0], WINDOW)).tolist():
+        for row, hashes in enumerate(window_hashes(codes, width)):
+            near = np.arange(len(hashes)) if sieve is None else sifted(hashes, sieve)
+            near = near[owner[near] == owner[near + width - 1]]
+            if not widths:
+                near = near[np.minimum(sizes[owner[near]], WINDOW) == width]
+            for i in near.tolist():
+                here = words[i : i + width]
+                if row:
+                    template, slots = " ".join(["=", *map(literal, here)]), []
+                else:
+                    parts = [canonical(w)[1 if k == 0 or first[i + k] else 0] for k, w in enumerate(here)]
+                    slots = [f"{t}{_EDGE.sub('', w).lower()}" for t, w in zip(parts, here, strict=True) if t[0] == "<"]
+                    if not slots or width - len(slots) < max(LITERALS, -(-width // LITERAL_SHARE)):  # without slots it is the window of the words
+                        continue
+                    template = " ".join(parts)
+                out.append((int(owner[i]), int(i - begin[owner[i]]), width, int(hashes[i].view(np.int64)), template, slots))
     return out
 
 
-def _table(rows: DataFrame, key: str, widths: tuple[int, ...] | None, sift: np.ndarray | None) -> DataFrame:
-    shared = None if sift is None else rows.sparkSession.sparkContext.broadcast(sift)  # at most 8 * SIFT bytes
+def _chunks(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first, texts) in lists of about size characters; memory follows them, or the longest text."""
+    at, held, n = 0, [], 0
+    for text in texts:
+        held.append(text or "")
+        n += len(held[-1])
+        if n >= size:
+            yield at, held
+            at, held, n = at + len(held), [], 0
+    if held:
+        yield at, held
+
+
+def _table(rows: DataFrame, key: str, widths: tuple[int, ...] | None, sieve: np.ndarray | None) -> DataFrame:
+    shared = None if sieve is None else rows.sparkSession.sparkContext.broadcast(sieve)  # at most 2 ** MOST_BITS bits
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader()
         for df in parts:
-            out = [(k, *w) for k, text in zip(df[key], df["text"], strict=True) for w in _windows(reader, text, widths, None if shared is None else shared.value)]
-            yield pd.DataFrame(out, columns=[key, "pos", "width", "hash", "template", "slots"])
+            keys = df[key].tolist()
+            for at, texts in _chunks(df["text"].tolist()):
+                out = [(keys[at + k], *w) for k, *w in _windows(reader, texts, widths, None if shared is None else shared.value)]
+                yield pd.DataFrame(out, columns=[key, "pos", "width", "hash", "template", "slots"])
 
-    return rows.select(F.col(key).cast("long"), "text").mapInPandas(run, f"{key} long, {FIELDS}")
+    return rows.select(F.col(key).cast("long").alias(key), "text").mapInPandas(run, f"{key} long, {FIELDS}")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, verbatim, first_pos): a row for each document and item that share consistent windows.
 
     n_windows: places of the document's windows; verbatim: some window has equal values as well. Null and empty texts
-    match nothing; items of fewer than five words match as they stand only. Repeated rows count once. Empty tables give an empty result; other columns are
-    not carried.
+    match nothing. An item under WINDOW words is one window; it needs LITERALS literal words to match with other values, and
+    none to match as it stands. Repeated rows count once. Empty tables give an empty result; other columns are not carried.
     """
     small_batches(docs.sparkSession)
     items = stage(_table(benchmark, "item_id", None, None).distinct(), "items")
     n, widths = items.count(), tuple(r["width"] for r in items.select("width").distinct().collect())  # WINDOW widths at most
-    sift = None
-    if n <= SIFT:
-        sift = np.unique(np.array([r["hash"] for r in items.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64))
+    sieve = bloom(items, n)
     theirs = items.select("item_id", "width", "hash", "template", F.col("pos").alias("item_pos"), F.col("slots").alias("of_item"))
-    pairs = _table(docs, "doc_id", widths or (WINDOW,), sift).join(theirs, ["hash", "width", "template"])
+    pairs = _table(docs, "doc_id", widths or (WINDOW,), sieve).join(theirs, ["hash", "width", "template"])
     pairs = pairs.withColumn("values", F.arrays_zip("slots", "of_item")).withColumn("same", F.col("slots") == F.col("of_item"))
 
     def one_to_one(values):
@@ -202,9 +279,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated documents; columns unchanged."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left_anti")
+    """docs without the contaminated documents; columns unchanged, whatever their names. Rows are told apart by doc_id and text, so one with a null id, or the id of another, is judged alone."""
+    key, bad = unused(docs, "_row", "_bad")
+    row = F.xxhash64("doc_id", "text")
+    found = contaminated(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(bad)).distinct()
+    return docs.withColumn(key, row).join(found, F.col(key) == F.col(bad), "left_anti").select(*docs.columns)
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
