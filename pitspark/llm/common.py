@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,3 +92,29 @@ def words(text: Column) -> Column:
 def word_hashes(text: Column) -> Column:
     """The words' 64-bit hashes, in order."""
     return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
+class Numbers(dict):
+    """Words by number, in the order they are met; new has those not looked at yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+def chunks(texts: list[str | None], size: int = 1 << 20, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first, texts) in lists of about size characters and at most `most` texts; memory follows them, or the longest text. Null is empty."""
+    at, held, n = 0, [], 0
+    for text in texts:
+        held.append(text or "")
+        n += len(held[-1])
+        if n >= size or len(held) == most:
+            yield at, held
+            at, held, n = at + len(held), [], 0
+    if held:
+        yield at, held

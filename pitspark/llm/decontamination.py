@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, table, unused
+from .common import Numbers, chunks, small_batches, stage, table, unused
 
 #: Words of a window; a shorter item is one window of all its words.
 WINDOW = 13
@@ -62,19 +62,6 @@ def literal(word: str) -> str:
     return (plain if plain.isascii() and plain.isalpha() else _EDGE.sub("", word)).lower()
 
 
-class _Numbers(dict):
-    """Words by number, in the order they are met; new has those not looked at yet."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-
 class Reader:
     """Template words of texts as hashes; remembers words, within bounds."""
 
@@ -83,7 +70,7 @@ class Reader:
         self.forget()
 
     def forget(self) -> None:
-        self.known = _Numbers()
+        self.known = Numbers()
         self.codes = np.zeros((3, 1024), np.uint64)  # inside a sentence, at its start, the word itself
         self.flags = np.zeros((2, 1024), bool)  # whether the sentence ends after it, whether there is anything but punctuation
 
@@ -224,19 +211,6 @@ def _windows(reader: Reader, texts: list[str], widths: tuple[int, ...] | None, s
     return out
 
 
-def _chunks(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first, texts) in lists of about size characters; memory follows them, or the longest text."""
-    at, held, n = 0, [], 0
-    for text in texts:
-        held.append(text or "")
-        n += len(held[-1])
-        if n >= size:
-            yield at, held
-            at, held, n = at + len(held), [], 0
-    if held:
-        yield at, held
-
-
 def _table(rows: DataFrame, key: str, widths: tuple[int, ...] | None, sieve: np.ndarray | None) -> DataFrame:
     shared = None if sieve is None else rows.sparkSession.sparkContext.broadcast(sieve)  # at most 2 ** MOST_BITS bits
 
@@ -244,7 +218,7 @@ def _table(rows: DataFrame, key: str, widths: tuple[int, ...] | None, sieve: np.
         reader = Reader()
         for df in parts:
             keys = df[key].tolist()
-            for at, texts in _chunks(df["text"].tolist()):
+            for at, texts in chunks(df["text"].tolist()):
                 out = [(keys[at + k], *w) for k, *w in _windows(reader, texts, widths, None if shared is None else shared.value)]
                 yield pd.DataFrame(out, columns=[key, "pos", "width", "hash", "template", "slots"])
 
