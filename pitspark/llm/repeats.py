@@ -1,10 +1,12 @@
-"""Removal of repeated byte strings across documents, exact to the byte.
+"""Removal of repeated byte strings across documents.
 
 Every 100-byte window chooses an anchor: its 24-byte string of the lowest hash. Equal windows choose equal anchors, so windows
 can only be equal within an anchor's group, and a document falls into stretches of windows of one anchor. One shuffle brings
-an anchor's stretches together. Equal stretches need no further look: all but the first are repeats. Where an anchor has
-different stretches, the first of each goes to a shard, in which a suffix array by induced sorting and its permuted common
-prefixes find the equal windows. Anchors with very many different stretches are split by the windows' second anchors.
+an anchor's stretches together. Equal stretches need no further look: all but the first are repeats. Stretches of one anchor
+count as equal if 96 bits of independent hashes of all their bytes agree, as their bytes would make the shuffle several times
+the input. Where an anchor has different stretches, the first of each goes to a shard, in which a suffix array by induced
+sorting and its permuted common prefixes find the equal windows, byte by byte. Anchors with very many different stretches are
+split by the windows' next anchors, again and again until no group is large.
 """
 
 from __future__ import annotations
@@ -17,19 +19,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import small_batches, stage, table
 from .suffix import permuted_common_prefixes, suffix_array
 
 WINDOW, GRAM = 100, 24
 _SPAN = WINDOW - GRAM + 1
-#: Bytes handled at once, places of a chunk fit the key's low bits; bytes of a shard; stretches of an anchor before it is split.
+#: Bytes handled at once, places of a chunk fit the key's low bits; bytes of a shard; different stretches of a group before it is split.
 _CHUNK, _PLACE_BITS = 1 << 20, 22
 SHARD_BYTES, SPLIT = 1 << 20, 1000
 _rng = np.random.default_rng(7)
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_R = 0x9E3779B97F4A7C15
-_R_INVERSE = pow(_R, -1, 2**64)
-_powers: list[np.ndarray] = []
+#: Two independent polynomial hashes: a number for each byte, and the base.
+_BYTE = _rng.integers(0, 2**64, (2, 256), dtype=np.uint64)
+_BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -47,18 +49,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def _sums(data: np.ndarray) -> np.ndarray:
+def _powers_of(which: int, inverse: bool, n: int) -> np.ndarray:
+    found = _powers.get((which, inverse))
+    if found is None or len(found) < n:
+        base = pow(_BASE[which], -1, 2**64) if inverse else _BASE[which]
+        found = _powers[which, inverse] = _power(base, 2 * n)
+    return found[:n]
+
+
+def _sums(data: np.ndarray, which: int = 0) -> np.ndarray:
     """Prefix sums of a polynomial hash; see _hashes."""
-    if not _powers or len(_powers[0]) <= len(data):
-        _powers[:] = [_power(_R, 2 * len(data) + 1), _power(_R_INVERSE, 2 * len(data) + 1)]
     with np.errstate(over="ignore"):
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers[0][: len(data)])])
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[which][data] * _powers_of(which, False, len(data)))])
 
 
-def _hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit hashes of the bytes [start, end)."""
     with np.errstate(over="ignore"):
-        return _mix((sums[end] - sums[start]) * _powers[1][start] + (end - start).astype(np.uint64))
+        return _mix((sums[end] - sums[start]) * _powers_of(which, True, len(sums))[start] + (end - start).astype(np.uint64))
 
 
 def _lowest(keys: np.ndarray, width: int) -> np.ndarray:
@@ -71,14 +79,14 @@ def _lowest(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, owner: np.ndarray, banned: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Stretches of windows that share owner and anchor: first window, window after the last, anchor's hash, hash of all bytes, anchor's place.
+    """Stretches of windows that share owner and anchor: first window, window after the last, anchor's hash, two hashes of all bytes, anchor's place.
 
     owner: whose each byte is; windows lie within one owner. banned: places that can't be anchors.
     """
     n = len(data)
     if n < WINDOW:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     sums = _sums(data)
     at = np.arange(n - GRAM + 1)
     gram = _hashes(sums, at, at + GRAM)
@@ -91,7 +99,8 @@ def anchors(data: np.ndarray, owner: np.ndarray, banned: np.ndarray | None = Non
     first = np.flatnonzero(change)
     after = np.r_[first[1:], len(place)]
     first, after = first[valid[first]], after[valid[first]]
-    return first, after, gram[place[first]].view(np.int64), _hashes(sums, first, after + WINDOW - 1).view(np.int64), place[first]
+    more = (_hashes(_sums(data, 1), first, after + WINDOW - 1, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return first, after, gram[place[first]].view(np.int64), _hashes(sums, first, after + WINDOW - 1).view(np.int64), more, place[first]
 
 
 def _chunks(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -112,7 +121,7 @@ def _chunks(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
 
 
 def stretches(docs: DataFrame) -> DataFrame:
-    """(known, anchor, content, doc_id, tie, start, n): a row for each stretch of each document of (doc_id, tie, data).
+    """(known, anchor, content, more, doc_id, tie, start, n): a row for each stretch of each document of (doc_id, tie, data).
 
     known: an equal stretch that starts earlier was met in the same chunk, so this one needs no comparison.
     """
@@ -123,20 +132,21 @@ def stretches(docs: DataFrame) -> DataFrame:
             for batch in _chunks(df["data"].tolist()):
                 sizes = [len(b) for _, _, b in batch]
                 owner = np.repeat(np.arange(len(batch)), sizes)
-                first, after, anchor, content, _ = anchors(np.frombuffer(b"".join(b for _, _, b in batch), np.uint8), owner)
+                first, after, anchor, content, more, _ = anchors(np.frombuffer(b"".join(b for _, _, b in batch), np.uint8), owner)
                 of = owner[first]
                 row = np.array([r for r, _, _ in batch])[of]
                 start = first - (np.cumsum(sizes) - sizes)[of] + np.array([o for _, o, _ in batch])[of]
-                order = np.lexsort((start, ties[row], ids[row], content, anchor))
-                out = pd.DataFrame({"anchor": anchor, "content": content, "doc_id": ids[row], "tie": ties[row], "start": start, "n": (after - first + WINDOW - 1)}).iloc[order]
-                new = np.r_[True, (out["anchor"].to_numpy()[1:] != out["anchor"].to_numpy()[:-1]) | (out["content"].to_numpy()[1:] != out["content"].to_numpy()[:-1])] if len(out) else np.zeros(0, bool)
+                order = np.lexsort((start, ties[row], ids[row], more, content, anchor))
+                out = pd.DataFrame({"anchor": anchor, "content": content, "more": more, "doc_id": ids[row], "tie": ties[row], "start": start, "n": (after - first + WINDOW - 1)}).iloc[order]
+                kind = out[["anchor", "content", "more"]].to_numpy()
+                new = np.r_[True, (kind[1:] != kind[:-1]).any(1)] if len(out) else np.zeros(0, bool)
                 head = np.maximum.accumulate(np.where(new, np.arange(len(out)), 0))
                 place = out[["doc_id", "tie", "start"]].to_numpy()
                 at_head = (place == place[head]).all(1)  # the head itself, or a repeated row of its document
                 out.insert(0, "known", ~at_head)
                 yield out[new | ~at_head]
 
-    return docs.mapInPandas(run, "known boolean, anchor long, content long, doc_id long, tie int, start int, n int")
+    return docs.mapInPandas(run, "known boolean, anchor long, content long, more int, doc_id long, tie int, start int, n int")
 
 
 def compare(found: DataFrame) -> DataFrame:
@@ -156,9 +166,9 @@ def compare(found: DataFrame) -> DataFrame:
             if not len(df):
                 continue
             rows = df if last is None else pd.concat([last, df], ignore_index=True)
-            a, c = rows["anchor"].to_numpy(), rows["content"].to_numpy()
+            a, c, d = (rows[k].to_numpy() for k in ("anchor", "content", "more"))
             new_a = np.r_[last is None, a[1:] != a[:-1]]
-            new_c = new_a | np.r_[last is None, c[1:] != c[:-1]]
+            new_c = new_a | np.r_[last is None, (c[1:] != c[:-1]) | (d[1:] != d[:-1])]
             same = np.r_[False, np.logical_and.reduce([rows[k].to_numpy()[1:] == rows[k].to_numpy()[:-1] for k in ("doc_id", "tie", "start")])]
             fresh = np.ones(len(rows), bool)
             fresh[0] = last is None  # the row before was handled
@@ -175,7 +185,7 @@ def compare(found: DataFrame) -> DataFrame:
             last = rows.iloc[-1:]
             yield pd.concat([again.assign(again=True), firsts.assign(again=False)])[names]
 
-    order = ["anchor", "content", "doc_id", "tie", "start"]
+    order = ["anchor", "content", "more", "doc_id", "tie", "start"]
     # what is known needs no company, so it is dealt out evenly
     found = found.repartition("anchor", F.when(F.col("known"), F.xxhash64("doc_id", "start")).otherwise(F.lit(0)))
     return found.sortWithinPartitions(*order).mapInPandas(run, "again boolean, anchor long, doc_id long, tie int, start int, n int")
@@ -219,41 +229,91 @@ def repeated_in_shard(parts: list[bytes], doc: np.ndarray, tie: np.ndarray, star
     return pd.DataFrame({"doc_id": doc[of], "tie": tie[of], "first": (later[a] & 0xFFFFFFFF).astype(np.int32), "after": ((later[b] & 0xFFFFFFFF) + WINDOW).astype(np.int32)})
 
 
-def _split(data: bytes, start: int, anchor: int, hot: bool) -> list[tuple[int, int, bytes]]:
-    """(shard key, start, bytes): the stretch itself, or, of an anchor with very many, its parts by the second anchor."""
-    if not hot:
-        return [(anchor, start, data)]
+def _split(data: bytes, start: int, key: int, have: int, want: int) -> list[tuple[int, int, bytes]]:
+    """(key, start, bytes): the parts of a stretch whose windows share `have` anchors, by the next anchors up to `want` of them."""
+    if have == want:
+        return [(key, start, data)]
     text = np.frombuffer(data, np.uint8)
     owner = np.zeros(len(text), np.int8)
-    taken = np.unique(anchors(text, owner)[4])
-    first, after, second, _, _ = anchors(text, owner, taken)
-    return [(int(x), start + int(a), data[a : b + WINDOW - 1]) for a, b, x in zip(first, after, second, strict=True)]
+    taken = np.zeros(0, np.int64)
+    for _ in range(have):
+        taken = np.r_[taken, anchors(text, owner, taken)[5][:1]]
+    first, after, anchor, *_ = anchors(text, owner, taken)
+    with np.errstate(over="ignore"):
+        keys = _mix(anchor.view(np.uint64) + np.int64(key).view(np.uint64) * np.uint64(_BASE[0])).view(np.int64)
+    return [x for a, b, k in zip(first.tolist(), after.tolist(), keys.tolist(), strict=True) for x in _split(data[a : b + WINDOW - 1], start + a, k, have + 1, want)]
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, first, after): stretches of bytes to remove, which may overlap; docs: (doc_id, tie, data)."""
-    found = stage(compare(stretches(docs)), "stretches")
-    again = found.filter("again").select("doc_id", "tie", F.col("start").alias("first"), (F.col("start") + F.col("n")).alias("after"))
-    kinds = found.filter("not again")
-    hot = kinds.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > SPLIT).withColumn("hot", F.lit(True)).select("anchor", "hot")
-    kinds = kinds.join(hot, "anchor", "left")
-    size = kinds.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
-    per_doc = kinds.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("kinds"))
+PIECES = "key long, doc_id long, tie int, start int, part binary"
+
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cut(docs: DataFrame, kinds: DataFrame, want: int) -> DataFrame:
+    """The bytes of stretches, by their anchor, or split by `want` anchors; kinds: (anchor, doc_id, tie, start, n)."""
+    per_doc = kinds.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("kinds"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
             out = []
             for doc, tie, data, kinds in zip(df["doc_id"], df["tie"], df["data"], df["kinds"], strict=True):
                 for x in kinds:
-                    out += [(key, doc, tie, s, b) for key, s, b in _split(data[x["start"] : x["start"] + x["n"]], x["start"], x["anchor"], x["hot"])]
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["key", "doc_id", "tie", "start", "part"])
-                    out = []
+                    out += [(key, doc, tie, s, b) for key, s, b in _split(data[x["start"] : x["start"] + x["n"]], x["start"], x["anchor"], 1, want)]
+                    if len(out) > 20_000:
+                        yield pd.DataFrame(out, columns=["key", "doc_id", "tie", "start", "part"])
+                        out = []
             if out:
                 yield pd.DataFrame(out, columns=["key", "doc_id", "tie", "start", "part"])
 
-    pieces = docs.join(per_doc, ["doc_id", "tie"]).select("doc_id", "tie", "data", "kinds").mapInPandas(cut, "key long, doc_id long, tie int, start int, part binary")
+    return docs.join(per_doc, ["doc_id", "tie"]).select("doc_id", "tie", "data", "kinds").mapInPandas(run, PIECES)
+
+
+def _split_more(pieces: DataFrame, have: int, want: int) -> DataFrame:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            out = [(key, doc, tie, s, b) for old, doc, tie, start, part in df.itertuples(index=False) for key, s, b in _split(part, start, old, have, want)]
+            yield pd.DataFrame(out, columns=["key", "doc_id", "tie", "start", "part"])
+
+    return pieces.select("key", "doc_id", "tie", "start", "part").mapInPandas(run, PIECES)
+
+
+def settled(docs: DataFrame, kinds: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Groups of very many stretches in parts that share so many anchors that their groups are small: (pieces, spans of equal parts but the first).
+
+    Each round doubles the anchors and looks at what is still in large groups alone. Windows have _SPAN anchors to choose
+    from, and windows that agree on all of them are equal, so the rounds end.
+    """
+    have, want = 1, 2
+    parts = stage(_cut(docs, kinds, want), "parts")
+    pieces, again = [], []
+    while True:
+        # equal parts need no suffix array; Spark sums them up before the shuffle, so copies don't gather
+        place = F.struct("doc_id", "tie", "start")
+        firsts = stage(parts.groupBy("key", "part").agg(F.min(place).alias("first")), "firsts")
+        later = parts.join(firsts, ["key", "part"]).filter(place > F.col("first"))
+        again.append(later.select("doc_id", "tie", F.col("start").alias("first"), (F.col("start") + F.octet_length("part")).alias("after")))
+        left = firsts.select("key", "first.doc_id", "first.tie", "first.start", "part")
+        hot = stage(left.groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") > SPLIT).select("key"), "hot")
+        have, want = want, min(2 * want, _SPAN)
+        if have == want or hot.isEmpty():
+            return [*pieces, left], again
+        pieces.append(left.join(hot, "key", "left_anti"))
+        parts = stage(_split_more(left.join(hot, "key", "left_semi"), have, want), "parts")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, tie, first, after): stretches of bytes to remove, which may overlap; docs: (doc_id, tie, data)."""
+    found = stage(compare(stretches(docs)), "stretches")
+    again = found.filter("again").select("doc_id", "tie", F.col("start").alias("first"), (F.col("start") + F.col("n")).alias("after"))
+    kinds = found.filter("not again").drop("again")
+    # written, so the planner knows its size: a row for each group of over SPLIT
+    hot = stage(kinds.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > SPLIT).select("anchor"), "hot")
+    pieces = _cut(docs, kinds.join(hot, "anchor", "left_anti"), 1)
+    more, equal = ([], []) if hot.isEmpty() else settled(docs, kinds.join(hot, "anchor", "left_semi"))
+    size = (kinds.agg(F.sum("n")).first()[0] or 0) + sum(x.agg(F.sum(F.octet_length("part"))).first()[0] or 0 for x in more)
+    shards = max(1, -(-size // SHARD_BYTES))
+    for x in more:
+        pieces = pieces.unionByName(x)
+    for x in equal:
+        again = again.unionByName(x)
     # a document that repeats as a row gives its stretches twice; they are the same places
 
     def sort_shard(df: pd.DataFrame) -> pd.DataFrame:
@@ -264,14 +324,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary) for each row.
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 for each row; other columns are not carried.
 
     A byte goes if some 100-byte string over it also starts earlier: in a smaller doc_id, or before in the same document.
-    Null counts as empty; texts under 100 bytes stay. Rows of equal id and text are one document and get the same result;
-    rows of equal id and different texts come in the order of the texts' hashes. An empty table gives an empty result.
+    Null counts as empty; texts under 100 bytes stay. A null id comes after all others. Rows of equal id and text are one
+    document and get the same result; rows of equal id and different texts come in the order of the texts' hashes. An empty
+    table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    twice = docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    small_batches(docs.sparkSession)
+    last = F.lit(2**63 - 1)  # stands for a null id
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    twice = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     rows = rows.withColumn("tie", F.hash("data") if twice else F.lit(0))
     spans = repeated_spans(rows).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "after")).alias("spans"))
 
@@ -290,7 +353,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                 out.append((doc, len(data), len(data) - len(kept), len(merged), kept, hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return rows.join(spans, ["doc_id", "tie"], "left").select("doc_id", "data", "spans").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return rows.join(spans, ["doc_id", "tie"], "left").select("doc_id", "data", "spans").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").withColumn("doc_id", F.nullif("doc_id", last))
 
 
 def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
