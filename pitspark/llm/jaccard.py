@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, table, unstage, word_hashes
+from .common import small_batches, stage, table, unstage, unused, word_hashes
 from .graph import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -243,24 +243,22 @@ def _decide(threshold: float) -> Callable[[pd.DataFrame], list]:
     return work
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_key, class_id, n_links, copy_of for each row.
+def _first(doc_id: str = "doc_id", text_key: str = "text_key") -> Column:
+    """The order in which a class chooses the row that stands for it: ids that are null come last."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(text_key).alias("text_key"))
 
-    class_id: the smallest doc_id that the document is linked with, over any number of links of the given similarity; copy_of:
-    the smallest doc_id with an equal set of shingles; n_links: documents (rows) linked directly, copies included. Texts
-    without words (null, empty, blank) have no links and are each their own class. Fewer than five words are one shingle.
-    Repeated rows are copies. An empty table gives an empty result; other columns are not carried.
-    """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+
+def classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_key, set_id, and for rows with words copy_of, head (each the row that stands for the equal sets, and for the class) and n_links."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = stage(sketched(docs), "sketched")
-    one = F.min(F.struct("doc_id", "text_key")).alias("first")
-    found = marked.filter("set_id is not null").groupBy("set_id").agg(one, F.count("*").alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"), F.first("sig").alias("sig"))
+    found = marked.filter("set_id is not null").groupBy("set_id").agg(F.min(_first()).alias("first"), F.count("*").alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"), F.first("sig").alias("sig"))
     classes = stage(found, "classes")
     rough = components(nominated(classes, threshold))
     sizes = rough.groupBy("label").agg(F.count("*").alias("size"))
     members = rough.join(sizes, "label").join(classes.select(F.col("set_id").alias("node"), "first", "n_docs"), "node")
-    members = members.select("node", "label", "size", "n_docs", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
-    texts = docs.withColumn("text_key", F.xxhash64("text")).join(members, ["doc_id", "text_key"])
+    members = members.select("node", "label", "size", "n_docs", F.col("first.doc_id").alias("of_doc"), F.col("first.text_key").alias("of_text"))
+    texts = docs.withColumn("text_key", F.xxhash64("text")).join(members, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_text")))
     words = texts.select(F.col("node").alias("set_id"), "label", "size", "n_docs", word_hashes(F.col("text")).alias("words"))
 
     def to_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,24 +271,35 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     decided = stage(by_unit(units, _decide(threshold), "set_id binary, other binary, n_docs long, n_sets long", ["set_id", "other", "n_docs", "n_sets"], "set_id"), "decided")
     counts = decided.filter("other is null").groupBy("set_id").agg(F.sum("n_docs").alias("linked"))
     final = components(decided.filter("other is not null").select(F.col("set_id").alias("a"), F.col("other").alias("b")))
-    per_class = classes.select("set_id", "n_docs", F.col("first.doc_id").alias("copy_of")).join(final.withColumnRenamed("node", "set_id"), "set_id", "left").join(counts, "set_id", "left")
+    per_class = classes.select("set_id", "n_docs", F.col("first").alias("copy_of")).join(final.withColumnRenamed("node", "set_id"), "set_id", "left").join(counts, "set_id", "left")
     per_class = per_class.withColumn("label", F.coalesce("label", "set_id"))
-    heads = per_class.groupBy("label").agg(F.min("copy_of").alias("class_id"))
-    per_class = per_class.join(heads, "label").select("set_id", "copy_of", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
-    out = marked.select("doc_id", "text_key", "set_id").join(per_class, "set_id", "left")
-    return out.select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_of", "doc_id").alias("copy_of"))
+    heads = per_class.groupBy("label").agg(F.min("copy_of").alias("head"))
+    per_class = per_class.join(heads, "label").select("set_id", "copy_of", "head", (F.coalesce("linked", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
+    return marked.select("doc_id", "text_key", "set_id").join(per_class, "set_id", "left")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_key, class_id, n_links, copy_of for each row.
+
+    class_id: the smallest doc_id that the document is linked with, over any number of links of the given similarity; copy_of:
+    the smallest doc_id with an equal set of shingles; n_links: documents (rows) linked directly, copies included. Both are
+    null only where all ids of the class are null. Texts without words (null, empty, blank) have no links and are each their
+    own class. Fewer than five words are one shingle. Repeated rows are copies. An empty table gives an empty result; other
+    columns are not carried.
+    """
+    found, worded = classified(docs, threshold), F.col("set_id").isNotNull()
+    own = lambda c: F.when(worded, F.col(f"{c}.doc_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "text_key", own("head").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own("copy_of").alias("copy_of"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: the one of the smallest doc_id. Of repeated rows one stays; texts without words all stay."""
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs)
-    first = found.filter("doc_id = class_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    out = docs.withColumn("_k", F.xxhash64("text")).join(first, (F.col("doc_id") == F.col("_id")) & (F.col("_k") == F.col("_key")), "left_semi")
-    blank = F.coalesce(F.btrim("text", F.lit(" \t\n\r\x0b\x0c")), F.lit("")) == ""
-    number = F.row_number().over(Window.partitionBy("doc_id", "_k").orderBy(F.lit(0)))
-    return out.withColumn("_n", number).filter((F.col("_n") == 1) | blank).select(*docs.columns)
+    """docs with one document of each class: the one of the smallest doc_id, or one without id if none has an id. Of repeated rows one stays; texts without words all stay. Columns are unchanged, whatever their names."""
+    key, doc, text = unused(docs, "_key", "_doc", "_text")
+    heads = classified(docs).filter("set_id is not null").select(F.col("head.doc_id").alias(doc), F.col("head.text_key").alias(text)).distinct()
+    worded = F.coalesce(F.btrim("text", F.lit(" \t\n\r\x0b\x0c")), F.lit("")) != ""
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    first = rows.filter(worded).join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(text)), "left_semi")
+    return first.dropDuplicates(["doc_id", key]).select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
