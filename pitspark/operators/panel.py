@@ -51,11 +51,11 @@ def ratios(wide: DataFrame, min_equity: float) -> DataFrame:
 TAGS = ["NetIncomeLoss", "StockholdersEquity", "Revenues", "GrossProfit", "CommonStockSharesOutstanding"]
 
 
-def factors(facts: DataFrame, prices: DataFrame, asof: Column, min_equity: float = 1000.0, tickers: DataFrame | None = None) -> DataFrame:
-    """(ticker, px, ey, bp, roe, gm) on a date: one pivoted aggregation for all tags, then one join. tickers: (cik, ticker), else S and the cik."""
+def factors(facts: DataFrame, prices: DataFrame, asof: Column, min_equity: float = 1000.0, tickers: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """(ticker, px, ey, bp, roe, gm, more) on a date: one pivoted aggregation for all tags, then one join. tickers: (cik, ticker), else S and the cik; more: columns of prices to carry."""
     wide = latest_per_tag(facts, asof).groupBy("cik").pivot("tag", TAGS).agg(F.first("val"))
     wide = (wide.withColumn("ticker", F.concat(F.lit("S"), F.col("cik").cast("string"))) if tickers is None else wide.join(tickers, "cik")).drop("cik")
-    return ratios(prices.join(wide, "ticker", "left"), min_equity).select("ticker", "px", "ey", "bp", "roe", "gm")
+    return ratios(prices.join(wide, "ticker", "left"), min_equity).select("ticker", "px", "ey", "bp", "roe", "gm", *more)
 
 
 def finite(x: Column) -> Column:
@@ -88,43 +88,79 @@ def composite(rows: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def rank(bars: DataFrame, facts: DataFrame, members: DataFrame, asof: str, latest_price: bool = False, min_equity: float = 1000.0, tickers: DataFrame | None = None) -> DataFrame:
-    """Members on the date by the sum of five z-scores: value, quality and momentum. latest_price uses prices after the date too."""
+    """Members on the date that have momentum, by the sum of five z-scores: value, quality and momentum. Missing ratios are neutral.
+
+    px, the last adjusted close, makes the ratios; price is the last close. latest_price uses prices after the date too.
+    """
     day = F.lit(asof).cast("date")
-    prices = last_price(bars, F.lit("9999-12-31").cast("date") if latest_price else day)
-    here = prices.join(members.filter(members_at(members, day)).select("ticker"), "ticker", "left_semi")
-    rows = factors(facts, here, day, min_equity, tickers).join(momentum_calendar(month_end(bars), day), "ticker", "left")
-    return composite(rows.filter(F.coalesce(*[F.col(c) for c in FACTORS]).isNotNull()))
+    here = bars.join(members.filter(members_at(members, day)).select("ticker"), "ticker", "left_semi")
+    # one pass over the bars: the last prices and the two months of momentum
+    seen = here.filter("adjclose is not null") if latest_price else here.filter((F.col("event_date") <= day) & F.col("adjclose").isNotNull())
+    m = F.trunc("event_date", "MM")
+    month = lambda k: F.max_by("adjclose", F.when((m == F.add_months(F.trunc(day, "MM"), -k)), F.col("event_date")))
+    rows = seen.groupBy("ticker").agg(F.max_by("adjclose", "event_date").alias("px"), F.max_by("close", "event_date").alias("price"), month(1).alias("p1"), month(13).alias("p13"))
+    rows = rows.filter("px > 0 and price <> 0 and p1 <> 0 and p13 > 0").select("ticker", "px", "price", (F.col("p1") / F.col("p13") - 1).alias("mom"))
+    return composite(factors(facts, rows, day, min_equity, tickers, ("price", "mom")))
 
 
 def factor_profile(bars: DataFrame, facts: DataFrame, asof: str, tickers: DataFrame | None = None) -> DataFrame:
-    """(ticker, px, four ratios, mom) as known on a date, for the tickers of bars; without facts the ratios are null."""
+    """(ticker, px, four ratios, mom) as known on a date, for the tickers of bars, at their last close; without facts the ratios are null."""
     day = F.lit(asof).cast("date")
-    return factors(facts, last_price(bars, day), day, tickers=tickers).join(momentum_calendar(month_end(bars), day), "ticker", "left").select("ticker", "px", "ey", "bp", "roe", "gm", "mom")
+    return factors(facts, last_price(bars, day, "close"), day, tickers=tickers).join(momentum_calendar(month_end(bars), day), "ticker", "left").select("ticker", "px", "ey", "bp", "roe", "gm", "mom")
+
+
+#: Months of prices without which there is no backtest.
+MIN_MONTHS = 26
+
+
+def eligible(panel: DataFrame, members: DataFrame) -> DataFrame:
+    """(ticker, month, i, px, mom, fwd) of the members of each month that can be traded into the next; empty under MIN_MONTHS months."""
+    enough = panel.agg(F.count_distinct("month").alias("n_months")).filter(F.col("n_months") >= MIN_MONTHS).select("n_months")
+    rows = momentum_positional(panel).join(members, "ticker").filter(members_at(members, F.col("month"))).drop("added_date", "removed_date")
+    return rows.crossJoin(F.broadcast(enough)).drop("n_months")  # one row, or none
 
 
 def backtest(panel: DataFrame, members: DataFrame, score: DataFrame | None = None, top: float = 0.2, cost_bps: float = 10.0, least: int = 5) -> DataFrame:
     """(month, i, n_elig, k, gross, bench, turnover, net) for all months at once. score: (ticker, month, score), else momentum."""
-    rows = momentum_positional(panel).join(members, "ticker").filter(members_at(members, F.col("month"))).drop("added_date", "removed_date")
+    rows = eligible(panel, members)
     rows = rows.join(score, ["ticker", "month"]) if score is not None else rows.withColumn("score", F.col("mom"))
+    return backtest_rows(rows, top, cost_bps, least)
+
+
+def backtest_rows(rows: DataFrame, top: float = 0.2, cost_bps: float = 10.0, least: int = 5) -> DataFrame:
+    """The backtest of eligible rows with a score."""
     w = Window.partitionBy("month")
-    rows = rows.withColumn("n", F.count("*").over(w)).filter(F.col("n") >= least)
+    rows = rows.select("ticker", "month", "i", "fwd", "score").withColumn("n", F.count("*").over(w)).filter(F.col("n") >= least)
     rows = rows.withColumn("rn", F.row_number().over(w.orderBy(F.desc("score"), "ticker"))).withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(top))))
-    months = rows.groupBy("month", "i").agg(F.max("n").alias("n_elig"), F.max("k").alias("k"), F.avg(F.when(F.col("rn") <= F.col("k"), F.col("fwd"))).alias("gross"), F.avg("fwd").alias("bench"))
-    months = months.withColumn("seq", F.row_number().over(Window.orderBy("i")))  # a row a month
-    held = rows.filter(F.col("rn") <= F.col("k")).select("ticker", "month").join(F.broadcast(months.select("month", "seq")), "month")
-    again = held.withColumn("was", F.lag("seq").over(Window.partitionBy("ticker").orderBy("seq"))).groupBy("month").agg(F.count_if(F.col("was") == F.col("seq") - 1).alias("kept"))
-    before = F.coalesce(F.lag("k").over(Window.orderBy("seq")), F.lit(0))
-    out = months.join(again, "month").withColumn("turnover", (F.col("k") + before - 2 * F.col("kept")) / F.col("k"))
+    held = F.col("rn") <= F.col("k")
+    # each month with the names it holds, so turnover needs no second pass: a name set a month
+    months = rows.groupBy("month", "i").agg(F.max("n").alias("n_elig"), F.max("k").alias("k"), F.avg(F.when(held, F.col("fwd"))).alias("gross"), F.avg("fwd").alias("bench"), F.collect_set(F.when(held, F.col("ticker"))).alias("names"))
+    by_time = Window.orderBy("i")  # a row a month
+    before = F.coalesce(F.lag("names").over(by_time), F.array().cast("array<string>"))
+    kept = F.size(F.array_intersect("names", before))
+    out = months.withColumn("turnover", (F.col("k") + F.size(before) - 2 * kept) / F.col("k"))
     return out.select("month", "i", "n_elig", "k", "gross", "bench", "turnover", (F.col("gross") - F.col("turnover") * cost_bps / 10000).alias("net"))
 
 
-def multifactor_scores(bars: DataFrame, facts: DataFrame, members: DataFrame, min_equity: float = 1000.0, tickers: DataFrame | None = None) -> DataFrame:
-    """(ticker, month, score) for all months: set-based point-in-time factors on the first day of each month."""
-    rows = momentum_positional(month_end(bars)).join(members, "ticker").filter(members_at(members, F.col("month"))).select("ticker", "month", "px", "mom")
+def multifactor_scores(rows: DataFrame, facts: DataFrame, min_equity: float = 1000.0, tickers: DataFrame | None = None) -> DataFrame:
+    """Eligible rows with a score: the sum of five z-scores, by set-based point-in-time factors on the first day of each month."""
     wide = latest_by_month(facts, rows.select("month").distinct()).groupBy("cik", "month").pivot("tag", TAGS).agg(F.first("val"))
     wide = (wide.withColumn("ticker", F.concat(F.lit("S"), F.col("cik").cast("string"))) if tickers is None else wide.join(tickers, "cik")).drop("cik")
-    scored = composite(ratios(rows.join(wide, ["ticker", "month"], "left"), min_equity), "month")
-    return scored.select("ticker", "month", F.col("composite").alias("score"))
+    return composite(ratios(rows.join(wide, ["ticker", "month"], "left"), min_equity), "month").withColumnRenamed("composite", "score")
+
+
+def multifactor_backtest(bars: DataFrame, facts: DataFrame, members: DataFrame, min_equity: float = 1000.0, tickers: DataFrame | None = None, top: float = 0.2, cost_bps: float = 10.0, least: int = 5) -> DataFrame:
+    """The backtest by the multifactor score."""
+    return backtest_rows(multifactor_scores(eligible(month_end(bars), members), facts, min_equity, tickers), top, cost_bps, least)
+
+
+def regime_breakdown(returns: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, n, mean, bench, sd, sharpe, strategy_year, bench_year, alpha) of monthly net returns by the macro regime of their month; labels: (month, label), without one it is unknown."""
+    rows = returns.join(labels, "month", "left").withColumn("label", F.coalesce("label", F.lit("unknown")))
+    g = rows.groupBy("label").agg(F.count("*").alias("n"), F.avg("net").alias("mean"), F.avg("bench").alias("bench"), F.coalesce(F.stddev_samp("net"), F.lit(0.0)).alias("sd"))
+    year = lambda c: F.pow(1 + F.col(c), F.lit(12.0)) - 1
+    sharpe = F.when(F.col("sd") > 0, F.col("mean") / F.col("sd") * F.sqrt(F.lit(12.0))).otherwise(0.0)
+    return g.withColumns({"sharpe": sharpe, "strategy_year": year("mean"), "bench_year": year("bench")}).withColumn("alpha", F.col("strategy_year") - F.col("bench_year"))
 
 
 def equity(returns: DataFrame, column: str = "net", order: str = "i") -> DataFrame:

@@ -49,12 +49,24 @@ def latest_per_tag(facts: DataFrame, asof: Column) -> DataFrame:
 
 
 def latest_by_month(facts: DataFrame, months: DataFrame) -> DataFrame:
-    """latest_per_tag for each month of months (month), in one plan: each fact goes to the months in which it is known and fresh, 37 at most."""
-    first = F.greatest(F.trunc("knowledge_date", "MM"), F.trunc("event_date", "MM"))
-    spread = facts.withColumn("month", F.explode(F.when(first <= F.trunc(F.add_months("event_date", 36), "MM"), F.sequence(first, F.trunc(F.add_months("event_date", 36), "MM"), F.expr("interval 1 month")))))
-    exact = spread.filter((F.col("knowledge_date") <= F.col("month")) & (F.col("event_date") >= F.add_months("month", -36)))
-    known = exact.groupBy("month", "cik", "tag").agg(F.max_by("val", F.struct(*LATEST)).alias("val"))
-    return known.join(months, "month", "left_semi")
+    """(month, cik, tag, val): latest_per_tag for each first of a month of months (month), in one plan.
+
+    Knowledge comes first in the order, so a fact holds from the first month that knows it until the next known one: facts
+    are cut down to one a (cik, tag, month first known), and only the months they hold are made. Where the fact that holds
+    is older than three years, another one known before may not be; those few months are looked up among all facts.
+    """
+    first = F.when(F.dayofmonth("knowledge_date") == 1, F.col("knowledge_date")).otherwise(F.add_months(F.trunc("knowledge_date", "MM"), 1))
+    known = facts.groupBy("cik", "tag", first.alias("since")).agg(F.max_by(F.struct("val", "event_date"), F.struct(*LATEST)).alias("x"))
+    until = F.lead("since").over(Window.partitionBy("cik", "tag").orderBy("since"))
+    last = F.broadcast(months.agg(F.max("month").alias("last")))  # one row
+    held = known.select("cik", "tag", "since", "x.*", until.alias("until")).crossJoin(last)
+    end = F.least(F.add_months("until", -1), F.col("last"))
+    held = held.filter(F.col("since") <= end).withColumn("month", F.explode(F.sequence("since", end, F.expr("interval 1 month")))).join(F.broadcast(months), "month", "left_semi")  # months: bounded by the calendar
+    fresh = F.col("event_date") >= F.add_months("month", -36)
+    stale = held.filter(~fresh).select("month", "cik", "tag")
+    older = stale.join(facts, ["cik", "tag"]).filter((F.col("knowledge_date") <= F.col("month")) & fresh)
+    older = older.groupBy("month", "cik", "tag").agg(F.max_by("val", F.struct(*LATEST)).alias("val"))
+    return held.filter(fresh).select("month", "cik", "tag", "val").unionByName(older)
 
 
 def members_at(members: DataFrame, day: Column) -> Column:

@@ -12,16 +12,22 @@ def daily_returns(bars: DataFrame) -> DataFrame:
     return bars.filter("close > 0").select("ticker", "event_date", "close", before.alias("p")).filter("p > 0").select("ticker", "event_date", "close", (F.col("close") / F.col("p") - 1).alias("ret"))
 
 
-def covariance(bars: DataFrame, symbols: int = 200, lookback: int = 252, least: int = 20) -> DataFrame:
-    """(sym_a, sym_b, cov) over the last closes of the first symbols by name; series are aligned by position from the oldest."""
-    chosen = bars.select("ticker").distinct().orderBy("ticker").limit(symbols)
+def covariance(bars: DataFrame, symbols: int | list[str] = 200, lookback: int = 252, least: int = 20, asof: str | None = None) -> DataFrame:
+    """(sym_a, sym_b, cov) over the last closes on a date; series are aligned by position from the oldest.
+
+    symbols: names, or how many of the first by name. Names with under `least` returns are left out; fewer than two names
+    give no matrix.
+    """
+    chosen = bars.sparkSession.createDataFrame([(x,) for x in symbols], "ticker string") if isinstance(symbols, list) else bars.select("ticker").distinct().orderBy("ticker").limit(symbols)
+    bars = bars if asof is None else bars.filter(F.col("event_date") <= F.lit(asof).cast("date"))
     w = Window.partitionBy("ticker")
     tail = bars.filter("close > 0").join(F.broadcast(chosen), "ticker", "left_semi").withColumn("back", F.row_number().over(w.orderBy(F.desc("event_date")))).filter(F.col("back") <= lookback + 1)
     series = daily_returns(tail).withColumn("pos", F.row_number().over(w.orderBy("event_date"))).withColumn("n", F.count("*").over(w)).filter(F.col("n") >= least).select("ticker", "pos", "ret")
     a, b = series.select(F.col("ticker").alias("sym_a"), "pos", F.col("ret").alias("ra")), series.select(F.col("ticker").alias("sym_b"), "pos", F.col("ret").alias("rb"))
     half = a.join(b, "pos").filter("sym_a <= sym_b").groupBy("sym_a", "sym_b").agg(F.round(F.covar_samp("ra", "rb"), 8).alias("cov"))
-    mirrored = half.filter("sym_a < sym_b").select(F.col("sym_b").alias("sym_a"), F.col("sym_a").alias("sym_b"), "cov")
-    return half.unionByName(mirrored)
+    both = half.withColumn("side", F.explode(F.when(F.col("sym_a") < F.col("sym_b"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    out = both.select(F.when(F.col("side") == 0, F.col("sym_a")).otherwise(F.col("sym_b")).alias("sym_a"), F.when(F.col("side") == 0, F.col("sym_b")).otherwise(F.col("sym_a")).alias("sym_b"), "cov")
+    return out.withColumn("n", F.count("*").over(Window.partitionBy("sym_a"))).filter("n > 1").drop("n")
 
 
 def equal_weights(cov: DataFrame) -> DataFrame:
@@ -52,6 +58,33 @@ def greedy_weights(symbols: DataFrame, max_weight: float = 0.10, base: float = 0
     return ran.select(F.explode(F.arrays_zip("names", "w")).alias("x")).select(F.col("x.names").alias("sym"), F.col("x.w").alias("w"))
 
 
+def mean_variance(returns: DataFrame, cov: DataFrame, max_weight: float = 0.10, base: float = 0.5, slope: float = 0.5) -> DataFrame:
+    """(sym, w, ret, vol): the greedy portfolio of the names that have both an expected return (sym, er) and covariances, with its return and volatility.
+
+    Under two names, or where the variance isn't positive, the weights are equal. The specified search scores the same
+    portfolio again and again, so neither a risk-free rate nor a target volatility changes the choice.
+    """
+    names = returns.join(cov.select(F.col("sym_a").alias("sym")).distinct(), "sym", "left_semi")
+    w = greedy_weights(names, max_weight, base, slope).join(names.groupBy("sym").agg(F.first("er").alias("er")), "sym")
+    total = w.agg(F.sum(F.col("w") * F.col("er")).alias("ret"), F.count("*").alias("n"))
+    stats = total.crossJoin(risk_contribution(cov, w.select("sym", "w")).agg(F.sum("rc").alias("var")))  # a row each
+    out = w.crossJoin(F.broadcast(stats))
+    fine = (F.col("n") > 1) & (F.col("var") > 0)
+    return out.select("sym", F.when(fine, F.col("w")).otherwise(1 / F.col("n")).alias("w"), F.when(fine, F.col("ret")).alias("ret"), F.when(fine, F.sqrt("var")).alias("vol"))
+
+
+def efficient_frontier(returns: DataFrame, cov: DataFrame, points: int = 20, max_weight: float = 0.10, risk_free: float = 0.05) -> DataFrame:
+    """(point, ret, vol, sharpe, weights): the sampled portfolios by volatility, thinned out to about the given points; weights: name to weight. Empty under two names."""
+    w = mean_variance(returns, cov, max_weight, 0.1, 0.9).filter("vol is not null")
+    one = w.groupBy("ret", "vol").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("sym", "w")))).alias("weights"))
+    sampled = one.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points * 10 - 1))))
+    by_vol = Window.orderBy("vol", "k")  # some hundred samples
+    rows = sampled.withColumn("at", F.row_number().over(by_vol) - 1).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / points))
+    sharpe = F.when(F.col("vol") > 0, (F.col("ret") - risk_free) / F.col("vol")).otherwise(0.0)
+    return rows.filter(F.col("at") % step == 0).select((F.col("at") / step).cast("int").alias("point"), F.round("ret", 4).alias("ret"), F.round("vol", 4).alias("vol"), F.round(sharpe, 4).alias("sharpe"), "weights")
+
+
 def risk_parity(cov: DataFrame, max_weight: float = 0.10, max_iter: int = 100) -> DataFrame:
     """(sym, w): weights move by a twentieth of the gap to an equal risk share until no gap reaches 0.01. One group of a few hundred names."""
     import numpy as np
@@ -100,15 +133,38 @@ def factor_betas(series: DataFrame) -> DataFrame:
     return g.select("factor", beta.alias("beta"), "cov", ((F.col("me") - beta * F.col("mf")) * 252).alias("alpha"))
 
 
-def return_statistics(returns: DataFrame, column: str = "ret", order: str = "pos", periods: int = 252) -> DataFrame:
-    """One row: total and annual return, volatility, Sharpe, Sortino, maximum drawdown (from a peak of 1 on), Calmar."""
-    r = F.col(column)
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def factor_returns(returns: DataFrame, factors: DataFrame, risk_free: float = 0.0) -> DataFrame:
+    """One row (alpha, r_squared, tracking_error, n_periods, loadings): returns (pos, ret) over a rate, on factors (factor, pos, f).
+
+    Each beta is that of one factor alone; a factor with fewer values than returns is left out, one without variance has
+    beta 0. alpha and tracking error are the mean and deviation, a year, of what all betas leave.
+    """
+    excess = returns.select("pos", (F.col("ret") - risk_free).alias("excess"))
+    n = excess.agg(F.count("*").alias("n_periods"), F.coalesce(F.var_samp("excess"), F.lit(0.0)).alias("var"))
+    both = factors.join(excess, "pos")
+    enough = both.groupBy("factor").agg(F.count("*").alias("n_here")).crossJoin(F.broadcast(n)).filter("n_here >= n_periods").select("factor")  # n is one row
+    both = both.join(enough, "factor")
+    betas = factor_betas(both)
+    explained = betas.agg(F.coalesce(F.sum(F.greatest(F.lit(0.0), F.col("beta") * F.col("cov"))), F.lit(0.0)).alias("explained"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("factor", F.round("beta", 4))))).alias("loadings"))
+    part = both.join(betas.select("factor", "beta"), "factor").groupBy("pos").agg(F.sum(F.col("beta") * F.col("f")).alias("part"))
+    left = excess.join(part, "pos", "left").select((F.col("excess") - F.coalesce("part", F.lit(0.0))).alias("x"))
+    out = left.agg(F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("sd")).crossJoin(n).crossJoin(explained)  # a row each
+    r2 = F.when(F.col("var") > 0, F.least(F.lit(1.0), F.col("explained") / F.col("var"))).otherwise(0.0)
+    return out.filter("n_periods > 0").select(F.round(F.col("mean") * 252, 4).alias("alpha"), F.round(r2, 4).alias("r_squared"), F.round(F.col("sd") * F.sqrt(F.lit(252.0)), 4).alias("tracking_error"), "n_periods", "loadings")
+
+
+def return_statistics(returns: DataFrame, column: str = "ret", order: str = "pos", periods: int = 252, risk_free: float = 0.0) -> DataFrame:
+    """One row: total and annual return, volatility, Sharpe, Sortino, maximum drawdown (negative, from a peak of 1 on), Calmar. risk_free: a period's rate."""
+    r, x = F.col(column), F.col(column) - risk_free
+    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)  # one series
     run = returns.withColumn("eq", F.product(1 + r).over(w)).withColumn("peak", F.greatest(F.lit(1.0), F.max("eq").over(w)))
-    g = run.agg(F.count("*").alias("n"), F.product(1 + r).alias("g"), F.avg(r).alias("m"), F.coalesce(F.stddev_samp(r), F.lit(0.0)).alias("sd"), F.coalesce(F.stddev_samp(F.when(r < 0, r)), F.lit(0.0)).alias("down"), F.max((F.col("peak") - F.col("eq")) / F.col("peak")).alias("dd"))
+    sd = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
+    dd = F.least(F.lit(0.0), F.min((F.col("eq") - F.col("peak")) / F.col("peak")))
+    g = run.agg(F.count("*").alias("n"), F.product(1 + r).alias("g"), F.avg(x).alias("m"), sd(r).alias("sd"), sd(x).alias("sx"), sd(F.when(x < 0, x)).alias("down"), dd.alias("dd"))
+    root = F.sqrt(F.lit(float(periods)))
     year = F.pow("g", periods / F.col("n")) - 1
     ratio = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0)
-    return g.select((F.col("g") - 1).alias("total_return"), year.alias("annualized_return"), (F.col("sd") * F.sqrt(F.lit(float(periods)))).alias("volatility"), ratio(F.col("m") * periods, F.col("sd") * F.sqrt(F.lit(float(periods)))).alias("sharpe"), ratio(F.col("m") * periods, F.col("down") * F.sqrt(F.lit(float(periods)))).alias("sortino"), F.col("dd").alias("max_drawdown"), ratio(year, F.col("dd")).alias("calmar"))
+    return g.filter("n > 0").select((F.col("g") - 1).alias("total_return"), year.alias("annualized_return"), (F.col("sd") * root).alias("volatility"), ratio(F.col("m") * root, F.col("sx")).alias("sharpe"), ratio(F.col("m") * periods, F.col("down") * root).alias("sortino"), F.col("dd").alias("max_drawdown"), ratio(year, -F.col("dd")).alias("calmar"), "n")
 
 
 def brinson(book: DataFrame, bench: DataFrame) -> DataFrame:
@@ -137,7 +193,7 @@ def anomalies(ranked: DataFrame) -> DataFrame:
     quality = _slices(ranked, "roe", 5).select(F.lit("quality_premium").alias("name"), F.when((F.col("n") < 20) | (spread <= 0), 0.0).otherwise(F.least(F.lit(1.0), 1 - spread / 0.5)).alias("score"))
     rn = ranked.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("composite"), "ticker"))).agg(F.count("*").alias("n"), F.sum(F.abs("composite")).alias("t"), F.sum(F.when(F.col("rn") <= 10, F.abs("composite"))).alias("top"))
     crowd = rn.select(F.lit("factor_crowding").alias("name"), F.when((F.col("n") < 20) | (F.col("t") <= 0), 0.0).otherwise(F.least(F.lit(1.0), F.col("top") / F.col("t") * 2)).alias("score"))
-    return mom.unionByName(value).unionByName(quality).unionByName(crowd)
+    return mom.unionByName(value).unionByName(quality).unionByName(crowd).orderBy(F.desc("score"), "name")
 
 
 # fixed values: the strategy proposed for each anomaly, and the score above which it counts
@@ -159,9 +215,12 @@ def sector_rotation(ranked: DataFrame, sectors: DataFrame) -> DataFrame:
 
 
 def proposals(scores: DataFrame) -> DataFrame:
-    """A strategy for each anomaly whose score is above its threshold, with the severity."""
+    """A strategy for each anomaly whose score is above its threshold, the most severe first; one of a kind without a strategy of its own gets an adaptive one."""
     known = scores.sparkSession.createDataFrame(PROPOSALS, PROPOSAL_SCHEMA)
-    return scores.join(F.broadcast(known), "name").filter("score > least").select("name", F.round("score", 3).alias("severity"), "strategy", "universe", "ranking", "sizing", "max_positions", "rebalance")
+    rows = scores.join(F.broadcast(known), "name", "left").filter(F.col("least").isNull() | (F.col("score") > F.col("least")))
+    adaptive = F.concat(F.lit("Adaptive "), F.initcap(F.replace("name", F.lit("_"), F.lit(" "))))
+    filled = [F.coalesce("strategy", adaptive).alias("strategy"), *[F.coalesce(c, F.lit(x)).alias(c) for c, x in (("universe", "sp500"), ("ranking", "composite"), ("sizing", "equal_weight"), ("max_positions", 20), ("rebalance", "monthly"))]]
+    return rows.select("name", F.round("score", 3).alias("severity"), *filled).orderBy(F.desc("severity"), "name")
 
 
 def strategy_score(ranked: DataFrame) -> DataFrame:

@@ -113,14 +113,14 @@ def last_price(s, d):
     return pan.last_price(v.bars(s, d), day())
 
 
-@query(w("bars") + "SELECT ticker, event_date, open, high, low, close, volume FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY event_date DESC) <= 5")
+@query(w("bars") + "SELECT ticker, event_date, open, high, low, close, volume FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY event_date DESC) <= 252")
 def price_history_topn(s, d):
     rank = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("event_date")))
-    return v.bars(s, d).withColumn("rn", rank).filter("rn <= 5").select("ticker", "event_date", "open", "high", "low", "close", "volume")
+    return v.bars(s, d).withColumn("rn", rank).filter("rn <= 252").select("ticker", "event_date", "open", "high", "low", "close", "volume")
 
 
 PANEL = "pan AS (SELECT ticker, CAST(date_trunc('month', event_date) AS DATE) AS month, arg_max(adjclose, event_date) AS px FROM bars GROUP BY 1, 2)"
-MOMC = f"mc AS (SELECT a.ticker, a.px / b.px - 1 AS mom FROM pan a JOIN pan b USING (ticker) WHERE a.month = CAST(date_trunc('month', DATE '{D}') - INTERVAL 1 MONTH AS DATE) AND b.month = CAST(date_trunc('month', DATE '{D}') - INTERVAL 13 MONTH AS DATE) AND a.px <> 0 AND b.px <> 0)"
+MOMC = f"mc AS (SELECT a.ticker, a.px / b.px - 1 AS mom FROM pan a JOIN pan b USING (ticker) WHERE a.month = CAST(date_trunc('month', DATE '{D}') - INTERVAL 1 MONTH AS DATE) AND b.month = CAST(date_trunc('month', DATE '{D}') - INTERVAL 13 MONTH AS DATE) AND a.px <> 0 AND b.px > 0)"
 MOMP = "ix AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS i FROM (SELECT DISTINCT month FROM pan)), pi AS (SELECT * FROM pan JOIN ix USING (month)), mp AS (SELECT a.ticker, a.month, a.i, a.px, b.px / c.px - 1 AS mom, n.px / a.px - 1 AS fwd FROM pi a JOIN pi b ON a.ticker = b.ticker AND b.i = a.i - 1 JOIN pi c ON a.ticker = c.ticker AND c.i = a.i - 13 JOIN pi n ON a.ticker = n.ticker AND n.i = a.i + 1 WHERE a.px <> 0 AND b.px <> 0 AND c.px <> 0)"
 
 
@@ -160,7 +160,9 @@ def zscore_cross_section(s, d):
     return r(pan.zscored(pan.momentum_calendar(pan.month_end(v.bars(s, d)), day()), ("mom",)).select("ticker", "z_mom"), "z_mom")
 
 
-RANK = f"{LIVE}, {LATEST}, {PRICE}, {FACT}, {PANEL}, {MOMC}, rk AS (SELECT fa.*, mom FROM fa LEFT JOIN mc USING (ticker) WHERE ticker IN (SELECT ticker FROM members WHERE {HOLDS.format('DATE ' + repr(D))}) AND coalesce(ey, bp, roe, gm, mom) IS NOT NULL), rz AS (SELECT *, " + ", ".join(f"{zsql(c)} AS z_{c}" for c in pan.FACTORS) + " FROM rk), ranked AS (SELECT *, z_ey + z_bp + z_roe + z_gm + z_mom AS composite, " + " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in pan.FACTORS) + " AS n_factors FROM rz)"
+# the last prices of all names, then only members with momentum: the moments of the z-scores are theirs
+LASTS = f"rp AS (SELECT ticker, arg_max(adjclose, event_date) AS px, arg_max(close, event_date) AS price FROM bars WHERE adjclose IS NOT NULL AND event_date <= DATE '{D}' GROUP BY 1)"
+RANK = f"{LIVE}, {LATEST}, {LASTS}, {WIDE.format('wd', '', 'lt')}, {PANEL}, {MOMC}, rk AS (SELECT rp.ticker, px, price, mom, {RATIOS} FROM rp JOIN mc USING (ticker) LEFT JOIN wd USING (ticker) WHERE px > 0 AND price <> 0 AND ticker IN (SELECT ticker FROM members WHERE {HOLDS.format('DATE ' + repr(D))})), rz AS (SELECT *, " + ", ".join(f"{zsql(c)} AS z_{c}" for c in pan.FACTORS) + " FROM rk), ranked AS (SELECT *, z_ey + z_bp + z_roe + z_gm + z_mom AS composite, 1 + " + " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in pan.FACTORS if c != "mom") + " AS n_factors FROM rz)"
 _ROUND = ["ey", "bp", "roe", "gm", "mom", "z_ey", "z_bp", "z_roe", "z_gm", "z_mom", "composite"]
 
 
@@ -168,7 +170,7 @@ def ranked(s, d):
     return pan.rank(v.bars(s, d), live_facts(s, d), v.members(s, d), D)
 
 
-@query(w("bars", "facts", "members", more=RANK) + "SELECT ticker, px, n_factors, " + ", ".join(f"round({c}, 5) AS {c}" for c in _ROUND) + " FROM ranked")
+@query(w("bars", "facts", "members", more=RANK) + "SELECT ticker, px, price, n_factors, " + ", ".join(f"round({c}, 5) AS {c}" for c in _ROUND) + " FROM ranked")
 def composite_rank(s, d):
     return r(ranked(s, d), *_ROUND, digits=5).orderBy(F.desc("composite"), "ticker")
 
@@ -181,7 +183,7 @@ def factor_coverage(s, d):
 
 # backtests
 def back_sql(score: str) -> str:
-    return f"bt0 AS ({score}), bt1 AS (SELECT *, count(*) OVER (PARTITION BY month) AS n FROM bt0), bt2 AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY score DESC, ticker) AS rn, greatest(1, CAST(floor(n * 0.2::DOUBLE) AS BIGINT)) AS k FROM bt1 WHERE n >= 5), bt3 AS (SELECT month, i, max(n) AS n_elig, max(k) AS k, avg(fwd) FILTER (rn <= k) AS gross, avg(fwd) AS bench, row_number() OVER (ORDER BY i) AS seq FROM bt2 GROUP BY month, i), held AS (SELECT ticker, month, seq FROM bt2 JOIN bt3 USING (month) WHERE rn <= bt2.k), kept AS (SELECT a.month, count(b.ticker) AS kept FROM held a LEFT JOIN held b ON a.ticker = b.ticker AND b.seq = a.seq - 1 GROUP BY 1), bt AS (SELECT month, i, n_elig, k, gross, bench, (k + coalesce(lag(k) OVER (ORDER BY seq), 0) - 2 * kept) / CAST(k AS DOUBLE) AS turnover FROM bt3 JOIN kept USING (month)), btn AS (SELECT *, gross - turnover * 10.0 / 10000 AS net FROM bt)"
+    return f"bt0 AS ({score}), bt1 AS (SELECT *, count(*) OVER (PARTITION BY month) AS n FROM bt0 WHERE (SELECT count(*) FROM ix) >= 26), bt2 AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY score DESC, ticker) AS rn, greatest(1, CAST(floor(n * 0.2::DOUBLE) AS BIGINT)) AS k FROM bt1 WHERE n >= 5), bt3 AS (SELECT month, i, max(n) AS n_elig, max(k) AS k, avg(fwd) FILTER (rn <= k) AS gross, avg(fwd) AS bench, row_number() OVER (ORDER BY i) AS seq FROM bt2 GROUP BY month, i), held AS (SELECT ticker, month, seq FROM bt2 JOIN bt3 USING (month) WHERE rn <= bt2.k), kept AS (SELECT a.month, count(b.ticker) AS kept FROM held a LEFT JOIN held b ON a.ticker = b.ticker AND b.seq = a.seq - 1 GROUP BY 1), bt AS (SELECT month, i, n_elig, k, gross, bench, (k + coalesce(lag(k) OVER (ORDER BY seq), 0) - 2 * kept) / CAST(k AS DOUBLE) AS turnover FROM bt3 JOIN kept USING (month)), btn AS (SELECT *, gross - turnover * 10.0 / 10000 AS net FROM bt)"
 
 
 MOMBACK = f"{PANEL}, {MOMP}, " + back_sql(f"SELECT mp.*, mom AS score FROM mp JOIN members USING (ticker) WHERE {HOLDS.format('month')}")
@@ -202,8 +204,7 @@ MULTI = f"{LIVE}, {PANEL}, {MOMP}, {MONTHS}, {BY_MONTH}, {WIDE.format('wm', ', m
 
 @query(w("bars", "facts", "members", more=MULTI) + _BT)
 def backtest_multifactor_monthly(s, d):
-    b, m = v.bars(s, d), v.members(s, d)
-    return r(pan.backtest(pan.month_end(b), m, pan.multifactor_scores(b, live_facts(s, d), m)), "gross", "bench", "turnover", "net")
+    return r(pan.multifactor_backtest(v.bars(s, d), live_facts(s, d), v.members(s, d)), "gross", "bench", "turnover", "net")
 
 
 CURVE = "eq AS (SELECT *, product(1 + net) OVER (ORDER BY i) AS equity FROM btn), cu AS (SELECT *, max(equity) OVER (ORDER BY i) AS peak FROM eq)"
@@ -234,7 +235,7 @@ _LABEL = f"CASE WHEN rec >= {_T['rec']} THEN 'recession' WHEN vix > {_T['vix_hig
 
 def regimes(s, d):
     m = v.macro(s, d)
-    types = [x[0] for x in m.select("series_id").distinct().orderBy("series_id").limit(len(mac.SERIES)).collect()]  # a handful of series names
+    types = [x[0] for x in m.select("series_id").distinct().orderBy("series_id").limit(len(mac.SERIES)).collect()]  # the table has as many event types as there are series
     days = v.read(s, d, "events").select(F.col("ts").cast("date").alias("day")).distinct()
     return mac.regime_series(m, days, dict(zip(types, mac.SERIES, strict=False)), _T)
 
@@ -244,9 +245,17 @@ def regime_series(s, d):
     return regimes(s, d)
 
 
-@query(w("macro", more=_REG) + f"SELECT label, count(*) AS n, round(avg(fed), 6) AS mean_fed, round(stddev_samp(fed), 6) AS sd_fed FROM (SELECT *, {_LABEL} AS label FROM wi) GROUP BY label")
+# the events lie in a later year than the prices: day k of the macro series stands for the k-th month of the backtest's calendar
+_SHIFT = f"lb AS (SELECT CAST(DATE '1996-01-01' + to_months(CAST(dayofyear(day) - 1 AS INTEGER)) AS DATE) AS month, label FROM (SELECT *, {_LABEL} AS label FROM wi))"
+_YEAR = "pow(1 + avg({0}), 12.0) - 1"
+
+
+@query(w("macro", "bars", "members", more=f"{_REG}, {_SHIFT}, {MOMBACK}") + f"SELECT coalesce(label, 'unknown') AS label, count(*) AS n, round(avg(net), 6) AS mean, round(avg(bench), 6) AS bench, round(coalesce(stddev_samp(net), 0), 6) AS sd, round(CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) * sqrt(12.0) ELSE 0.0 END, 6) AS sharpe, round(ln(1 + {_YEAR.format('net')}), 6) AS log_strategy_year, round(ln(1 + {_YEAR.format('bench')}), 6) AS log_bench_year FROM btn LEFT JOIN lb USING (month) GROUP BY 1")
 def regime_breakdown(s, d):
-    return r(regimes(s, d).groupBy("label").agg(F.count("*").alias("n"), F.avg("fed").alias("mean_fed"), F.stddev_samp("fed").alias("sd_fed")), "mean_fed", "sd_fed")
+    labels = regimes(s, d).select(F.add_months(F.lit("1996-01-01").cast("date"), F.dayofyear("day") - 1).alias("month"), "label")
+    out = pan.regime_breakdown(momentum_backtest(s, d), labels)
+    logs = [F.ln(1 + F.col(c)).alias(f"log_{c}") for c in ("strategy_year", "bench_year")]
+    return r(out.select("label", "n", "mean", "bench", "sd", "sharpe", *logs), "mean", "bench", "sd", "sharpe", "log_strategy_year", "log_bench_year")
 
 
 @query(w("macro") + "SELECT i.id AS series_id, arg_max(val, event_date) AS value, max(event_date) AS event_date FROM (VALUES ('click'), ('view'), ('nothing')) i(id) LEFT JOIN macro ON i.id = series_id GROUP BY 1")
@@ -256,7 +265,7 @@ def macro_snapshot(s, d):
 
 # portfolio
 RET = "rt AS (SELECT ticker, event_date, close, close / lag(close) OVER (PARTITION BY ticker ORDER BY event_date) - 1 AS ret FROM bars WHERE close > 0)"
-COV = "c1 AS (SELECT * FROM bars WHERE close > 0 AND ticker IN (SELECT DISTINCT ticker FROM bars ORDER BY ticker LIMIT 20) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY event_date DESC) <= 253), c2 AS (SELECT ticker, event_date, close / lag(close) OVER (PARTITION BY ticker ORDER BY event_date) - 1 AS ret FROM c1), c3 AS (SELECT ticker, ret, row_number() OVER (PARTITION BY ticker ORDER BY event_date) AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM c2 WHERE ret IS NOT NULL), cov AS (SELECT a.ticker AS sym_a, b.ticker AS sym_b, round(covar_samp(a.ret, b.ret), 8) AS cov FROM c3 a JOIN c3 b USING (pos) WHERE a.n >= 20 AND b.n >= 20 GROUP BY 1, 2)"
+COV = "c1 AS (SELECT * FROM bars WHERE close > 0 AND ticker IN (SELECT DISTINCT ticker FROM bars ORDER BY ticker LIMIT 200) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY event_date DESC) <= 253), c2 AS (SELECT ticker, event_date, close / lag(close) OVER (PARTITION BY ticker ORDER BY event_date) - 1 AS ret FROM c1), c3 AS (SELECT ticker, ret, row_number() OVER (PARTITION BY ticker ORDER BY event_date) AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM c2 WHERE ret IS NOT NULL), cov AS (SELECT a.ticker AS sym_a, b.ticker AS sym_b, round(covar_samp(a.ret, b.ret), 8) AS cov FROM c3 a JOIN c3 b USING (pos) WHERE a.n >= 20 AND b.n >= 20 AND (SELECT count(DISTINCT ticker) FROM c3 WHERE n >= 20) > 1 GROUP BY 1, 2)"
 RC = "rc AS (SELECT sym_a AS sym, sum(cov) / pow((SELECT count(DISTINCT sym_a) FROM cov), 2) AS rc FROM cov GROUP BY 1)"
 
 
@@ -286,27 +295,48 @@ def portfolio_variance(s, d):
     return r(por.risk_contribution(c, por.equal_weights(c)).agg(F.sum("rc").alias("variance")), "variance")
 
 
+# expected returns: the mean daily return, a year
+ER = "er AS (SELECT ticker AS sym, avg(ret) * 252 AS er FROM rt WHERE ret IS NOT NULL GROUP BY 1)"
+
+
 def greedy_sql(base: float, slope: float) -> str:
-    return f"WITH RECURSIVE sy AS (SELECT 'S' || s_suppkey AS sym, row_number() OVER (ORDER BY 'S' || s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier), g(i, sym, w, rem) AS (SELECT i, sym, CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE least(0.10, {base}::DOUBLE) END, 1.0::DOUBLE - CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE least(0.10, {base}::DOUBLE) END FROM sy WHERE i = 0 UNION ALL SELECT sy.i, sy.sym, CASE WHEN sy.i = n - 1 THEN rem ELSE least(0.10::DOUBLE, rem * ({base} + {slope} * (sy.i / n::DOUBLE))) END, rem - CASE WHEN sy.i = n - 1 THEN rem ELSE least(0.10::DOUBLE, rem * ({base} + {slope} * (sy.i / n::DOUBLE))) END FROM g JOIN sy ON sy.i = g.i + 1) SELECT sym, round(w, 8) AS w FROM g"
+    """Names with both an expected return and covariances, in order; each takes its part of what is left, the last one the rest."""
+    part = f"CASE WHEN sy.i = n - 1 THEN rem ELSE greatest(0, least(0.10::DOUBLE, rem * ({base} + {slope} * (sy.i / n::DOUBLE)))) END"
+    return w("bars", more=f"{RET}, {ER}, {COV}, sy AS (SELECT sym, er, row_number() OVER (ORDER BY sym) - 1 AS i, count(*) OVER () AS n FROM er WHERE sym IN (SELECT sym_a FROM cov)), g(i, sym, w, rem) AS (SELECT -1::BIGINT, NULL::VARCHAR, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT sy.i, sy.sym, {part}, rem - {part} FROM g JOIN sy ON sy.i = g.i + 1), pw AS (SELECT g.sym, w, er, n FROM g JOIN sy USING (sym)), pf AS (SELECT (SELECT sum(w * er) FROM pw) AS ret, (SELECT sum(a.w * b.w * cov) FROM cov JOIN pw a ON a.sym = sym_a JOIN pw b ON b.sym = sym_b) AS var), ow AS (SELECT sym, CASE WHEN n > 1 AND var > 0 THEN w ELSE 1.0 / n END AS w, ret, CASE WHEN n > 1 AND var > 0 THEN sqrt(var) END AS vol FROM pw, pf)").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def symbols(s, d):
-    return v.read(s, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("sym"))
+def expected(s, d):
+    return por.daily_returns(v.bars(s, d)).groupBy(F.col("ticker").alias("sym")).agg((F.avg("ret") * 252).alias("er"))
 
 
-@query(greedy_sql(0.5, 0.5))
+@query(greedy_sql(0.5, 0.5) + "SELECT sym, round(w, 8) AS w, round(ln(ret), 5) AS log_ret, round(ln(vol), 5) AS log_vol FROM ow")
 def mean_variance_weights(s, d):
-    return r(por.greedy_weights(symbols(s, d)), "w", digits=8)
+    out = por.mean_variance(expected(s, d), cov(s, d))
+    return r(r(out.select("sym", "w", F.ln("ret").alias("log_ret"), F.ln("vol").alias("log_vol")), "w", digits=8), "log_ret", "log_vol", digits=5)
 
 
-@query(greedy_sql(0.1, 0.9))
+@query(greedy_sql(0.1, 0.9) + "SELECT sym, round(w, 8) AS w FROM ow")
 def efficient_frontier_weights(s, d):
-    return r(por.greedy_weights(symbols(s, d), base=0.1, slope=0.9), "w", digits=8)
+    return r(por.mean_variance(expected(s, d), cov(s, d), base=0.1, slope=0.9).select("sym", "w"), "w", digits=8)
 
 
-@query()
+@query(greedy_sql(0.1, 0.9) + "SELECT CAST(point AS INTEGER) AS point, round(ln(ret), 4) AS log_ret, round(ln(vol), 4) AS log_vol, round((ret - 0.05) / vol, 4) AS sharpe, n_names FROM (SELECT any_value(ret) AS ret, any_value(vol) AS vol, count(*) AS n_names FROM ow), range(20) AS x(point) WHERE vol IS NOT NULL")
+def efficient_frontier(s, d):
+    out = por.efficient_frontier(expected(s, d), cov(s, d))
+    return r(out.select("point", F.ln("ret").alias("log_ret"), F.ln("vol").alias("log_vol"), "sharpe", F.size("weights").cast("long").alias("n_names")), "log_ret", "log_vol", digits=4)
+
+
+_RP_STEP = """SELECT it.k + 1 AS k,
+  list_transform(w1, lambda x: CASE WHEN list_sum(w1) > 0 THEN x / list_sum(w1) ELSE 1.0 / n END) AS w, list_aggregate(list_transform(gap, lambda x: abs(x)), 'max') < 0.01 AS done
+  FROM (SELECT k, n, gap, list_transform(range(1, n + 1), lambda i: least(0.10, greatest(0, w[i] * (1 + 0.05 * gap[i])))) AS w1
+    FROM (SELECT k, n, w, list_transform(rc, lambda x: 1.0 / n - x / list_sum(rc)) AS gap
+      FROM (SELECT k, n, w, list_transform(range(1, n + 1), lambda i: w[i] * list_dot_product(m[i], w)) AS rc FROM it, mx WHERE k < 100 AND NOT done AND n > 1)
+      WHERE list_sum(rc) > 0)) it"""
+
+
+@query(w("bars", more=f"{COV}, mr AS (SELECT sym_a, list(cov ORDER BY sym_b) AS row FROM cov GROUP BY 1), mx AS (SELECT list(sym_a ORDER BY sym_a) AS syms, list(row ORDER BY sym_a) AS m, count(*) AS n FROM mr), it(k, w, done) AS (SELECT 0::BIGINT, list_transform(syms, lambda x: 1.0::DOUBLE / n), false FROM mx UNION ALL {_RP_STEP}), lw AS (SELECT w FROM it ORDER BY k DESC LIMIT 1)").replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT unnest(syms) AS sym, round(unnest(w), 6) AS w FROM mx, lw")
 def risk_parity_weights(s, d):
-    return por.risk_parity(cov(s, d))
+    return r(por.risk_parity(cov(s, d)), "w")
 
 
 @query("WITH b AS (SELECT DISTINCT (event_id % 97) / 97.0::DOUBLE AS p, (event_id % 7) / 2.0::DOUBLE AS odds, 1000.0::DOUBLE AS bankroll FROM events), k AS (SELECT *, greatest(0.0, least(1.0, CASE WHEN odds > 1 THEN (p * odds - 1) / (odds - 1) ELSE 0.0 END)) AS k FROM b) SELECT p, odds, bankroll, round(bankroll * k * 0.25, 2) AS recommended_bet, round(k * 0.25, 4) AS fraction_of_bankroll, round(k, 4) AS kelly_percentage, CASE WHEN k <= 0 THEN 'no bet' ELSE '25% Kelly' END AS message, CASE WHEN k > 0.1 THEN 'high' WHEN k <= 0 THEN 'low' ELSE 'medium' END AS confidence FROM k")
@@ -324,9 +354,9 @@ def pairs(s, d):
     return one("S1", "ra").join(one("S2", "rb"), "event_date").select((F.row_number().over(Window.orderBy("event_date")) - 1).alias("pos"), "ra", "rb")
 
 
-@query(w("bars", more=f"{RET}, {PAIR}, x AS (SELECT pos, covar_samp(ra, rb) OVER q AS c, var_samp(ra) OVER q AS va, var_samp(rb) OVER q AS vb, avg(ra) OVER q AS ma, avg(rb) OVER q AS mb, count(*) OVER q AS n FROM pr WINDOW q AS (ORDER BY pos ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))") + "SELECT pos AS date_idx, round((ma - c / vb * mb) * 252, 4) + 0.0 AS alpha, round(c / vb, 5) + 0.0 AS beta, round(least(1.0, c / vb * c / va), 5) + 0.0 AS r2 FROM x WHERE n = 20 AND vb > 0")
+@query(w("bars", more=f"{RET}, {PAIR}, x AS (SELECT pos, covar_samp(ra, rb) OVER q AS c, var_samp(ra) OVER q AS va, var_samp(rb) OVER q AS vb, avg(ra) OVER q AS ma, avg(rb) OVER q AS mb, count(*) OVER q AS n FROM pr WINDOW q AS (ORDER BY pos ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING))") + "SELECT pos AS date_idx, round((ma - c / vb * mb) * 252, 4) + 0.0 AS alpha, round(c / vb, 5) + 0.0 AS beta, round(least(1.0, c / vb * c / va), 5) + 0.0 AS r2 FROM x WHERE n = 63 AND vb > 0")
 def rolling_alpha(s, d):
-    out = r(r(por.rolling_alpha(pairs(s, d), 20), "beta", "r2", digits=5), "alpha", digits=4)
+    out = r(r(por.rolling_alpha(pairs(s, d)), "beta", "r2", digits=5), "alpha", digits=4)
     return out.withColumns({c: F.col(c) + 0.0 for c in ("alpha", "beta", "r2")})  # no negative zero
 
 
@@ -336,9 +366,23 @@ def factor_regression(s, d):
     return r(r(g, "beta", "cov"), "alpha", digits=4)
 
 
-@query(w("bars", "members", more=f"{MOMBACK}, e1 AS (SELECT *, product(1 + net) OVER (ORDER BY i) AS eq FROM btn), e2 AS (SELECT *, greatest(1.0, max(eq) OVER (ORDER BY i)) AS pk FROM e1), s AS (SELECT count(*) AS n, product(1 + net) AS g, avg(net) AS m, stddev_samp(net) AS sd, stddev_samp(net) FILTER (net < 0) AS dn, max((pk - eq) / pk) AS dd FROM e2)") + "SELECT round(ln(g), 6) AS log_growth, round(pow(g, 12.0 / n) - 1, 6) AS annualized_return, round(sd * sqrt(12.0), 6) AS volatility, round(m * 12 / (sd * sqrt(12.0)), 5) AS sharpe, round(CASE WHEN dn > 0 THEN m * 12 / (dn * sqrt(12.0)) ELSE 0.0 END, 5) AS sortino, round(dd, 6) AS max_drawdown, round((pow(g, 12.0 / n) - 1) / dd, 5) AS calmar FROM s")
+# monthly returns of the first names: S1 is explained by the others, the last of which has no value in some months
+_MONTHLY = f"{PANEL}, mr AS (SELECT ticker, month, px / lag(px) OVER (PARTITION BY ticker ORDER BY month) - 1 AS ret FROM pan), fx AS (SELECT month, ret - 0.001 AS x FROM mr WHERE ticker = 'S1' AND ret IS NOT NULL), ff AS (SELECT ticker AS factor, month, ret AS f, x FROM mr JOIN fx USING (month) WHERE ticker IN ('S2', 'S3', 'S4') AND ret IS NOT NULL AND (ticker <> 'S4' OR month(month) <> 7)), fn AS (SELECT * FROM ff WHERE factor IN (SELECT factor FROM ff GROUP BY 1 HAVING count(*) >= (SELECT count(*) FROM fx))), fb AS (SELECT factor, CASE WHEN var_samp(f) > 0 THEN covar_samp(x, f) / var_samp(f) ELSE 0.0 END AS beta, covar_samp(x, f) AS cov FROM fn GROUP BY 1), rs AS (SELECT fx.month, x - coalesce((SELECT sum(beta * f) FROM fn JOIN fb USING (factor) WHERE fn.month = fx.month), 0) AS e FROM fx)"
+
+
+@query(w("bars", more=_MONTHLY) + "SELECT round((SELECT avg(e) FROM rs) * 252, 4) AS alpha, round(least(1.0, (SELECT sum(greatest(0, beta * cov)) FROM fb) / (SELECT var_samp(x) FROM fx)), 4) AS r_squared, round((SELECT stddev_samp(e) FROM rs) * sqrt(252.0), 4) AS tracking_error, (SELECT count(*) FROM fx) AS n_periods, (SELECT string_agg(factor, ',' ORDER BY factor) FROM fb) AS factors, (SELECT round(sum(beta), 3) FROM fb) AS sum_beta")
+def factor_attribution(s, d):
+    before = F.lag("px").over(Window.partitionBy("ticker").orderBy("month"))
+    monthly = pan.month_end(v.bars(s, d)).withColumn("ret", F.col("px") / before - 1).filter("ret is not null")
+    others = monthly.filter("ticker in ('S2', 'S3', 'S4') and (ticker <> 'S4' or month(month) <> 7)").select(F.col("ticker").alias("factor"), F.col("month").alias("pos"), F.col("ret").alias("f"))
+    out = por.factor_returns(monthly.filter("ticker = 'S1'").select(F.col("month").alias("pos"), "ret"), others, 0.001)
+    betas = F.aggregate(F.map_values("loadings"), F.lit(0.0), lambda a, b: a + b)
+    return out.select("alpha", "r_squared", "tracking_error", "n_periods", F.array_join(F.map_keys("loadings"), ",").alias("factors"), F.round(betas, 3).alias("sum_beta"))
+
+
+@query(w("bars", "members", more=f"{MOMBACK}, e1 AS (SELECT *, product(1 + net) OVER (ORDER BY i) AS eq FROM btn), e2 AS (SELECT *, greatest(1.0, max(eq) OVER (ORDER BY i)) AS pk, net - 0.002 AS x FROM e1), s AS (SELECT count(*) AS n, product(1 + net) AS g, avg(x) AS m, stddev_samp(net) AS sd, stddev_samp(x) AS sx, coalesce(stddev_samp(x) FILTER (x < 0), 0) AS dn, least(0.0, min((eq - pk) / pk)) AS dd FROM e2)") + "SELECT round(ln(g), 6) AS log_growth, round(pow(g, 12.0 / n) - 1, 6) AS annualized_return, round(sd * sqrt(12.0), 6) AS volatility, round(CASE WHEN sx > 0 THEN m / sx * sqrt(12.0) ELSE 0.0 END, 5) AS sharpe, round(CASE WHEN dn > 0 THEN m * 12 / (dn * sqrt(12.0)) ELSE 0.0 END, 5) AS sortino, round(dd, 6) AS max_drawdown, round(CASE WHEN dd < 0 THEN (pow(g, 12.0 / n) - 1) / abs(dd) ELSE 0.0 END, 5) AS calmar, n FROM s WHERE n > 0")
 def return_statistics(s, d):
-    out = por.return_statistics(momentum_backtest(s, d), "net", "i", 12)
+    out = por.return_statistics(momentum_backtest(s, d), "net", "i", 12, 0.002)
     out = out.withColumn("log_growth", F.ln(1 + F.col("total_return"))).drop("total_return")
     return r(r(out, "log_growth", "annualized_return", "volatility", "max_drawdown"), "sharpe", "sortino", "calmar", digits=5)
 
@@ -397,7 +441,7 @@ def strategy_proposals(s, d):
     return por.proposals(anomalies(s, d))
 
 
-@query(w("bars", "facts", more=f"{LIVE}, {LATEST}, {PRICE}, {FACT}, {PANEL}, {MOMC}") + "SELECT ticker, px, round(ey, 6) AS ey, round(bp, 6) AS bp, round(roe, 6) AS roe, round(gm, 6) AS gm, round(mom, 6) AS mom FROM fa LEFT JOIN mc USING (ticker) WHERE ticker = 'S1'")
+@query(w("bars", "facts", more=f"{LIVE}, {LATEST}, {PRICE.replace('adjclose', 'close')}, {FACT}, {PANEL}, {MOMC}") + "SELECT ticker, px, round(ey, 6) AS ey, round(bp, 6) AS bp, round(roe, 6) AS roe, round(gm, 6) AS gm, round(mom, 6) AS mom FROM fa LEFT JOIN mc USING (ticker) WHERE ticker = 'S1'")
 def factor_profile(s, d):
     bars, facts = v.bars(s, d).filter("ticker = 'S1'"), live_facts(s, d).filter("cik = 1")
     return r(pan.factor_profile(bars, facts, D), "ey", "bp", "roe", "gm", "mom")
@@ -413,7 +457,7 @@ def name_normalize(s, d):
     return v.read(s, d, "part").select("p_partkey", nam.normalize(F.concat(F.lit("The "), F.col("p_name"), F.lit(", Inc."))).alias("norm"))
 
 
-@query(f"WITH c AS (SELECT {_NORM.format('p_name')} AS c, min(p_partkey) AS cik FROM part WHERE p_partkey % 3 = 0 GROUP BY 1), s AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 2 = 0 THEN ' Research' ELSE 'US' END AS sponsor FROM part WHERE p_partkey <= 400), n AS (SELECT sponsor, {_NORM.format('sponsor')} AS s FROM s), m AS (SELECT sponsor, c, cik FROM n, c WHERE s = c OR (length(s) <= length(c) AND ((length(s) >= 4 AND starts_with(c, s || ' ')) OR (length(s) >= 5 AND starts_with(c, s) AND length(c) - length(s) <= 3))) OR (length(s) > length(c) AND ((length(c) >= 4 AND starts_with(s, c || ' ')) OR (length(c) >= 5 AND starts_with(s, c) AND length(s) - length(c) <= 3)))) SELECT sponsor, arg_max(cik, row(length(c), -cik)) AS cik FROM m GROUP BY 1")
+@query(f"WITH c AS (SELECT {_NORM.format('p_name')} AS c, min(p_partkey) AS cik FROM part WHERE p_partkey % 3 = 0 GROUP BY 1), s AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 2 = 0 THEN ' Research' ELSE 'US' END AS sponsor FROM part), n AS (SELECT sponsor, {_NORM.format('sponsor')} AS s FROM s), m AS (SELECT sponsor, c, cik FROM n, c WHERE s = c OR (length(s) <= length(c) AND ((length(s) >= 4 AND starts_with(c, s || ' ')) OR (length(s) >= 5 AND starts_with(c, s) AND length(c) - length(s) <= 3))) OR (length(s) > length(c) AND ((length(c) >= 4 AND starts_with(s, c || ' ')) OR (length(c) >= 5 AND starts_with(s, c) AND length(s) - length(c) <= 3)))) SELECT sponsor, arg_max(cik, row(length(c), -cik)) AS cik FROM m GROUP BY 1")
 def name_resolve_fuzzy(s, d):
     p = v.read(s, d, "part")
     companies = p.filter("p_partkey % 3 = 0").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("cik"))

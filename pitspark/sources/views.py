@@ -70,7 +70,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regulatory events: cik, event_date, kind (catalyst, rejection, hold)."""
     kind = F.when(F.col("l_linenumber") < 6, "catalyst").when(F.col("l_linenumber") == 6, "rejection").otherwise("hold")
-    return read(spark, sf_dir, "lineitem").filter("l_partkey % 50 = 0").select(F.col("l_suppkey").alias("cik"), F.col("l_shipdate").cast("date").alias("event_date"), kind.alias("kind"))
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cik"), F.col("l_shipdate").cast("date").alias("event_date"), kind.alias("kind"))
 
 
 # The same tables for DuckDB.
@@ -95,6 +95,6 @@ SQL = {
   CAST(o_orderdate AS DATE) AS event_date, CAST(l_shipdate AS DATE) AS knowledge_date, l_extendedprice AS val,
   concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS accn FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "actions": "SELECT 'S' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS event_date, CASE WHEN l_linenumber = 1 THEN 'split' ELSE 'dividend' END AS type, CAST(l_tax AS VARCHAR) AS action_value FROM lineitem",
-    "decisions": "SELECT l_suppkey AS cik, CAST(l_shipdate AS DATE) AS event_date, CASE WHEN l_linenumber < 6 THEN 'catalyst' WHEN l_linenumber = 6 THEN 'rejection' ELSE 'hold' END AS kind FROM lineitem WHERE l_partkey % 50 = 0",
+    "decisions": "SELECT l_suppkey AS cik, CAST(l_shipdate AS DATE) AS event_date, CASE WHEN l_linenumber < 6 THEN 'catalyst' WHEN l_linenumber = 6 THEN 'rejection' ELSE 'hold' END AS kind FROM lineitem",
     "ticks": "SELECT 'U' || user_id AS ticker, ts, event_id, value AS price FROM events",
 }
