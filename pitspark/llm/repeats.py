@@ -229,21 +229,43 @@ def repeated_in_shard(parts: list[bytes], doc: np.ndarray, tie: np.ndarray, star
     return pd.DataFrame({"doc_id": doc[of], "tie": tie[of], "first": (later[a] & 0xFFFFFFFF).astype(np.int32), "after": ((later[b] & 0xFFFFFFFF) + WINDOW).astype(np.int32)})
 
 
-def _split(data: bytes, start: int, key: int, have: int, want: int) -> list[tuple[int, int, bytes]]:
-    """(key, start, bytes): the parts of a stretch whose windows share `have` anchors, by the next anchors up to `want` of them."""
-    if have == want:
-        return [(key, start, data)]
-    text = np.frombuffer(data, np.uint8)
-    owner = np.zeros(len(text), np.int8)
-    taken = np.zeros(0, np.int64)
-    for _ in range(have):
-        taken = np.r_[taken, anchors(text, owner, taken)[5][:1]]
-    first, after, anchor, *_ = anchors(text, owner, taken)
-    with np.errstate(over="ignore"):
-        keys = _mix(anchor.view(np.uint64) + np.int64(key).view(np.uint64) * np.uint64(_BASE[0])).view(np.int64)
-    return [x for a, b, k in zip(first.tolist(), after.tolist(), keys.tolist(), strict=True) for x in _split(data[a : b + WINDOW - 1], start + a, k, have + 1, want)]
+def _split(parts: list[tuple], have: int, want: int) -> list[tuple]:
+    """(key, doc_id, tie, start, bytes) of the parts of such stretches, whose windows share `have` anchors, by the next anchors up to `want` of them."""
+    taken = np.zeros((len(parts), 0), np.int64)  # places of the anchors so far, from each part's start
+    for level in range(want):
+        data = np.frombuffer(b"".join(x[4] for x in parts), np.uint8)
+        sizes = np.array([len(x[4]) for x in parts])
+        begin = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(parts)), sizes)
+        banned = (taken + begin[:, None]).ravel()
+        first, after, anchor, _, _, place = anchors(data, owner, banned)
+        of = owner[first]
+        if level < have:  # one stretch each
+            taken = np.column_stack([taken, place - begin])
+            continue
+        with np.errstate(over="ignore"):
+            keys = _mix(anchor.view(np.uint64) + np.array([x[0] for x in parts], np.int64).view(np.uint64)[of] * np.uint64(_BASE[0])).view(np.int64)
+        shift = first - begin[of]
+        taken = np.column_stack([taken[of] - shift[:, None], place - first])
+        old = parts
+        parts = [(key, *old[o][1:3], old[o][3] + i, old[o][4][i : i + n]) for key, o, i, n in zip(keys.tolist(), of.tolist(), shift.tolist(), (after - first + WINDOW - 1).tolist(), strict=True)]
+    return parts
+
+
+def _in_batches(parts: Iterator[tuple], have: int, want: int) -> Iterator[pd.DataFrame]:
+    """Frames of the parts, split; as many at once as make a chunk."""
+    batch, size = [], 0
+    for x in parts:
+        batch.append(x)
+        size += len(x[4])
+        if size >= _CHUNK:
+            yield pd.DataFrame(_split(batch, have, want) if want > have else batch, columns=_COLUMNS)
+            batch, size = [], 0
+    if batch:
+        yield pd.DataFrame(_split(batch, have, want) if want > have else batch, columns=_COLUMNS)
 
 
+_COLUMNS = ["key", "doc_id", "tie", "start", "part"]
 PIECES = "key long, doc_id long, tie int, start int, part binary"
 
 
@@ -251,28 +273,19 @@ def _cut(docs: DataFrame, kinds: DataFrame, want: int) -> DataFrame:
     """The bytes of stretches, by their anchor, or split by `want` anchors; kinds: (anchor, doc_id, tie, start, n)."""
     per_doc = kinds.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("kinds"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in parts:
-            out = []
-            for doc, tie, data, kinds in zip(df["doc_id"], df["tie"], df["data"], df["kinds"], strict=True):
-                for x in kinds:
-                    out += [(key, doc, tie, s, b) for key, s, b in _split(data[x["start"] : x["start"] + x["n"]], x["start"], x["anchor"], 1, want)]
-                    if len(out) > 20_000:
-                        yield pd.DataFrame(out, columns=["key", "doc_id", "tie", "start", "part"])
-                        out = []
-            if out:
-                yield pd.DataFrame(out, columns=["key", "doc_id", "tie", "start", "part"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (x for df in frames for x in zip(df["doc_id"], df["tie"], df["data"], df["kinds"], strict=True))
+        cut = ((x["anchor"], doc, tie, x["start"], data[x["start"] : x["start"] + x["n"]]) for doc, tie, data, kinds in rows for x in kinds)
+        yield from _in_batches(cut, 1, want)
 
     return docs.join(per_doc, ["doc_id", "tie"]).select("doc_id", "tie", "data", "kinds").mapInPandas(run, PIECES)
 
 
 def _split_more(pieces: DataFrame, have: int, want: int) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in parts:
-            out = [(key, doc, tie, s, b) for old, doc, tie, start, part in df.itertuples(index=False) for key, s, b in _split(part, start, old, have, want)]
-            yield pd.DataFrame(out, columns=["key", "doc_id", "tie", "start", "part"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _in_batches((x for df in frames for x in df.itertuples(index=False, name=None)), have, want)
 
-    return pieces.select("key", "doc_id", "tie", "start", "part").mapInPandas(run, PIECES)
+    return pieces.select(*_COLUMNS).mapInPandas(run, PIECES)
 
 
 def settled(docs: DataFrame, kinds: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
