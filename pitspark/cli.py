@@ -16,8 +16,6 @@ from .operators import panel as pan
 from .sources import html_tables, landing, vendors, warehouse
 from .streaming import ticks
 
-CHART_SCHEMA = "ticker string, ts array<long>, close array<double>, adjclose array<double>, volume array<long>"
-
 
 def _facts(spark: SparkSession, path: str) -> DataFrame:
     rows = landing.flatten_company_facts(landing.scan_json(spark, path, landing.FACTS_SCHEMA))
@@ -25,7 +23,11 @@ def _facts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _prices(spark: SparkSession, path: str) -> DataFrame:
-    return landing.flatten_chart(landing.scan_json(spark, path, CHART_SCHEMA)).withColumn("date", F.col("event_date").cast("string"))
+    return landing.flatten_chart(landing.scan_json(spark, path, landing.CHART_SCHEMA)).withColumn("date", F.col("event_date").cast("string"))
+
+
+def _actions(spark: SparkSession, path: str) -> DataFrame:
+    return landing.chart_actions(landing.scan_json(spark, path, landing.CHART_SCHEMA)).withColumn("date", F.col("event_date").cast("string"))
 
 
 def _macro(spark: SparkSession, path: str) -> DataFrame:
@@ -63,7 +65,8 @@ def membership(spark: SparkSession, path: str) -> DataFrame:
     pages = spark.read.text(path, wholetext=True).select(F.lit(0).alias("page_id"), F.col("value").alias("html"))
     cells = html_tables.tables(pages).filter("row_no > 0")
     cell = lambda i: F.get("cells", F.lit(i))
-    day = lambda x: F.coalesce(*[F.expr(f"cast(try_to_timestamp({{}}, '{f}') as date)".format(x)) for f in ("yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy")])
+    iso = lambda x: F.expr(f"try_cast(nullif(regexp_extract({x}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', 0), '') as date)")  # noqa: E731  wherever it stands in the cell
+    day = lambda x: F.coalesce(*[F.expr(f"cast(try_to_timestamp({{}}, '{f}') as date)".format(x)) for f in ("yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy")], iso(x))
     shape = F.col("ticker").rlike(r"^[A-Z][A-Z0-9]*([.\-][A-Z0-9]+)?$") & (F.length("ticker") <= 6)
     current = cells.filter("table_no = 0").select(names.norm_ticker(cell(0)).alias("ticker"), day("get(cells, 5)").alias("added")).filter(shape).dropDuplicates(["ticker"])
     log = cells.filter("table_no = 1").select(day("get(cells, 0)").alias("day"), F.explode(F.create_map(F.lit("added"), names.norm_ticker(cell(1)), F.lit("removed"), names.norm_ticker(cell(3)))).alias("kind", "ticker")).filter(shape)
@@ -74,13 +77,17 @@ def membership(spark: SparkSession, path: str) -> DataFrame:
 def _backtest(reads: Reads) -> None:
     prices, facts, members = reads.table("prices"), reads.table("fundamentals"), reads.members()
     panel = pan.month_end(prices)
-    scores = pan.multifactor_scores(prices, facts, members, MIN_EQUITY, reads.tickers())
-    for title, score in (("momentum", None), ("multifactor", scores)):
-        returns = pan.backtest(panel, members, score)
+    covered, n = pan.coverage(prices.select("ticker").distinct(), facts, reads.tickers()).first()
+    print(f"{covered} of {n} tickers have facts")
+    rows = pan.eligible(panel, members).persist()
+    for title, scored in (("momentum", rows.withColumn("score", F.col("mom"))), ("multifactor", pan.multifactor_scores(rows, facts, MIN_EQUITY, reads.tickers()))):
+        returns = pan.backtest_rows(scored)
         for column in ("net", "bench"):
             print(title, column, pan.metrics(returns, column).first().asDict())
         labels = mac.regime_series(reads.table("macro"), returns.select(F.col("month").alias("day")), SERIES).select(F.col("day").alias("month"), "label")
-        returns.join(labels, "month").groupBy("label").agg(F.count("*").alias("n"), F.avg("net").alias("net"), F.avg("bench").alias("bench")).orderBy("label").show()
+        for x in pan.regime_breakdown(returns, labels).orderBy("label").collect():  # six labels
+            print(f"  {x.label:<12} ({x.n:>3}m): strategy {x.strategy_year:+.1%} a year, bench {x.bench_year:+.1%}, alpha {x.alpha:+.1%}, Sharpe {x.sharpe:.2f}")
+    rows.unpersist()
 
 
 def _touch(spark: SparkSession, root: str, symbols: list[str], op: str) -> None:
@@ -128,6 +135,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             if command == "pipeline":  # sponsors resolve against the companies landed so far
                 rows = vendors.trials(rows, warehouse.landed(spark, a.root, "security_master"))
             print(f"{table}: {warehouse.land(spark, a.root, table, rows)} new rows from {path}")
+            if table == "prices":
+                print(f"corporate_actions: {warehouse.land(spark, a.root, 'corporate_actions', _actions(spark, path))} new rows from {path}")
         print(warehouse.build(spark, a.root))
     elif command == "build":
         print(warehouse.build(spark, a.root))
@@ -137,6 +146,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         for x in reversed(rows.orderBy(F.desc("event_date")).limit(8).collect()):
             print(f"  {x.event_date}  {x.val:>18,.0f}  (known {x.knowledge_date})")
     elif command == "signals":
+        regime = reads.regime(a.asof)
+        if regime["label"] != "unknown":
+            print(regime["display"], *(f"{k}={regime[k]:.2f}" for k in mac.SERIES if regime[k] is not None))
         for i, x in enumerate(reads.signals(a.top, a.asof)["signals"], 1):
             print(i, x["ticker"], f"{x['composite']:+.3f}", *(f"{c}={'—' if x[c] is None else format(x[c], '.4g')}" for c in pan.FACTORS))
     elif command == "backtest":
@@ -149,7 +161,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         print(*_watched(spark, a.root), sep="\n")
     elif command == "realtime-latest":
         wanted = [s.upper() for s in a.symbols] or _watched(spark, a.root)
-        ticks.latest(spark.read.parquet(f"{a.root}/ticks").filter(F.col("ticker").isin(wanted))).orderBy("ticker").show(len(wanted) or 1, False)
+        ticks.latest(ticks.stored(spark, a.root).filter(F.col("ticker").isin(wanted))).orderBy("ticker").show(len(wanted) or 1, False)
     elif command == "serve":
         server = serve(reads, port=a.port)
         print(f"serving on port {server.server_port}")

@@ -68,8 +68,8 @@ class Reads:
         return warehouse.table(self.spark, self.root, name)
 
     def tickers(self) -> DataFrame:
-        """(cik, ticker): one cik a ticker."""
-        return self.table("security_master").groupBy(F.upper("ticker").alias("ticker")).agg(F.min("cik").alias("cik"))
+        """(cik, ticker): one cik a ticker, the one that landed first."""
+        return self.table("security_master").filter("cik is not null").groupBy(F.upper("ticker").alias("ticker")).agg(F.min_by("cik", F.struct("fetched_at", "cik")).alias("cik"))
 
     def members(self, index: str = "SP500") -> DataFrame:
         return self.table("index_membership").filter(F.col("index_name") == index).select("ticker", "added_date", "removed_date")
@@ -98,6 +98,8 @@ class Reads:
     def signals(self, top: int = 40, asof: str | None = None, universe: str | None = None) -> dict:
         top, asof = _bounded("top", top, 200), asof or date.today().isoformat()
         rows = self.ranked(asof)
+        if rows.isEmpty():
+            raise NotFound("no signal data")
         if universe:
             rows = rows.filter(F.col("ticker").isin(self.universe(universe)["tickers"]))
         found = [x.asDict() for x in rows.limit(top).collect()]
@@ -117,7 +119,8 @@ class Reads:
     def regime(self, asof: str | None = None) -> dict:
         asof = asof or date.today().isoformat()
         days = self.spark.range(1).select(F.lit(asof).cast("date").alias("day"))
-        return mac.regime_series(self.table("macro"), days, SERIES).first().asDict() | {"asof": asof}
+        found = mac.regime_series(self.table("macro"), days, SERIES).first().asDict()
+        return found | {"asof": asof, "display": mac.DISPLAY[found["label"]]}
 
     @cached(60)
     def prices(self, ticker: str, days: int = 252, asof: str | None = None) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ SERIES = ("fed", "curve", "hys", "vix", "rec")
 LIMITS = {"rec": 0.5, "vix_high": 25.0, "hys_high": 6.0, "curve": 0.0, "hys_low": 4.0, "vix_low": 20.0}
 
 
+# fixed values: the labels as shown
+DISPLAY = {"recession": "📉 RECESSION", "risk_off": "⚠️  RISK-OFF", "late_cycle": "🕐 LATE-CYCLE", "expansion": "🟢 EXPANSION", "recovery": "🔄 RECOVERY", "unknown": "❓ UNKNOWN (no macro data)"}
+
+
 def classify(limits: dict | None = None) -> Column:
     """The label by strict priority; comparisons with null don't hold."""
     t = LIMITS | (limits or {})
@@ -31,6 +37,14 @@ def regime_series(macro: DataFrame, days: DataFrame, names: dict[str, str], limi
     return wide.withColumn("label", classify(limits))
 
 
+def latest_with_date(macro: DataFrame, series_id: str) -> tuple[float, date]:
+    """The newest value of a series and its day; raises LookupError if there is none."""
+    found = macro.filter((F.col("series_id") == series_id) & F.col("val").isNotNull()).agg(F.max_by(F.struct("val", "event_date"), "event_date").alias("x")).first()["x"]
+    if found is None:
+        raise LookupError(f"no value of {series_id}")
+    return found["val"], found["event_date"]
+
+
 def snapshot(macro: DataFrame, ids: list[str]) -> DataFrame:
     """(series_id, value, event_date): the newest of each requested series; null where there is none."""
     wanted = macro.sparkSession.createDataFrame([(i,) for i in ids], "series_id string")

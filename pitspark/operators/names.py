@@ -15,6 +15,16 @@ def normalize(name: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*FORMS)), " ")
 
 
+# fixed values: words that a company's name shares with many
+COMMON = ["inc", "corp", "corporation", "ltd", "plc", "co", "the", "company", "therapeutics", "pharmaceuticals", "pharma", "sciences", "holdings", "group"]
+
+
+def match_token(title: Column) -> Column:
+    """The first word of three letters or more that tells a company's name from others; null if there is none."""
+    words = F.split(F.regexp_replace(F.lower(title), "[^a-z0-9 ]", " "), " +")
+    return F.get(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*COMMON)), F.lit(0))
+
+
 def _stems(name: Column) -> Column:
     """What a shorter name must equal to match loosely: the prefixes of four letters or more at a word's end, and the name without its last one to three letters if five are left."""
     words = F.split(name, " ")

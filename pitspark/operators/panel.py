@@ -154,6 +154,14 @@ def multifactor_backtest(bars: DataFrame, facts: DataFrame, members: DataFrame,
     return backtest_rows(multifactor_scores(eligible(month_end(bars), members), facts, min_equity, tickers), top, cost_bps, least)
 
 
+def coverage(universe: DataFrame, facts: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
+    """One row (n_covered, n_tickers): how many tickers of the universe have any fact; each ticker is looked for, facts aren't counted."""
+    names = facts.select("cik").distinct()
+    names = names.select(F.concat(F.lit("S"), F.col("cik").cast("string")).alias("ticker")) if tickers is None else names.join(tickers, "cik").select("ticker").distinct()
+    rows = universe.select("ticker").distinct().join(names.withColumn("has", F.lit(1)), "ticker", "left")
+    return rows.agg(F.count("has").alias("n_covered"), F.count("*").alias("n_tickers"))
+
+
 def regime_breakdown(returns: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, n, mean, bench, sd, sharpe, strategy_year, bench_year, alpha) of monthly net returns by the macro regime of their month; labels: (month, label), without one it is unknown."""
     rows = returns.join(labels, "month", "left").withColumn("label", F.coalesce("label", F.lit("unknown")))

@@ -39,7 +39,7 @@ def as_of(facts: DataFrame, cik, tag: str, asof: str) -> DataFrame:
     """Per event date the value known last on the date; the filters reach the scan."""
     seen = facts.filter((F.col("cik") == cik) & (F.col("tag") == tag) & (F.col("knowledge_date") <= F.lit(asof).cast("date")))
     rank = F.row_number().over(Window.partitionBy("event_date").orderBy(F.desc("knowledge_date"), F.desc("accn")))
-    return seen.withColumn("rn", rank).filter("rn = 1").select("event_date", "val", "knowledge_date", "accn")
+    return seen.withColumn("rn", rank).filter("rn = 1").select("event_date", "val", "knowledge_date", *[c for c in ("form",) if c in facts.columns], "accn")
 
 
 def latest_per_tag(facts: DataFrame, asof: Column) -> DataFrame:

@@ -45,7 +45,7 @@ LIVE = "lf AS (SELECT * FROM facts WHERE knowledge_date >= event_date)"
 
 
 # point in time
-@query(w("facts") + f"SELECT event_date, val, knowledge_date, accn FROM facts WHERE cik = 1 AND tag = 'Revenues' AND knowledge_date >= event_date AND knowledge_date <= DATE '{D}' QUALIFY row_number() OVER (PARTITION BY event_date ORDER BY knowledge_date DESC, accn DESC) = 1")
+@query(w("facts") + f"SELECT event_date, val, knowledge_date, form, accn FROM facts WHERE cik = 1 AND tag = 'Revenues' AND knowledge_date >= event_date AND knowledge_date <= DATE '{D}' QUALIFY row_number() OVER (PARTITION BY event_date ORDER BY knowledge_date DESC, accn DESC) = 1")
 def pit_as_of(s, d):
     return pit.as_of(live_facts(s, d), 1, "Revenues", D)
 
@@ -492,7 +492,7 @@ def union_by_name(s, d):
     return a.unionByName(v.read(s, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("key")), allowMissingColumns=True)
 
 
-_LT = "SELECT ticker, arg_max(price, row(ts, event_id)) AS price, max(ts) AS ts FROM ticks GROUP BY 1"
+_LT = "SELECT ticker, arg_max(price, row(ts, event_id)) AS price, 0.0::DOUBLE AS change, coalesce(arg_max(volume, row(ts, event_id)), 0) AS volume, max(ts) AS ts FROM ticks GROUP BY 1"
 
 
 @query(w("ticks") + _LT)
@@ -500,7 +500,7 @@ def latest_tick(s, d):
     return tk.latest(v.ticks(s, d))
 
 
-@query(w("ticks") + "SELECT ticker, ts, event_id, price, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) AS rn FROM ticks QUALIFY rn <= 20")
+@query(w("ticks") + "SELECT ticker, ts, event_id, price, volume, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) AS rn FROM ticks QUALIFY rn <= 20")
 def recent_ticks(s, d):
     return tk.recent(v.ticks(s, d))
 
@@ -520,9 +520,24 @@ def stream_latest_tick(s, d):
     return tk.stream_latest(s, d, "events.parquet", v.read(s, d, "events").schema)
 
 
-@query()
+@query("WITH c AS (SELECT n_regionkey AS page_id, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row_no FROM nation) SELECT page_id, 0 AS table_no, CAST(row_no AS INTEGER) AS row_no, n_name || '|' || n_nationkey AS cells FROM c UNION ALL SELECT r_regionkey, 0, 0, 'name|key' FROM region UNION ALL SELECT r_regionkey, 1, 0, 'About ' || r_name || '|inner cell' FROM region")
 def page_tables(s, d):
-    return html_tables.tables(v.read(s, d, "pages"))
+    # a page a region: a table of its nations, with cells and rows that don't all end, and a table with one inside
+    row = F.concat(F.lit("<tr><td> "), F.col("n_name"), F.lit("<td>"), F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 2 == 0, "</td></tr>").otherwise(""))
+    rows = v.read(s, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    html = F.concat(F.lit("<p>x<table><tr><th>name</th><th>key</th></tr>"), "rows", F.lit("</table><table><tr><td>About\n "), "r_name", F.lit("</td><td><table><tr><td>inner</td></tr></table> cell</td></tr></table>"))
+    pages = v.read(s, d, "region").join(rows, "r_regionkey").select(F.col("r_regionkey").alias("page_id"), html.alias("html"))
+    return html_tables.tables(pages).withColumn("cells", F.array_join("cells", "|"))
+
+
+@query(w("bars", "facts", more=LIVE) + "SELECT count(*) FILTER (EXISTS (SELECT 1 FROM lf WHERE 'S' || cik = ticker AND tag = 'Revenues' AND event_date >= DATE '2001-06-01')) AS n_covered, count(*) AS n_tickers FROM (SELECT DISTINCT ticker FROM bars)")
+def fact_coverage(s, d):
+    return pan.coverage(v.bars(s, d), live_facts(s, d).filter("tag = 'Revenues' and event_date >= date'2001-06-01'"))
+
+
+@query("SELECT p_partkey, list_filter(string_split_regex(regexp_replace(lower('The ' || p_type || ' Co.'), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: length(x) > 2 AND NOT list_contains([" + ", ".join(f"'{x}'" for x in nam.COMMON) + "], x))[1] AS token FROM part")
+def name_match_token(s, d):
+    return v.read(s, d, "part").select("p_partkey", nam.match_token(F.concat(F.lit("The "), F.col("p_type"), F.lit(" Co."))).alias("token"))
 
 # strategies
 _SEEN = "knowledge_date <= {0} AND event_date >= CAST({0} - INTERVAL 36 MONTH AS DATE)"

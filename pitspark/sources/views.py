@@ -31,7 +31,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_orderstatus")
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select(F.col("l_suppkey").alias("cik"), tag.alias("tag"), F.col("o_orderdate").cast("date").alias("event_date"), F.col("l_shipdate").cast("date").alias("knowledge_date"), F.col("l_extendedprice").alias("val"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("accn"), F.when(F.col("o_orderstatus") == "F", "FY").otherwise("Q").alias("fp"))
+    return rows.select(F.col("l_suppkey").alias("cik"), tag.alias("tag"), F.col("o_orderdate").cast("date").alias("event_date"), F.col("l_shipdate").cast("date").alias("knowledge_date"), F.col("l_extendedprice").alias("val"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("accn"), F.when(F.col("o_orderstatus") == "F", "FY").otherwise("Q").alias("fp"), F.when(F.col("o_orderstatus") == "F", "10-K").otherwise("10-Q").alias("form"))
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), "ts", "event_id", F.col("value").alias("price"))
+    return read(spark, sf_dir, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), "ts", "event_id", F.col("value").alias("price"), (F.col("event_id") % 10).alias("volume"))
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,8 @@ SQL = {
     "facts": """SELECT l_suppkey AS cik, CASE o_orderpriority WHEN '1-URGENT' THEN 'NetIncomeLoss' WHEN '2-HIGH' THEN 'StockholdersEquity'
   WHEN '3-MEDIUM' THEN 'Revenues' WHEN '4-NOT SPECIFIED' THEN 'GrossProfit' WHEN '5-LOW' THEN 'CommonStockSharesOutstanding' END AS tag,
   CAST(o_orderdate AS DATE) AS event_date, CAST(l_shipdate AS DATE) AS knowledge_date, l_extendedprice AS val,
-  concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS accn, CASE WHEN o_orderstatus = 'F' THEN 'FY' ELSE 'Q' END AS fp
+  concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS accn, CASE WHEN o_orderstatus = 'F' THEN 'FY' ELSE 'Q' END AS fp,
+  CASE WHEN o_orderstatus = 'F' THEN '10-K' ELSE '10-Q' END AS form
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "members": """SELECT 'S' || s_suppkey AS ticker,
   CASE WHEN s_suppkey % 7 <> 0 THEN DATE '1995-01-01' + CAST(s_suppkey * 37 % 900 AS INTEGER) END AS added_date,
@@ -96,5 +97,5 @@ SQL = {
   concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS accn FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "actions": "SELECT 'S' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS event_date, CASE WHEN l_linenumber = 1 THEN 'split' ELSE 'dividend' END AS type, CAST(l_tax AS VARCHAR) AS action_value FROM lineitem",
     "decisions": "SELECT l_suppkey AS cik, CAST(l_shipdate AS DATE) AS event_date, CASE WHEN l_linenumber < 6 THEN 'catalyst' WHEN l_linenumber = 6 THEN 'rejection' ELSE 'hold' END AS kind FROM lineitem",
-    "ticks": "SELECT 'U' || user_id AS ticker, ts, event_id, value AS price FROM events",
+    "ticks": "SELECT 'U' || user_id AS ticker, ts, event_id, value AS price, event_id % 10 AS volume FROM events",
 }

@@ -33,7 +33,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found))
 
 
-def _move(spark: SparkSession, old: str, new: str) -> None:
+def move(spark: SparkSession, old: str, new: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(new).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(path(new), True)
@@ -65,7 +65,7 @@ def land(spark: SparkSession, root: str, table: str, batch: DataFrame) -> int:
     for status in fs.globStatus(stale) or []:  # all their rows are in the merged ones
         if not status.getPath().toString().endswith("merged.jsonl"):
             fs.delete(status.getPath(), True)
-    _move(spark, target + ".next", target)
+    move(spark, target + ".next", target)
     return added
 
 
