@@ -35,8 +35,8 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu
 BOILERPLATE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promoted", "banner", "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "footer", "masthead", "topbar", "cookie", "cookies", "consent", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "commentlist", "disqus", "respond", "replies", "widget", "pagination", "pager", "toolbar", "disclaimer"}
 #: First parts of a class that says something about a page instead of naming a part of it.
 STATES = {"no", "not", "with", "without", "has", "is", "show", "hide", "hides", "shows", "can", "js"}
-#: How much the prior lowers a density, and the share of the page's text from which on it says nothing, unless an article stands elsewhere.
-PRIOR, MOST = 0.25, 0.5
+#: How much the prior lowers a density, and the share of the page's text from which on it says nothing, unless an article stands elsewhere: for a part of a name, and for a whole name.
+PRIOR, MOST = 0.25, {1: 0.5, 2: 0.9}
 #: An element of the first kind ends an open one of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPES = ("ul", "ol", "dl", "table", "html", "body", "td", "th", "article", "section", "div", "main", "aside", "nav")
@@ -54,13 +54,13 @@ class Page:
     names: list[str] = field(default_factory=lambda: ["html"])
     parent: list[int] = field(default_factory=lambda: [0])
     dropped: list[bool] = field(default_factory=lambda: [False])
-    prior: list[bool] = field(default_factory=lambda: [False])
+    prior: list[int] = field(default_factory=lambda: [0])  # 1: a part of a class or id names boilerplate, 2: one as a whole
     pieces: list[tuple[int, str | None]] = field(default_factory=list)
 
 
-def _judge(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is out by its name or state, and whether its class or id names boilerplate."""
-    out, prior = name in DROPPED or name == "header" and not in_article, False
+def _judge(name: str, attrs: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element is out by its name or state, and how its class or id names boilerplate."""
+    out, prior = name in DROPPED or name == "header" and not in_article, 0
     for m in _ATTR.finditer(attrs) if attrs and not out and not attrs.isspace() else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value) or key == "role" and value in ROLES:
@@ -68,7 +68,10 @@ def _judge(name: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
         if key in ("class", "id") and name not in ("html", "body"):
             for token in value.split():
                 parts = [p for p in re.split(r"[^a-z]+", token) if p]
-                prior = prior or bool(parts) and parts[0] not in STATES and (parts[0] in BOILERPLATE or parts[-1] in BOILERPLATE)
+                if token in BOILERPLATE:
+                    prior = 2
+                elif parts and parts[0] not in STATES and (parts[0] in BOILERPLATE or parts[-1] in BOILERPLATE):
+                    prior = max(prior, 1)
     return out, prior
 
 
@@ -159,7 +162,7 @@ def parse(page: str) -> Page:
                     close(min(found))
         up = stack[-1]
         node = len(out.names)
-        gone, prior = (True, False) if out.dropped[up] else _judge(name, attrs, bool(open_at["article"]))
+        gone, prior = (True, 0) if out.dropped[up] else _judge(name, attrs, bool(open_at["article"]))
         out.names.append(name)
         out.parent.append(up)
         out.dropped.append(gone)
@@ -217,7 +220,7 @@ def densities(page: Page) -> tuple[list[float], list[float]]:
         base = log(c / max(1, c - link_chars[i]) * link_chars[i] + lean * c + e)
         density[i] = c / t * max(0.0, log(max(1.0, c / lc * t / lt))) / base
         own = page.names[i] in ("article", "main")  # in both counts
-        if page.prior[i] and (c < MOST * chars[body] or n_articles > articles[i] + around[i] - own):
+        if page.prior[i] and (c < MOST[page.prior[i]] * chars[body] or n_articles > articles[i] + around[i] - own):
             density[i] *= PRIOR
         if i and page.names[i] not in INLINE:
             total[page.parent[i]] += density[i]
@@ -248,11 +251,12 @@ def choose(page: Page) -> list[bool]:
     for i in range(body, n):
         if not page.dropped[i] and density[i] >= threshold and density[i] > 0:
             chosen[best[i] if total[best[i]] > 0 else i] = True
-    kept = [False] * n
+    kept, out = [False] * n, page.dropped[:]
     for i in range(n):
-        inside = kept[page.parent[i]] if i else False
-        low = page.prior[i] and density[i] < threshold and i != top
-        kept[i] = not page.dropped[i] and not (inside and low) and (inside or chosen[i])
+        up = page.parent[i]
+        # a low node goes with all it holds; the chosen one lies in none, as the threshold is the least on its path
+        out[i] = out[i] or out[up] or page.prior[i] > 0 and density[i] < threshold
+        kept[i] = not out[i] and (chosen[i] or i > 0 and kept[up])
     return kept
 
 

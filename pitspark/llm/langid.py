@@ -152,14 +152,16 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_total: int = MAX_TOTAL)
 def build(langs: list[str], words: list[str], times: np.ndarray) -> LanguageModel:
     """The model of (language, word, times) rows."""
     names = sorted(set(langs))
+    if not names:
+        return LanguageModel([], [])
     number = {x: i for i, x in enumerate(names)}
     of = np.array([number[x] for x in langs], dtype=np.int64)
-    tables = [Counts.of(words, of, times, max(1, len(names)))]
+    tables = [Counts.of(words, of, times, len(names))]
     marked = [_marked(w) for w in words]
     for size in range(1, MAX_GRAM + 1):
         n = np.array([max(0, len(m) - size + 1) for m in marked], dtype=np.int64)
         grams = [m[j : j + size] for m in marked for j in range(len(m) - size + 1)]
-        tables.append(Counts.of(grams, np.repeat(of, n), np.repeat(times, n), max(1, len(names))))
+        tables.append(Counts.of(grams, np.repeat(of, n), np.repeat(times, n), len(names)))
     return LanguageModel(names, tables)
 
 
