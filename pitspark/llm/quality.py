@@ -160,3 +160,41 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     stats = stage(with_stats(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "stats").select("doc_id", "stats"), "stats")
     out = judge(stats, "stats", stage(thresholds(sketches(stats, "stats")), "limits"), "kept")
     return out.select("doc_id", *[f"stats.{n}" for n in BASE], "stats.base_failed", "kept")
+
+
+OP3_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d),
+s AS (SELECT doc_id, count(*) FILTER (same) AS stutter FROM (SELECT doc_id, x = lag(x) OVER (PARTITION BY doc_id ORDER BY k) AS same FROM u) GROUP BY 1),
+g AS (
+  SELECT doc_id, k, string_agg(x, ' ') OVER five AS g, count(*) OVER five AS n FROM u
+  WINDOW five AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+r AS (SELECT doc_id, k FROM g WHERE n = {WINDOW} QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT k + j) AS n FROM r, range({WINDOW}) AS x(j) GROUP BY 1),
+b AS (
+  SELECT d.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(c.n, 0) AS n_repeat_words, length(regexp_replace(t, '[\p{{L}}\p{{M}}\p{{N}}\p{{Z}}\s\x0B]+', '', 'g')) AS signs,
+    length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS upper, length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS letters, coalesce(stutter, 0) AS stutter
+  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)),
+f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    [signs * 10000 // (word_chars + {SMOOTH['signs']}), upper * 10000 // (letters + {SMOOTH['capitals']}), stutter * 10000 // (n_words + {SMOOTH['stutter']})] AS ratios FROM b),
+v AS (
+  SELECT lang, source, i, CASE WHEN v <= 0 THEN 0 ELSE 2 * pow({GAMMA!r}::DOUBLE, ceil(ln(v) / ln({GAMMA!r}::DOUBLE))) / ({GAMMA!r}::DOUBLE + 1) END AS v
+  FROM (SELECT lang, source, unnest(ratios) AS v, generate_subscripts(ratios, 1) AS i FROM f WHERE NOT base_failed)),
+q AS (
+  SELECT lang, source, i, count(*) AS n, list_sort(list(v)) AS s, s[CAST(ceil(n * 0.5) AS BIGINT)] AS q2, s[CAST(ceil(n * 0.75) AS BIGINT)] AS q3,
+    q3 + {SPREAD} * greatest(q3 - q2, q3 * ({GAMMA!r}::DOUBLE - 1)) AS most
+  FROM v GROUP BY GROUPING SETS ((lang, source, i), (lang, i), (i))),
+l AS (
+  SELECT o.lang, o.source, list(CAST(floor((o.n * o.most + {WEIGHT} * ((g.n * g.most + {WEIGHT} * a.most) / (g.n + {WEIGHT}))) / (o.n + {WEIGHT})) AS BIGINT) ORDER BY o.i) AS limits
+  FROM q o JOIN q g ON g.lang = o.lang AND g.i = o.i AND g.source IS NULL JOIN q a ON a.i = o.i AND a.lang IS NULL WHERE o.source IS NOT NULL GROUP BY 1, 2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(ratios[1] <= limits[1] AND ratios[2] <= limits[2] AND ratios[3] <= limits[3], true) AS kept
+FROM f LEFT JOIN l USING (lang, source)
+"""

@@ -16,4 +16,10 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_suffix_array_dedup": repeats.op10_suffix_array_dedup,
 }
-SQL = {"op5_line_dedup": line_dedup.OP5_SQL, "op6_ngram_jaccard_join": jaccard.OP6_SQL, "op7_chat_formatting": chat.OP7_SQL}
+SQL = {
+    "op3_quality_rules": quality.OP3_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
+    "op6_ngram_jaccard_join": jaccard.OP6_SQL,
+    "op7_chat_formatting": chat.OP7_SQL,
+    "op10_suffix_array_dedup": repeats.OP10_SQL,
+}

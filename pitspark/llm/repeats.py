@@ -372,3 +372,18 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents without their repeated 100-byte strings."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP10_SQL = """
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, b, unnest(range(0, n - 99)) AS p FROM t WHERE n >= 100),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, b[p + 1 : p + 100] AS x FROM w) QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, p) > 1),
+m AS (SELECT doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) > 100 AS new FROM r),
+i AS (SELECT doc_id, p, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM m),
+s AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS z FROM i GROUP BY 1, 2),
+e AS (SELECT doc_id, k, coalesce(lag(z) OVER q, 0) AS a, a AS z FROM s WINDOW q AS (PARTITION BY doc_id ORDER BY k) UNION ALL SELECT doc_id, 1000000000, max(s.z), max(n) FROM s JOIN t USING (doc_id) GROUP BY 1),
+p AS (SELECT doc_id, string_agg(hex(b[a + 1 : z]), '' ORDER BY k) AS kept FROM e JOIN t USING (doc_id) GROUP BY 1),
+c AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM s GROUP BY 1)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(CASE WHEN spans > 0 THEN unhex(kept) ELSE b END) AS kept_sha256
+FROM t LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id)
+"""

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitspark.llm import decontamination, html_extraction, line_dedup, packing, quality, sharding
+from pitspark.llm import decontamination, html_extraction, line_dedup, packing, quality, queries, sharding
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +20,17 @@ def words(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.sql(queries.SQL[name])
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 # quality
 def stats(text):
     import regex
@@ -301,3 +312,14 @@ def test_pipeline_equals_a_plain_pipeline(spark):
     for r in got:
         by[r["sequence_id"]] += r["length"]
     assert max(by.values()) <= 1024 and len(by) <= 1.05 * -(-sum(x[3] for x in want) // 1024) + 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from pitspark.llm import common
+
+    session = lambda master, folder: N(conf=N(get=lambda key, other: folder), sparkContext=N(master=master))
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        common.shared_dir(session("spark://host:7077", None))
+    assert common.shared_dir(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y" and common.shared_dir(session("local[2]", None)).startswith("file:")
