@@ -334,9 +334,9 @@ _RP_STEP = """SELECT it.k + 1 AS k,
       WHERE list_sum(rc) > 0)) it"""
 
 
-@query(w("bars", more=f"{COV}, mr AS (SELECT sym_a, list(cov ORDER BY sym_b) AS row FROM cov GROUP BY 1), mx AS (SELECT list(sym_a ORDER BY sym_a) AS syms, list(row ORDER BY sym_a) AS m, count(*) AS n FROM mr), it(k, w, done) AS (SELECT 0::BIGINT, list_transform(syms, lambda x: 1.0::DOUBLE / n), false FROM mx UNION ALL {_RP_STEP}), lw AS (SELECT w FROM it ORDER BY k DESC LIMIT 1)").replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT unnest(syms) AS sym, round(unnest(w), 6) AS w FROM mx, lw")
+@query(w("bars", more=f"{COV}, mr AS (SELECT sym_a, list(cov ORDER BY sym_b) AS row FROM cov GROUP BY 1), mx AS (SELECT list(sym_a ORDER BY sym_a) AS syms, list(row ORDER BY sym_a) AS m, count(*) AS n FROM mr), it(k, w, done) AS (SELECT 0::BIGINT, list_transform(syms, lambda x: 1.0::DOUBLE / n), false FROM mx UNION ALL {_RP_STEP}), lw AS (SELECT w FROM it ORDER BY k DESC LIMIT 1)").replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT unnest(syms) AS sym, round(unnest(w), 10) AS w FROM mx, lw")
 def risk_parity_weights(s, d):
-    return r(por.risk_parity(cov(s, d)), "w")
+    return r(por.risk_parity(cov(s, d)), "w", digits=10)
 
 
 @query("WITH b AS (SELECT DISTINCT (event_id % 97) / 97.0::DOUBLE AS p, (event_id % 7) / 2.0::DOUBLE AS odds, 1000.0::DOUBLE AS bankroll FROM events), k AS (SELECT *, greatest(0.0, least(1.0, CASE WHEN odds > 1 THEN (p * odds - 1) / (odds - 1) ELSE 0.0 END)) AS k FROM b) SELECT p, odds, bankroll, round(bankroll * k * 0.25, 2) AS recommended_bet, round(k * 0.25, 4) AS fraction_of_bankroll, round(k, 4) AS kelly_percentage, CASE WHEN k <= 0 THEN 'no bet' ELSE '25% Kelly' END AS message, CASE WHEN k > 0.1 THEN 'high' WHEN k <= 0 THEN 'low' ELSE 'medium' END AS confidence FROM k")
