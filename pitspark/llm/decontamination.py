@@ -263,3 +263,47 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, whole or re-parameterised."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_SQL_EDGES = (r"^[^\p{L}\p{M}\p{N}\p{Z}\p{C}$€£+\-]+", r"[^\p{L}\p{M}\p{N}\p{Z}\p{C}%]+$")
+_SQL_NUMBER = r"[+\-]?[$€£]?\d[\d.,:/]*(%|st|nd|rd|th|\p{L}{1,3})?"
+_SQL_NAME = r"\p{Lu}\p{Ll}+([-''’]\p{L}+)*"
+OP8_SQL = f"""
+WITH src AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+ln AS (SELECT side, id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS l FROM src WHERE text IS NOT NULL),
+wd AS (SELECT side, id, l, unnest(x) AS w, generate_subscripts(x, 1) AS k FROM (SELECT *, list_filter(string_split_regex(line, '\\s+'), lambda y: y <> '') AS x FROM ln)),
+sp AS (
+  SELECT *, CASE WHEN w[-1] IN ('.', ',', ';', ':', '!', '?') THEN w[:-2] ELSE w END AS plain,
+    regexp_replace(regexp_replace(w, '{_SQL_EDGES[0]}', ''), '{_SQL_EDGES[1]}', '') AS bare FROM wd),
+cn AS (
+  SELECT *, regexp_full_match(plain, '[a-z]+|[A-Z][a-z]+') AS easy,
+    CASE WHEN regexp_full_match(plain, '[a-z]+|[A-Z][a-z]+') THEN w[-1] IN ('.', '!', '?', ':')
+      ELSE w[-1] IN ('.', '!', '?', ':') OR (w[-2:-2] IN ('.', '!', '?') AND w[-1] IN ('"', '''', ')', '”', '’')) END AS ends,
+    lower(CASE WHEN regexp_full_match(plain, '[A-Za-z]+') THEN plain ELSE bare END) AS lit FROM sp),
+tk AS (
+  SELECT side, id, l, k, w, ends, lit, lower(bare) AS val, CASE WHEN easy THEN lower(plain) ELSE replace(lower(bare), '<', '‹') END AS low,
+    NOT easy AND regexp_full_match(bare, '{_SQL_NUMBER}') AS num, lower(CASE WHEN easy THEN plain ELSE bare END) IN ({", ".join(f"'{u}'" for u in sorted(UNITS))}) AS unit,
+    CASE WHEN easy THEN plain <> lower(plain) ELSE regexp_full_match(bare, '{_SQL_NAME}') END AS name FROM cn),
+tt AS (
+  SELECT side, id, l, k, ends, lit, val, CASE WHEN num THEN '<num>' WHEN unit THEN '<unit>' ELSE low END AS st, CASE WHEN num THEN '<num>' WHEN unit THEN '<unit>' WHEN name THEN '<name>' ELSE low END AS inn,
+    coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY side, id ORDER BY l, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM tk),
+kp AS (SELECT *, coalesce(lag(l) OVER q <> l OR lag(c) OVER q < c, true) AS first FROM tt WHERE st <> '' WINDOW q AS (PARTITION BY side, id ORDER BY l, k)),
+ct AS (SELECT id, least({WINDOW}, count(*)) AS width FROM kp WHERE side = 1 GROUP BY 1),
+kw AS (SELECT kp.*, width FROM kp, (SELECT DISTINCT width FROM ct) WHERE side = 0 UNION ALL SELECT kp.*, width FROM kp JOIN ct USING (id) WHERE side = 1),
+wn AS (
+  SELECT side, id, width, row_number() OVER q - 1 AS pos, count(*) OVER f AS n, '= ' || string_agg(lit, ' ') OVER f AS lits, st || coalesce(' ' || string_agg(tm, ' ') OVER g, '') AS shape,
+    list_concat(CASE WHEN st[1] = '<' THEN [st || val] ELSE CAST([] AS VARCHAR[]) END, coalesce(list(tm || val) FILTER (tm[1] = '<') OVER g, CAST([] AS VARCHAR[]))) AS slots
+  FROM (SELECT *, CASE WHEN first THEN st ELSE inn END AS tm FROM kw)
+  WINDOW q AS (PARTITION BY side, id, width ORDER BY l, k), f AS (PARTITION BY side, id, width ORDER BY l, k ROWS BETWEEN CURRENT ROW AND width - 1 FOLLOWING),
+    g AS (PARTITION BY side, id, width ORDER BY l, k ROWS BETWEEN 1 FOLLOWING AND width - 1 FOLLOWING)),
+al AS (
+  SELECT side, id, pos, width, lits AS template, CAST([] AS VARCHAR[]) AS slots FROM wn WHERE n = width
+  UNION ALL SELECT side, id, pos, width, shape, slots FROM wn
+  WHERE n = width AND len(slots) > 0 AND width - len(slots) >= greatest({LITERALS}, (width + {LITERAL_SHARE - 1}) // {LITERAL_SHARE})),
+pr AS (SELECT d.id AS doc_id, b.id AS item_id, d.pos, d.pos - b.pos AS shift, d.slots, b.slots AS theirs, d.slots = b.slots AS same FROM al d JOIN al b USING (width, template) WHERE d.side = 0 AND b.side = 1),
+vl AS (SELECT doc_id, item_id, shift, unnest(slots) AS a, unnest(theirs) AS b FROM pr),
+ok AS (SELECT doc_id, item_id, shift, count(DISTINCT (a, b)) = count(DISTINCT a) AND count(DISTINCT a) = count(DISTINCT b) AS fine FROM vl GROUP BY ALL),
+sm AS (SELECT doc_id, item_id, shift, bool_or(same) AS any_same FROM pr GROUP BY ALL)
+SELECT doc_id, item_id, count(DISTINCT pos) AS n_windows, bool_or(any_same) AS verbatim, CAST(min(pos) AS INTEGER) AS first_pos
+FROM pr LEFT JOIN ok USING (doc_id, item_id, shift) JOIN sm USING (doc_id, item_id, shift) WHERE same OR coalesce(fine, true) GROUP BY 1, 2
+"""

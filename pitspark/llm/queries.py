@@ -21,5 +21,6 @@ SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_ngram_jaccard_join": jaccard.OP6_SQL,
     "op7_chat_formatting": chat.OP7_SQL,
+    "op8_benchmark_decontamination": decontamination.OP8_SQL,
     "op10_suffix_array_dedup": repeats.OP10_SQL,
 }

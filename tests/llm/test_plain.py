@@ -23,7 +23,7 @@ def words(text):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(queries.SQL[name])
     got = queries.QUERIES[name](spark, SF)
