@@ -4,9 +4,10 @@ Every 100-byte window chooses an anchor: its 24-byte string of the lowest hash.
 can only be equal within an anchor's group, and a document falls into stretches of windows of one anchor. One shuffle brings
 an anchor's stretches together. Equal stretches need no further look: all but the first are repeats. Stretches of one anchor
 count as equal if 96 bits of independent hashes of all their bytes agree, as their bytes would make the shuffle several times
-the input. Where an anchor has different stretches, the first of each goes to a shard, in which a suffix array by induced
-sorting and its permuted common prefixes find the equal windows, byte by byte. Anchors with very many different stretches are
-split by the windows' next anchors, again and again until no group is large.
+the input. Where an anchor has different stretches, the first of each goes to a shard. There it is cut to the windows whose
+bytes around the anchor another stretch has as well; a suffix array by induced sorting and its permuted common prefixes find
+the equal ones among them, byte by byte. Anchors with very many different stretches are split by the windows' next anchors,
+again and again until no group is large.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ WINDOW, GRAM = 100, 24
 _SPAN = WINDOW - GRAM + 1
 #: Bytes handled at once, places of a chunk fit the key's low bits; bytes of a shard; different stretches of a group before it is split.
 _CHUNK, _PLACE_BITS = 1 << 20, 22
+#: Windows whose anchors are sought at once: their arrays stay in the CPU's cache.
+_BLOCK = 1 << 16
+#: Classes of windows, by the bytes before their anchor, that are looked at together before the suffix array.
+_CLASSES = 4
 SHARD_BYTES, SPLIT = 1 << 20, 1000
 _rng = np.random.default_rng(7)
 #: Two independent polynomial hashes: a number for each byte, and the base.
@@ -83,12 +88,24 @@ def anchors(data: np.ndarray, owner: np.ndarray, banned: np.ndarray | None = Non
 
     owner: whose each byte is; windows lie within one owner. banned: places that can't be anchors.
     """
-    n = len(data)
-    if n < WINDOW:
+    n, lo, out = len(data) - WINDOW + 1, 0, []
+    while lo < n:
+        hi = min(lo + _BLOCK, n)
+        end = hi + WINDOW - 1
+        here = None if banned is None else banned[(banned >= lo) & (banned <= end - GRAM)] - lo
+        *found, rest = _anchors_of_block(data[lo:end], owner[lo:end], here, hi == n)
+        out.append((found[0] + lo, found[1] + lo, *found[2:-1], found[-1] + lo))
+        lo += rest
+    if not out:
         none = np.zeros(0, np.int64)
         return none, none, none, none, none, none
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _anchors_of_block(data: np.ndarray, owner: np.ndarray, banned: np.ndarray | None, last: bool) -> tuple:
+    """The anchors of a block, and the first window that is left: the block's end may cut its last stretch, at most _SPAN windows, so that is left unless it's the last block."""
     sums = _sums(data)
-    at = np.arange(n - GRAM + 1)
+    at = np.arange(len(data) - GRAM + 1)
     gram = _hashes(sums, at, at + GRAM)
     key = (gram >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | at.astype(np.uint64)
     if banned is not None:
@@ -98,9 +115,13 @@ def anchors(data: np.ndarray, owner: np.ndarray, banned: np.ndarray | None = Non
     change = np.r_[True, (place[1:] != place[:-1]) | (owner[1 : len(place)] != owner[: len(place) - 1]) | (valid[1:] != valid[:-1])]
     first = np.flatnonzero(change)
     after = np.r_[first[1:], len(place)]
+    rest = len(place)
+    if not last:
+        rest = int(first[-1])
+        first, after = first[:-1], after[:-1]
     first, after = first[valid[first]], after[valid[first]]
     more = (_hashes(_sums(data, 1), first, after + WINDOW - 1, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return first, after, gram[place[first]].view(np.int64), _hashes(sums, first, after + WINDOW - 1).view(np.int64), more, place[first]
+    return first, after, gram[place[first]].view(np.int64), _hashes(sums, first, after + WINDOW - 1).view(np.int64), more, place[first], rest
 
 
 def _chunks(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -199,6 +220,34 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[0, edge + 1], np.r_[edge, len(doc) - 1]
 
 
+def comparable(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(indices, begins, ends) of the parts of stretches that have windows which may equal one of another part, cut to these.
+
+    A stretch's windows share their anchor: of the strings in all of them the lowest one. Equal windows have it at the same
+    place, so no two of one part are equal, and windows of different parts with about as many bytes before the anchor hold
+    the same bytes around it. Windows are left out where no other part has those. Hashes that agree by chance only keep more.
+    """
+    sizes = np.array([len(p) for p in parts])
+    begin = np.cumsum(sizes) - sizes
+    end = begin + sizes
+    sums = _sums(np.frombuffer(b"".join(parts), np.uint8))
+    many = 2 * WINDOW - sizes - GRAM + 1
+    head = np.cumsum(many) - many
+    at = np.arange(int(many.sum())) - np.repeat(head - (end - WINDOW), many)
+    key = (_hashes(sums, at, at + GRAM) >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | (at - np.repeat(begin, many)).astype(np.uint64)
+    anchor = begin + (np.minimum.reduceat(key, head) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+    lo, hi = end.copy(), begin.copy()
+    edges = np.arange(_CLASSES + 1) * _SPAN // _CLASSES
+    for least, most in zip(edges[:-1], edges[1:] - 1, strict=True):
+        a, z = np.maximum(begin, anchor - most), np.minimum(end - WINDOW, anchor - least)  # the class's first and last window
+        own = np.flatnonzero(a <= z)
+        _, kind, count = np.unique(_hashes(sums, anchor[own] - least, anchor[own] - most + WINDOW), return_inverse=True, return_counts=True)
+        own = own[count[kind] > 1]
+        lo[own], hi[own] = np.minimum(lo[own], a[own]), np.maximum(hi[own], z[own] + WINDOW)
+    kept = np.flatnonzero(lo < hi)
+    return kept, (lo - begin)[kept], (hi - begin)[kept]
+
+
 def repeated_in_shard(parts: list[bytes], doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> pd.DataFrame:
     """(doc_id, tie, first, after): bytes of the stretches that lie in windows found earlier in the shard."""
     sizes = np.array([len(p) for p in parts])
@@ -330,7 +379,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # a document that repeats as a row gives its stretches twice; they are the same places
 
     def sort_shard(df: pd.DataFrame) -> pd.DataFrame:
-        return repeated_in_shard(df["part"].tolist(), df["doc_id"].to_numpy(), df["tie"].to_numpy(), df["start"].to_numpy().astype(np.int64))
+        parts = df["part"].tolist()
+        at, begin, end = comparable(parts)
+        if not len(at):
+            return pd.DataFrame(columns=["doc_id", "tie", "first", "after"])
+        parts = [parts[k][a:z] for k, a, z in zip(at.tolist(), begin.tolist(), end.tolist(), strict=True)]
+        return repeated_in_shard(parts, df["doc_id"].to_numpy()[at], df["tie"].to_numpy()[at], df["start"].to_numpy().astype(np.int64)[at] + begin)
 
     inner = pieces.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(sort_shard, "doc_id long, tie int, first int, after int")
     return again.unionByName(inner)

@@ -390,6 +390,35 @@ def test_repeats_of_very_large_groups(spark, monkeypatch):
     assert sorted(map(tuple, got)) == kept_plain(list(enumerate(texts)))
 
 
+def stretches_plain(texts):
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    return data, repeats.anchors(data, np.repeat(np.arange(len(texts)), [len(t) for t in texts]))
+
+
+def test_anchors_by_blocks(monkeypatch):
+    texts = [*near_copies(12), "x" * 700, A, "ab" * 200, prose(400, 6)]
+    texts = [t for t in texts if t and t.isascii() and len(t) >= repeats.WINDOW]
+    monkeypatch.setattr(repeats, "_BLOCK", 1 << 20)
+    _, whole = stretches_plain(texts)
+    monkeypatch.setattr(repeats, "_BLOCK", 150)
+    _, parts = stretches_plain(texts)
+    assert len(whole[0]) > 50 and all(a.dtype == b.dtype and (a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
+def test_only_windows_that_may_match_are_compared():
+    core = prose(5, 99)[:24]
+    assert len(repeats.comparable([(prose(30, k)[:60] + core + prose(30, -k)[:60]).encode() for k in range(50, 90)])[0]) == 0
+    texts = [A[40:] + B, prose(9, 5) + A[50:260] + prose(9, 6), B[:150] + "changed" + B[157:], "x" * 300, "x" * 200 + "y" * 150, "y" * 120 + A[:130]]
+    data, (first, after, *_) = stretches_plain(texts)
+    parts = [data[a : z + repeats.WINDOW - 1].tobytes() for a, z in zip(first.tolist(), after.tolist(), strict=True)]
+    windows = lambda p: [p[k : k + repeats.WINDOW] for k in range(len(p) - repeats.WINDOW + 1)]
+    seen = Counter(w for p in parts for w in windows(p))
+    lost = [seen[w] for p in parts for w in windows(p)]
+    at, begin, end = repeats.comparable(parts)
+    kept = Counter(w for k, a, z in zip(at.tolist(), begin.tolist(), end.tolist(), strict=True) for w in windows(parts[k][a:z]))
+    assert max(lost) > 1 and all(kept[w] == n for w, n in seen.items() if n > 1) and sum(kept.values()) < sum(seen.values())
+
+
 def test_repeats_of_null_ids(spark):
     df = spark.createDataFrame([(None, A), (9, A), (None, "short")], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["n_removed"]) for r in repeats.remove_repeats(df).collect())
