@@ -233,11 +233,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     none to match as it stands. Repeated rows count once. Empty tables give an empty result; other columns are not carried.
     """
     small_batches(docs.sparkSession)
-    items = stage(_table(benchmark, "item_id", None, None).distinct(), "items")
-    n, widths = items.count(), tuple(r["width"] for r in items.select("width").distinct().collect())  # WINDOW widths at most
+    # written as it comes: dealt out first, a few items would make a file for each shuffle partition
+    items = stage(_table(benchmark, "item_id", None, None), "items")
+    n, widths = items.agg(F.count("*"), F.collect_set("width")).first()  # WINDOW widths at most
     sieve = bloom(items, n)
-    theirs = items.select("item_id", "width", "hash", "template", F.col("pos").alias("item_pos"), F.col("slots").alias("of_item"))
-    pairs = _table(docs, "doc_id", widths or (WINDOW,), sieve).join(theirs, ["hash", "width", "template"])
+    theirs = items.select("item_id", "width", "hash", "template", F.col("pos").alias("item_pos"), F.col("slots").alias("of_item")).distinct()
+    pairs = _table(docs, "doc_id", tuple(widths) or (WINDOW,), sieve).join(theirs, ["hash", "width", "template"])
     pairs = pairs.withColumn("values", F.arrays_zip("slots", "of_item")).withColumn("same", F.col("slots") == F.col("of_item"))
 
     def one_to_one(values):

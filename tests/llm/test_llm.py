@@ -263,6 +263,19 @@ def test_decontamination_of_short_items_and_numbers(spark):
     assert sorted((r["doc_id"], r["item_id"], r["verbatim"]) for r in got) == [(0, 0, False), (1, 1, False), (2, 2, True), (5, 3, True)]
 
 
+def test_decontamination_writes_few_items_in_few_files(spark, monkeypatch):
+    kept, stage = [], decontamination.stage
+    monkeypatch.setattr(decontamination, "stage", lambda df, name: kept.append(stage(df, name)) or kept[-1])
+    bench = spark.createDataFrame([(1, A), (2, B), (2, B)], "item_id long, text string").repartition(2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = decontamination.contaminated(make(spark, [B + " " + A, A]), bench).collect()
+        assert [len(x.inputFiles()) for x in kept] in ([1], [2])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r["doc_id"], r["item_id"], r["n_windows"], r["verbatim"]) for r in got) == [(0, 1, 68, True), (0, 2, 68, True), (1, 1, 68, True)]
+
+
 def test_decontamination_tells_rows_apart(spark):
     df = spark.createDataFrame([(None, A, 1, "a", 2), (None, B, 1, "a", 2), (5, A, 1, "a", 2), (5, B, 1, "a", 2), (5, B, 1, "a", 2)], "doc_id long, text string, _row int, _bad string, hash int")
     bench = spark.createDataFrame([(1, A)], "item_id long, text string")
