@@ -5,11 +5,18 @@ source) is kept as a mergeable quantile sketch: counts in logarithmic buckets of
 in any order. A ratio may exceed its group's upper quartile by SPREAD times the quartile's distance from the median, both
 read from the sketch; there is no fixed cutoff. Limits of a group are drawn towards those of its language, and these towards
 those of all documents, the more the fewer documents it has. Verdicts come from joining the limits to the documents.
+
+Texts are taken apart in Python workers, a text at a time: strings and arrays made of them in the JVM would let its heap grow
+to the limit, as fast as they become garbage.
 """
 
 from __future__ import annotations
 
+import io
+import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from math import log
 
 import numpy as np
@@ -18,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stage, table, unused, word_hashes, words
+from .common import small_batches, stage, table, unused
 
 #: Relative error of the sketch's quantiles.
 ALPHA = 0.02
@@ -32,6 +39,41 @@ RATIOS = ("signs", "capitals", "stutter")
 #: Added to what a ratio is of, so that a few characters of a short text don't decide.
 SMOOTH = {"signs": 50, "capitals": 50, "stutter": 10}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: What is counted in each text; signs include the symbols.
+COUNTS = (*BASE, "signs", "upper", "letters", "stutter")
+#: Kinds of characters: ASCII white space, symbols, other signs, capitals, other letters, and marks, numbers and other separators.
+SPACE, SYMBOL, SIGN, CAPITAL, LETTER, OTHER = range(6)
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """The kind of each code point."""
+    by_class = {"L": LETTER, "M": OTHER, "N": OTHER, "Z": OTHER}
+    kind = np.fromiter((CAPITAL if (c := unicodedata.category(chr(k))) == "Lu" else by_class.get(c[0], SIGN) for k in range(0x110000)), np.uint8, 0x110000)
+    kind[[*b"#*$%&|<>"]] = SYMBOL
+    kind[[*b" \t\n\v\f\r"]] = SPACE
+    return kind
+
+
+def character_kinds(text: bytes, size: int = 1 << 20) -> np.ndarray:
+    """How many characters of each kind UTF-8 bytes hold, counted in parts of size characters."""
+    chars, n = text.decode("utf-8", "replace"), np.zeros(OTHER + 1, np.int64)
+    for k in range(0, len(chars), size):
+        n += np.bincount(_kinds()[np.frombuffer(chars[k : k + size].encode("utf-32-le"), np.uint32)], minlength=OTHER + 1)
+    return n
+
+
+def text_hashes(text: bytes, size: int = 1 << 20) -> np.ndarray:
+    """The words' 64-bit hashes, in order; equal in one process only. Words are split in parts of about size bytes that end at white space."""
+    out, at = [np.zeros(0, np.int64)], 0
+    while at < len(text):
+        end = _BREAK.search(text, at + size)
+        to = end.end() if end else len(text)
+        found = text[at:to].split()  # of bytes: at ASCII white space only
+        out.append(np.fromiter(map(hash, found), np.int64, len(found)))
+        at = to
+    return np.concatenate(out)
 
 
 def repeated_words(hashes: np.ndarray, window: int = WINDOW) -> int:
@@ -59,36 +101,39 @@ def repeated_words(hashes: np.ndarray, window: int = WINDOW) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
-@F.pandas_udf(T.StructType([T.StructField("repeated", T.LongType()), T.StructField("stutter", T.LongType())]))
-def _word_counts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def duplicate_lines(text: bytes) -> int:
+    """Lines with a word that equal an earlier line."""
+    n, seen = 0, set()
+    for line in io.BytesIO(text):
+        if not line.isspace():
+            n += 1
+            seen.add(line.removesuffix(b"\n"))
+    return n - len(seen)
+
+
+def text_counts(text: bytes | None) -> tuple[int, ...]:
+    """COUNTS of one text, as UTF-8 bytes. Null counts as empty."""
+    text = text or b""
+    h, kinds = text_hashes(text), character_kinds(text)
+    n = (len(h), kinds.sum() - kinds[SPACE], kinds[SYMBOL], duplicate_lines(text), repeated_words(h))
+    return (*map(int, n), int(kinds[SYMBOL] + kinds[SIGN]), int(kinds[CAPITAL]), int(kinds[CAPITAL] + kinds[LETTER]), int((h[1:] == h[:-1]).sum()))
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in COUNTS]))
+def _text_counts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in parts:
-        hashes = [np.asarray(x, dtype=np.int64) for x in texts]
-        yield pd.DataFrame({"repeated": [repeated_words(h) for h in hashes], "stutter": [int((h[1:] == h[:-1]).sum()) for h in hashes]})
+        yield pd.DataFrame([text_counts(x) for x in texts], columns=COUNTS, dtype="int64")
 
 
 def with_stats(docs: DataFrame, name: str, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """docs with a struct column of the given name: base statistics, base_failed, ratios and the group. Null text counts as empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    but = lambda what: F.length(F.regexp_replace(text, what, "")).cast("long")
-    counts = {
-        "n_words": F.size(words(text)).cast("long"),
-        "word_chars": but(r"[\x20\x09-\x0D]+"),
-        "n_symbols": but(r"[^#*$%&|<>]+"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "in_windows": _word_counts(word_hashes(text)),
-        "signs": but(r"[\p{L}\p{M}\p{N}\p{Z}\s]+"),
-        "upper": but(r"[^\p{Lu}]+"),
-        "letters": but(r"[^\p{L}]+"),
-    }
-    out = docs.withColumn(name, F.struct(*[c.alias(n) for n, c in counts.items()]))
+    out = docs.withColumn(name, _text_counts(F.col(text_col).cast("string").cast("binary")))
     b = lambda n: F.col(name)[n]
     part = lambda r, x, of: F.floor(x * 10000 / (of + SMOOTH[r])).cast("long").alias(r)
-    repeated, stutter = b("in_windows")["repeated"], b("in_windows")["stutter"]
-    ratios = F.struct(part("signs", b("signs"), b("word_chars")), part("capitals", b("upper"), b("letters")), part("stutter", stutter, b("n_words")))
-    failed = (b("n_words") < 10) | (100 * repeated > 20 * b("n_words"))
+    ratios = F.struct(part("signs", b("signs"), b("word_chars")), part("capitals", b("upper"), b("letters")), part("stutter", b("stutter"), b("n_words")))
+    failed = (b("n_words") < 10) | (100 * b("n_repeat_words") > 20 * b("n_words"))
     group = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in (("lang", lang_col), ("source", source_col))]
-    return out.withColumn(name, F.struct(*[b(n) for n in BASE[:-1]], repeated.alias("n_repeat_words"), failed.alias("base_failed"), ratios.alias("ratios"), *group))
+    return out.withColumn(name, F.struct(*[b(n) for n in BASE], failed.alias("base_failed"), ratios.alias("ratios"), *group))
 
 
 def _bucket(value: Column) -> Column:

@@ -1,7 +1,10 @@
 """Operators against plain versions of their definitions, over whole small tables; and the pipeline against a plain pipeline."""
 
 import math
+import os
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -116,6 +119,50 @@ def test_quality_with_odd_columns_ties_and_empty_groups(spark):
     assert quality.quality_filter(df.limit(0)).count() == 0
 
 
+ODD = [
+    None, "", " \n\t\v\f\r \n", "one", "a\u00a0b\u2003c\x85d \x1ce\u3000f", "\n\n x\nx\r\nx\n x\n\x1c\n\x1c", "Ab \u01c5 \u00c9\u00e9 \u0301 \u216b \u0661 \U0001d400\U0001f600 $#*%&|<> \u20ac+",
+    "x" * 3000, "a b c d e " * 40 + "f", "so so so " * 5, "\u00e9\n" * 50, "\ufeff \x00 \u200b\ufffd",
+]
+
+
+def test_quality_of_odd_texts(spark):
+    import regex
+
+    def plain_stats(text):  # white space that is no sign is ASCII only, as in the SQL
+        base, failed, ratios = stats(text)
+        signs = len(regex.findall(r"[^\p{L}\p{M}\p{N}\p{Z}\x09-\x0D]", text or ""))
+        return (*base, failed, signs * 10000 // (base[1] + quality.SMOOTH["signs"]), ratios["capitals"], ratios["stutter"])
+
+    df = spark.createDataFrame([(k, t, None, None) for k, t in enumerate(ODD)], "doc_id long, text string, lang string, source string").repartition(3)
+    got = quality.with_stats(df, "q").orderBy("doc_id").select([f"q.{n}" for n in quality.BASE] + ["q.base_failed", "q.ratios.*"]).collect()
+    assert [tuple(r) for r in got] == [plain_stats(t) for t in ODD]
+
+
+@pytest.mark.parametrize("text", [t for t in ODD if t])
+def test_quality_counts_in_parts_as_at_once(text):
+    raw = text.encode()
+    for size in (1, 2, 7):
+        assert (quality.character_kinds(raw, size) == quality.character_kinds(raw)).all()
+        assert (quality.text_hashes(raw, size) == quality.text_hashes(raw)).all()
+    assert len(quality.text_hashes(raw)) == len(words(text))
+
+
+LONG = """
+from pyspark.sql import SparkSession, functions as F
+from pitspark.llm import quality
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.range(1).select(F.expr("repeat('a b ', 4000000 + cast(id AS int))").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+print("words", quality.with_stats(docs, "q").select("q.n_words", "q.word_chars", "q.n_repeat_words").first())
+"""
+
+
+def test_quality_splits_no_text_in_the_jvm():
+    """Eight million words of one text are some gigabyte of strings in a JVM; this one has 600 MB."""
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 600m pyspark-shell", "PYSPARK_PYTHON": sys.executable}
+    ran = subprocess.run([sys.executable, "-c", LONG], env=env, capture_output=True, text=True, timeout=300)
+    assert "words Row(n_words=8000000, word_chars=8000000, n_repeat_words=8000000)" in ran.stdout, ran.stderr[-2000:]
+
+
 # extraction
 def plain_choice(tree):
     """Densities, sums and the kept nodes by the definitions, each node's subtree looked at anew."""
