@@ -147,6 +147,16 @@ def test_quality_counts_in_parts_as_at_once(text):
     assert len(quality.text_hashes(raw)) == len(words(text))
 
 
+def test_quality_reads_few_rows_at_once(spark, monkeypatch):
+    key, seen, stage = "spark.sql.parquet.columnarReaderBatchSize", {}, quality.stage
+    monkeypatch.setattr(quality, "stage", lambda df, name: seen.setdefault(name, int(spark.conf.get(key))) and stage(df, name))
+    before = spark.conf.get(key)
+    for run in (lambda: quality.op3_quality_rules(spark, SF), lambda: quality.quality_filter(spark.read.parquet(f"{SF}/documents.parquet"))):
+        seen.clear()
+        run()
+        assert seen["stats"] <= 512 and spark.conf.get(key) == before
+
+
 LONG = """
 from pyspark.sql import SparkSession, functions as F
 from pitspark.llm import quality
