@@ -46,7 +46,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads."""
-    for path in [p for p in _staged if any(p.rpartition("/")[2] in f for f in df.inputFiles())]:
+    read = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}  # asked once: each name comes from the JVM by itself
+    for path in [p for p in _staged if p.rpartition("/")[2] in read]:
         _remove(path)
 
 

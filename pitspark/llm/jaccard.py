@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import small_batches, stage, table, unstage, unused, word_hashes
 from .graph import components
@@ -32,6 +33,8 @@ TOKENS, PER_RUN, DEPTH = 128, 2, 3
 MARGIN = 0.16
 #: Classes compared at once by estimate, and on whole sets.
 BUCKET, BLOCK = 512, 256
+#: The bits for each row of the filter that sifts rows before a join, and its size (a power of two) at most, 32 MB.
+BITS, MOST_BITS = 16, 28
 
 
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, depth: int = DEPTH) -> int:
@@ -248,6 +251,22 @@ def _first(doc_id: str = "doc_id", text_key: str = "text_key") -> Column:
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(text_key).alias("text_key"))
 
 
+def sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows (doc_id, text_key and others) without those that no row of wanted (of_doc, of_text) can equal; few others stay.
+
+    A broadcast bitmap tells, so rows that don't match are not shuffled. Its size is bounded whatever wanted's: beyond some
+    17 million rows more false alarms stay, which the join drops.
+    """
+    bits = 1 << min(MOST_BITS, max(16, (BITS * wanted.count()).bit_length()))
+    at, word, bitmap = unused(rows, "_at", "_word", "_bitmap")
+    place = lambda *by: F.pmod(F.xxhash64(*by, F.lit(5)), F.lit(bits)) + 1
+    marks = wanted.select(place("of_doc", "of_text").alias(at)).groupBy(F.bitmap_bucket_number(at).alias(word)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bitmap))
+    near = rows.withColumn(at, place("doc_id", "text_key")).join(F.broadcast(marks), F.bitmap_bucket_number(at) == F.col(word))
+    k = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(bitmap, (k / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return near.filter(byte.bitwiseAND(F.pow(F.lit(2), k % 8).cast("int")) != 0).select(*rows.columns)
+
+
 def classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_key, set_id, and for rows with words copy_of, head (each the row that stands for the equal sets, and for the class) and n_links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -257,8 +276,9 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rough = components(nominated(classes, threshold))
     sizes = rough.groupBy("label").agg(F.count("*").alias("size"))
     members = rough.join(sizes, "label").join(classes.select(F.col("set_id").alias("node"), "first", "n_docs"), "node")
-    members = members.select("node", "label", "size", "n_docs", F.col("first.doc_id").alias("of_doc"), F.col("first.text_key").alias("of_text"))
-    texts = docs.withColumn("text_key", F.xxhash64("text")).join(members, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_text")))
+    members = stage(members.select("node", "label", "size", "n_docs", F.col("first.doc_id").alias("of_doc"), F.col("first.text_key").alias("of_text")), "members")
+    # most texts have no near copies, so they are not shuffled
+    texts = sifted(docs.withColumn("text_key", F.xxhash64("text")), members).join(members, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_text")))
     words = texts.select(F.col("node").alias("set_id"), "label", "size", "n_docs", word_hashes(F.col("text")).alias("words"))
 
     def to_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,12 +314,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: the one of the smallest doc_id, or one without id if none has an id. Of repeated rows one stays; texts without words all stay. Columns are unchanged, whatever their names."""
-    key, doc, text = unused(docs, "_key", "_doc", "_text")
-    heads = classified(docs).filter("set_id is not null").select(F.col("head.doc_id").alias(doc), F.col("head.text_key").alias(text)).distinct()
+    none, doc, key = at = unused(docs, "_none", "_doc", "_key")
+    keys = lambda doc_id, text_key: [doc_id.isNull().alias(none), F.coalesce(doc_id, F.lit(0)).alias(doc), text_key.alias(key)]
+    heads = classified(docs).filter("set_id is not null").select(*keys(F.col("head.doc_id"), F.col("head.text_key"))).distinct()
     worded = F.coalesce(F.btrim("text", F.lit(" \t\n\r\x0b\x0c")), F.lit("")) != ""
-    rows = docs.withColumn(key, F.xxhash64("text"))
-    first = rows.filter(worded).join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(text)), "left_semi")
-    return first.dropDuplicates(["doc_id", key]).select(*docs.columns).unionByName(docs.filter(~worded))
+    rows = docs.filter(worded).select("*", *keys(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    # repeated rows go first, by what the join is dealt out by: texts are shuffled once, unless ids aren't whole numbers
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    first = rows.dropDuplicates(at if whole else [*at, "doc_id"]).join(heads, at, "left_semi")
+    return first.select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

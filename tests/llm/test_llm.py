@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitspark.llm import chat, decontamination, html_extraction, jaccard, langid, line_dedup, packing, quality, queries, repeats, sharding, suffix
+from pitspark.llm import chat, common, decontamination, html_extraction, jaccard, langid, line_dedup, packing, quality, queries, repeats, sharding, suffix
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, block string"
@@ -229,6 +229,57 @@ def test_keep_first(spark):
     assert kept == sorted((k, ODD[k] or "") for k in (0, 1, 2, 3, 6, 7, 10)) + [] or kept == sorted([*((k, ODD[k] or "") for k in (0, 1, 2, 3, 6, 7, 10)), (3, ODD[9][1])])
 
 
+def shuffled(spark, run):
+    """Bytes that run() writes to shuffles."""
+    sc = spark.sparkContext
+
+    def listed():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    before = listed()
+    run()
+    return sum(n for k, n in listed().items() if k not in before)
+
+
+def test_keep_first_shuffles_texts_once(spark, tmp_path):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789    ") for _ in range(20_000)) for _ in range(200)]
+    texts += [texts[0], texts[1] + " more", texts[2]]
+    make(spark, texts).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    once = shuffled(spark, lambda: docs.repartition("doc_id").foreach(len))
+    assert 0 < once < shuffled(spark, lambda: jaccard.keep_first(docs).write.parquet(f"{tmp_path}/kept")) < 1.4 * once
+    assert sorted(r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == list(range(200))
+
+
+@pytest.mark.parametrize("most", [28, 16])
+def test_sifted_keeps_all_that_may_match(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "MOST_BITS", most)
+    rows = spark.range(20_000).select(F.when(F.col("id") > 5, F.col("id")).alias("doc_id"), (F.col("id") * 7).alias("text_key"), F.lit("x").alias("_at"))
+    wanted = rows.filter("text_key % 5 = 0").select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"))
+    got = jaccard.sifted(rows, wanted)
+    kept = {r["text_key"] for r in got.collect()}
+    assert got.columns == rows.columns and kept >= set(range(0, 140_000, 35)) and len(kept) < 6000
+    assert jaccard.sifted(rows, wanted.limit(0)).count() == 0
+
+
+def test_unstage_asks_for_files_once(spark, monkeypatch):
+    frames = [common.stage(spark.range(9), "some") for _ in range(4)]
+    asked, ask = [], type(frames[0]).inputFiles
+    monkeypatch.setattr(type(frames[0]), "inputFiles", lambda df: asked.append(df) or ask(df))
+    before = list(common._staged)
+    common.unstage(frames[1].select("id"))
+    assert len(asked) == 1 and len(set(before) - set(common._staged)) == 1
+    assert [f.count() for f in frames[:1] + frames[2:]] == [9, 9, 9]
+
+
+def test_keep_first_with_ids_of_text(spark):
+    df = spark.createDataFrame([("1", A), ("1", A), ("2", A), (None, B), (None, B)], "doc_id string, text string")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in jaccard.keep_first(df).collect()) == [("1", A), ("None", B)]
+
+
 def test_decontamination(spark):
     bench = spark.createDataFrame([(1, "If Alice has 12 apples and Bob has 7 apples then how many apples do they have in total altogether now?"), (2, A), (3, None), (4, "one two")], "item_id long, text string")
     q = "If {} has {} apples and {} has {} apples then how many apples do they have in total altogether now?"
