@@ -363,7 +363,8 @@ def settled(docs: DataFrame, kinds: DataFrame) -> tuple[list[DataFrame], list[Da
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, first, after): stretches of bytes to remove, which may overlap; docs: (doc_id, tie, data)."""
-    found = stage(compare(stretches(docs)), "stretches")
+    # gathered, as a stretch takes few bytes: else each task that compares them makes a file, and local file systems start programs for each
+    found = stage(compare(stretches(docs)).hint("rebalance", F.col("doc_id")), "stretches")
     again = found.filter("again").select("doc_id", "tie", F.col("start").alias("first"), (F.col("start") + F.col("n")).alias("after"))
     kinds = found.filter("not again").drop("again")
     # written, so the planner knows its size: a row for each group of over SPLIT
@@ -424,8 +425,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
 
 def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents without their repeated 100-byte strings."""
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    """All documents without their repeated 100-byte strings; rows are gathered from the tasks that had the texts, so the result comes in few files."""
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept").hint("rebalance", F.col("doc_id"))
 
 
 OP10_SQL = """

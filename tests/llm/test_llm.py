@@ -494,6 +494,25 @@ def test_repeats_of_rows(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(5, 0), (5, 0), (6, len(A.encode()))]
 
 
+def test_repeats_write_few_files(spark, monkeypatch, tmp_path):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789    ") for _ in range(20_000)) for _ in range(200)]
+    make(spark, [*texts, texts[0], A, A]).write.parquet(f"{tmp_path}/documents.parquet")
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "100k"}
+    before, staged, write = {k: spark.conf.get(k, None) for k in conf}, [], repeats.stage
+    monkeypatch.setattr(repeats, "stage", lambda df, name: staged.append((name, write(df, name))) or staged[-1][1])
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        repeats.op10_suffix_array_dedup(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert [(r["doc_id"], r["n_removed"]) for r in got.filter("n_removed > 0").sort("doc_id").collect()] == [(200, 20_000), (202, len(A))]
+    assert got.count() == 203 and len(got.inputFiles()) <= 2 and all(len(df.inputFiles()) <= 3 for _, df in staged)
+
+
 PAGE = "<html><body><div class='ad'>Buy this now, friend, buy it now</div><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><div id=c><h1>Title</h1><p>One <b>two</b>,\n three &amp; four and quite a few more words here.<p>Second paragraph, long enough to count as text.<ul><li>a<li>b</ul></div><aside>Side</aside><div class=comments><p>Nice post</p></div><footer>&copy;</footer><script>if (a<b) {}</script></body></html>"
 
 
