@@ -33,8 +33,8 @@ TOKENS, PER_RUN, DEPTH = 128, 2, 3
 MARGIN = 0.16
 #: Classes compared at once by estimate, and on whole sets.
 BUCKET, BLOCK = 512, 256
-#: The bits for each row of the filter that sifts rows before a join, and its size (a power of two) at most, 32 MB.
-BITS, MOST_BITS = 16, 28
+#: The bits for each row of the filter that sifts rows before a join, how many of them it sets, those of one bitmap, and its size (a power of two) at most, 32 MB.
+BITS, PLACES, WORD_BITS, MOST_BITS = 16, 4, 15, 28
 
 
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, depth: int = DEPTH) -> int:
@@ -108,8 +108,8 @@ def in_blocks(rows: DataFrame, by: str, size: str, limit: int, member: str) -> D
     return out.withColumn("cross", low != high).withColumn("unit", F.xxhash64(by, low, high)).drop("with")
 
 
-def by_unit(rows: DataFrame, work: Callable[[pd.DataFrame], list], schema: str, names: list[str], order: str) -> DataFrame:
-    """work() on each unit's rows; units are small and many, so they stream through a sorted partition."""
+def by_unit(rows: DataFrame, work: Callable[[pd.DataFrame], list], schema: str, names: list[str], order: str, columns: list[str | Column] | None = None) -> DataFrame:
+    """work() on each unit's rows; units are small and many, so they stream through a sorted partition. columns: what work() gets, made of the rows after the shuffle."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, out = None, []
@@ -128,7 +128,7 @@ def by_unit(rows: DataFrame, work: Callable[[pd.DataFrame], list], schema: str,
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    return rows.repartition("unit").sortWithinPartitions("unit", order).mapInPandas(run, schema)
+    return rows.repartition("unit").sortWithinPartitions("unit", order).select(*columns or ["*"]).mapInPandas(run, schema)
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -171,10 +171,32 @@ def _nominate(threshold: float) -> Callable[[pd.DataFrame], list]:
     return work
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, on: tuple[str, ...] = ("doc_id", "text_key"), of: tuple[str, ...] = ("of_doc", "of_text")) -> DataFrame:
+    """rows without those whose columns `on` no row of wanted can equal in its columns `of`; few others stay.
+
+    Broadcast bitmaps tell, so rows that don't match are not shuffled. Each key sets a few bits of one bitmap. Their size is
+    bounded whatever wanted's: beyond some 17 million rows more false alarms stay, which the join drops.
+    """
+    bits = min(MOST_BITS, max(WORD_BITS + 1, (BITS * wanted.count()).bit_length()))
+    word, bitmap, hashed = unused(rows, "_word", "_bitmap", "_hashed")
+    number = lambda by: F.pmod(F.xxhash64(*by, F.lit(5)), F.lit(1 << bits - WORD_BITS))
+    places = [F.shiftrightunsigned(hashed, WORD_BITS * k).bitwiseAND((1 << WORD_BITS) - 1) for k in range(PLACES)]
+    marks = wanted.select(number(of).alias(word), F.xxhash64(*of, F.lit(7)).alias(hashed)).select(word, F.explode(F.array(*places)).alias(hashed))
+    marks = marks.groupBy(word).agg(F.bitmap_construct_agg(hashed).alias(bitmap))
+    near = rows.withColumn(hashed, F.xxhash64(*on, F.lit(7))).withColumn(word, number(on)).join(F.broadcast(marks), word)
+    for k in places:
+        byte = F.conv(F.hex(F.substring(bitmap, (k / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        near = near.filter(byte.bitwiseAND(F.pow(F.lit(2), k % 8).cast("int")) != 0)
+    return near.select(*rows.columns)
+
+
 def _level(rows: DataFrame) -> DataFrame:
-    """rows with the size of their bucket, without buckets of one. Sizes are staged, so both sides of the join are plain shuffles whose hot buckets AQE can split."""
-    sizes = stage(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-    return stage(rows.join(sizes, "bucket"), "buckets")
+    """rows with the size of their bucket and a sum that tells its members, without buckets of one. Sizes are staged, so both sides of the join are plain shuffles whose hot buckets AQE can split."""
+    like = F.sum(F.shiftright(F.xxhash64("set_id"), 24)).alias("like")
+    sizes = stage(rows.groupBy("bucket").agg(F.count("*").alias("size"), like).filter("size > 1"), "sizes")
+    found = stage(sifted(rows, sizes, ("bucket",), ("bucket",)).join(sizes, "bucket"), "buckets")
+    unstage(sizes)
+    return found
 
 
 def nominated(classes: DataFrame, threshold: float = THRESHOLD, bucket: int = BUCKET) -> DataFrame:
@@ -185,17 +207,22 @@ def nominated(classes: DataFrame, threshold: float = THRESHOLD, bucket: int = BU
         levels.append(level)
         # dense: splitting the parent hardly helped
         done = (F.col("size") <= bucket) | (F.col("size") * 10 >= F.col("parent") * 7) if depth < DEPTH else F.lit(True)
-        leaves.append(level.filter(done).select("set_id", "bucket", "size"))
+        # buckets of the same classes, which near copies share in many runs, are one
+        leaves.append(level.filter(done).select("set_id", F.xxhash64("like", "size").alias("bucket"), "size"))
         large = level.filter(~done)
         if depth == DEPTH or not large.limit(1).count():
             break
-        split = large.join(classes.select("set_id", "sig"), "set_id").withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(PER_RUN)])))
+        split = large.join(sifted(classes.select("set_id", "sig"), large, ("set_id",), ("set_id",)), "set_id").withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(PER_RUN)])))
         place = F.pmod(F.xxhash64("bucket", "j"), F.lit(TOKENS)).cast("int")
-        level = _level(split.withColumn("place", place).select("set_id", F.xxhash64("bucket", "place", F.expr("substring(sig, place + 1, 1)")).alias("bucket"), F.col("size").alias("parent")))
+        split = stage(split.withColumn("place", place).select("set_id", F.xxhash64("bucket", "place", F.expr("substring(sig, place + 1, 1)")).alias("bucket"), F.col("size").alias("parent")), "split")
+        level = _level(split)
+        unstage(split)
     rows = leaves[0]
     for more in leaves[1:]:
         rows = rows.unionByName(more)
-    rows = rows.join(classes.select("set_id", "n_shingles", "sig"), "set_id")
+    sigs = sifted(classes.select("set_id", "n_shingles", "sig"), rows, ("set_id",), ("set_id",))
+    rows = rows.groupBy("set_id").agg(F.collect_set(F.struct("bucket", "size")).alias("leaves"))
+    rows = rows.join(sigs, "set_id").select("set_id", "n_shingles", "sig", F.inline("leaves"))
     units = in_blocks(rows, "bucket", "size", bucket, "set_id").select("unit", "set_id", "n_shingles", "sig", "block", "cross")
     found = stage(by_unit(units, _nominate(threshold), "a binary, b binary", ["a", "b"], "set_id").distinct(), "nominated")
     for x in levels:
@@ -231,7 +258,7 @@ def _decide(threshold: float) -> Callable[[pd.DataFrame], list]:
     def work(df: pd.DataFrame) -> list:
         df = df.drop_duplicates("set_id")  # repeated rows of a document
         ids, docs = df["set_id"].tolist(), df["n_docs"].to_numpy()
-        sets = [np.asarray(s, dtype=np.int64).view(np.uint64) for s in df["set"]]
+        sets = [shingles(w) for w in df["words"]]
         n = np.array([len(s) for s in sets])
         both = intersections(sets)
         linked = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
@@ -251,50 +278,36 @@ def _first(doc_id: str = "doc_id", text_key: str = "text_key") -> Column:
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(text_key).alias("text_key"))
 
 
-def sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows (doc_id, text_key and others) without those that no row of wanted (of_doc, of_text) can equal; few others stay.
-
-    A broadcast bitmap tells, so rows that don't match are not shuffled. Its size is bounded whatever wanted's: beyond some
-    17 million rows more false alarms stay, which the join drops.
-    """
-    bits = 1 << min(MOST_BITS, max(16, (BITS * wanted.count()).bit_length()))
-    at, word, bitmap = unused(rows, "_at", "_word", "_bitmap")
-    place = lambda *by: F.pmod(F.xxhash64(*by, F.lit(5)), F.lit(bits)) + 1
-    marks = wanted.select(place("of_doc", "of_text").alias(at)).groupBy(F.bitmap_bucket_number(at).alias(word)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bitmap))
-    near = rows.withColumn(at, place("doc_id", "text_key")).join(F.broadcast(marks), F.bitmap_bucket_number(at) == F.col(word))
-    k = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring(bitmap, (k / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return near.filter(byte.bitwiseAND(F.pow(F.lit(2), k % 8).cast("int")) != 0).select(*rows.columns)
-
-
 def classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_key, set_id, and for rows with words copy_of, head (each the row that stands for the equal sets, and for the class) and n_links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = stage(sketched(docs), "sketched")
     found = marked.filter("set_id is not null").groupBy("set_id").agg(F.min(_first()).alias("first"), F.count("*").alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"), F.first("sig").alias("sig"))
     classes = stage(found, "classes")
-    rough = components(nominated(classes, threshold))
+    links = nominated(classes, threshold)
+    rough = components(links)
+    unstage(links)
     sizes = rough.groupBy("label").agg(F.count("*").alias("size"))
-    members = rough.join(sizes, "label").join(classes.select(F.col("set_id").alias("node"), "first", "n_docs"), "node")
+    members = rough.join(sizes, "label").join(sifted(classes.select(F.col("set_id").alias("node"), "first", "n_docs"), rough, ("node",), ("node",)), "node")
     members = stage(members.select("node", "label", "size", "n_docs", F.col("first.doc_id").alias("of_doc"), F.col("first.text_key").alias("of_text")), "members")
     # most texts have no near copies, so they are not shuffled
     texts = sifted(docs.withColumn("text_key", F.xxhash64("text")), members).join(members, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_text")))
-    words = texts.select(F.col("node").alias("set_id"), "label", "size", "n_docs", word_hashes(F.col("text")).alias("words"))
-
-    def to_sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in parts:
-            df["set"] = [shingles(w).view(np.int64) for w in df.pop("words")]
-            yield df
-
-    sets = words.mapInPandas(to_sets, "set_id binary, label binary, size long, n_docs long, set array<long>")
-    units = in_blocks(sets, "label", "size", BLOCK, "set_id").select("unit", "set_id", "n_docs", "set", "block", "cross")
-    decided = stage(by_unit(units, _decide(threshold), "set_id binary, other binary, n_docs long, n_sets long", ["set_id", "other", "n_docs", "n_sets"], "set_id"), "decided")
+    # texts are dealt to the units: they take less than their sets
+    units = in_blocks(texts.select(F.col("node").alias("set_id"), "label", "size", "n_docs", "text"), "label", "size", BLOCK, "set_id").select("unit", "set_id", "n_docs", "text", "block", "cross")
+    columns = ["unit", "set_id", "n_docs", "block", "cross", word_hashes(F.col("text")).alias("words")]
+    decided = stage(by_unit(units, _decide(threshold), "set_id binary, other binary, n_docs long, n_sets long", ["set_id", "other", "n_docs", "n_sets"], "set_id", columns), "decided")
     counts = decided.filter("other is null").groupBy("set_id").agg(F.sum("n_docs").alias("linked"))
     final = components(decided.filter("other is not null").select(F.col("set_id").alias("a"), F.col("other").alias("b")))
-    per_class = classes.select("set_id", "n_docs", F.col("first").alias("copy_of")).join(final.withColumnRenamed("node", "set_id"), "set_id", "left").join(counts, "set_id", "left")
-    per_class = per_class.withColumn("label", F.coalesce("label", "set_id"))
-    heads = per_class.groupBy("label").agg(F.min("copy_of").alias("head"))
-    per_class = per_class.join(heads, "label").select("set_id", "copy_of", "head", (F.coalesce("linked", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
+    final = final.join(members.select("node", _first("of_doc", "of_text").alias("first")), "node")
+    heads = final.groupBy("label").agg(F.min("first").alias("head"))
+    final = final.join(heads, "label").select(F.col("node").alias("set_id"), "head").join(counts, "set_id", "left")
+    # most classes are linked with no other
+    per_class = classes.select("set_id", "n_docs", F.col("first").alias("copy_of")).join(final, "set_id", "left")
+    per_class = per_class.select("set_id", "copy_of", F.coalesce("head", "copy_of").alias("head"), (F.coalesce("linked", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
+    # staged, so that AQE can split a large group of copies in the join with all rows
+    per_class = stage(per_class, "linked")
+    for x in (classes, members, decided):
+        unstage(x)
     return marked.select("doc_id", "text_key", "set_id").join(per_class, "set_id", "left")
 
 

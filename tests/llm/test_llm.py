@@ -265,6 +265,29 @@ def test_sifted_keeps_all_that_may_match(spark, monkeypatch, most):
     assert jaccard.sifted(rows, wanted.limit(0)).count() == 0
 
 
+def test_sifted_raises_few_false_alarms(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") * 7).alias("text_key"))
+    wanted = rows.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"))
+    kept = {r["doc_id"] for r in jaccard.sifted(rows, wanted).collect()}
+    assert kept >= set(range(0, 20_000, 10)) and len(kept) < 2100
+
+
+def test_near_duplicates_shuffles_little(spark, tmp_path):
+    rng = random.Random(9)
+    texts = [prose(400, 500 + k) for k in range(500)]
+    texts += [" ".join("new" if rng.random() < 0.005 else w for w in t.split()) for t in texts[:250]]
+    make(spark, texts).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    once = shuffled(spark, lambda: docs.select("doc_id", "text").repartition("doc_id").foreach(len))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if every table were large
+    try:
+        assert 0 < shuffled(spark, lambda: jaccard.near_duplicates(docs).write.parquet(f"{tmp_path}/found")) < 2.2 * once
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = spark.read.parquet(f"{tmp_path}/found").collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == exact_classes(list(enumerate(texts)))
+
+
 def test_unstage_asks_for_files_once(spark, monkeypatch):
     frames = [common.stage(spark.range(9), "some") for _ in range(4)]
     asked, ask = [], type(frames[0]).inputFiles
